@@ -221,10 +221,12 @@ def assessment_triples(named: DataFrame, index: DataFrame, vocab: Vocab = DEFAUL
         "threat": F.transform("threats", lambda x: x["name"]),
         "system": F.col("systems"),
     }
-    listed = F.explode(F.concat(*[
-        F.transform(F.coalesce(items, F.array()), lambda x, term=term: F.struct(
-            F.lit(vocab.term(term)).alias("p"), x.alias("o")))
-        for term, items in lists.items()]))
+
+    def under(predicate: str, items: Column) -> Column:
+        values = F.coalesce(items, F.array().cast("array<string>"))
+        return F.transform(values, lambda x: F.struct(F.lit(predicate).alias("p"), x.alias("o")))
+
+    listed = F.explode(F.concat(*[under(vocab.term(term), items) for term, items in lists.items()]))
     multi = rows.select(F.col("species").alias("s"), listed.alias("t")).select(
         "s", "t.p", "t.o", F.lit("literal").alias("o_kind"), F.lit("").alias("o_lang"),
         F.lit("").alias("o_datatype"))

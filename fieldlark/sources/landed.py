@@ -33,9 +33,12 @@ def valid(records: DataFrame) -> DataFrame:
 
 
 def input_report(records: DataFrame) -> DataFrame:
-    """One row: records read and records set aside."""
+    """One row: records read, records set aside, and records that parse but hold no field."""
     good = F.col(CORRUPT).isNull()
-    return records.agg(F.count_if(good).alias("n_valid"), F.count_if(~good).alias("n_corrupt"))
+    filled = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in records.columns if c != CORRUPT])
+    return records.agg(
+        F.count_if(good).alias("n_valid"), F.count_if(~good).alias("n_corrupt"),
+        F.count_if(good & filled.isNull()).alias("n_empty"))
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
