@@ -15,6 +15,8 @@ from fieldlark.model import ontology, vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators.triples import Fact, has_type, link, to_triples
 from fieldlark.functions.geo import grid_key
+from fieldlark.session import scratch_path
+from fieldlark.sources.graph_files import read_graph, write_graph
 
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -140,6 +142,10 @@ def for_duckdb(text: str) -> str:
     return re.sub(r"\{([a-z]+)\}", r"\1", expand(inline_all(text)))
 
 
+# where the graph of a (session, folder) has been written
+STORED: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """Given tables and projections of one folder, opened on demand."""
 
@@ -182,6 +188,15 @@ class Tables:
 
     @cached_property
     def graph(self) -> DataFrame:
+        """The graph of the given tables, written once per session and then read by predicate."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in STORED:
+            path = scratch_path(self.spark, "graph")
+            write_graph(self.derived_graph(), path)
+            STORED[key] = path
+        return read_graph(self.spark, STORED[key])
+
+    def derived_graph(self) -> DataFrame:
         """Species, taxa, observations and the ontology as triples."""
         sp, obs = F.col("species"), F.col("obs_iri")
         genus = F.col("genus_iri")

@@ -110,3 +110,18 @@ def non_empty(text: Column) -> Column:
 
 def first_non_empty(*texts: Column) -> Column:
     return F.coalesce(*[non_empty(text) for text in texts])
+
+
+def number_text(value: Column) -> Column:
+    """Shortest decimal text of a double; the exponent form only below 1e-4 and from 1e16 on."""
+    raw = value.cast("string")
+    size = F.abs(value)
+    exponent = F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int")
+    mantissa = F.regexp_replace(F.regexp_replace(raw, r"E-?\d+$", ""), r"\.0$", "")
+    scientific = F.concat(
+        mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    fixed = F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return (
+        F.when(exponent.isNull(), raw)
+        .when((size >= 1e-4) & (size < 1e16), fixed)
+        .otherwise(scientific))

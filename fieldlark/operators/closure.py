@@ -64,19 +64,13 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds is logarithmic, and a hub only ever contributes edges to its
     least neighbour, never pairs of its neighbours.
     """
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    nodes = cut_lineage(nodes, "nodes")
-    links = cut_lineage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "links")
-    mark = _fingerprint(links)
-    while True:
+    pairs = cut_lineage(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    links = pairs.where("u <> v")
+    while not _is_star_forest(links):
         links = cut_lineage(_small_star(_large_star(links)), "links")
-        now = _fingerprint(links)
-        if now == mark:
-            break
-        mark = now
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -98,9 +92,9 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    """Size and order-independent hash of the edge set: one row, whatever its size."""
-    row = links.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
-    ).first()
-    return tuple(row)
+def _is_star_forest(links: DataFrame) -> bool:
+    """Whether every node has one link and links lead to nodes without one. One row is fetched."""
+    sides = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    per_node = sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per_node.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()

@@ -102,8 +102,8 @@ def trait_triples(
     """Mass, wingspan, activity, habitats, ranges and the entity link of matched species."""
     sp = F.col("species")
     single = to_triples(_with_species(traits, index, "name"), [
-        Fact(sp, vocab.term("massGrams"), F.col("mass_g"), datatype=v.DECIMAL),
-        Fact(sp, vocab.term("wingspanMm"), F.col("wingspan_mm"), datatype=v.DECIMAL),
+        Fact(sp, vocab.term("massGrams"), text.number_text(F.col("mass_g")), datatype=v.DECIMAL),
+        Fact(sp, vocab.term("wingspanMm"), text.number_text(F.col("wingspan_mm")), datatype=v.DECIMAL),
         Fact(sp, vocab.term("dielCycle"), F.col("diel")),
         link(sp, v.SAME_AS, F.concat(F.lit(v.WIKIDATA_ENTITY), F.col("wikidata_id"))),
     ])

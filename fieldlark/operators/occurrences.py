@@ -25,8 +25,9 @@ def record_key() -> Column:
 
 def observation_key() -> Column:
     """Stable id: the record key, else a short digest of name, date and place."""
-    parts = ["scientificName", "eventDate", "decimalLatitude", "decimalLongitude"]
-    shown = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in parts]
+    parts = [F.col("scientificName"), F.col("eventDate"), text.number_text(F.col("decimalLatitude")),
+             text.number_text(F.col("decimalLongitude"))]
+    shown = [F.coalesce(part, F.lit("None")) for part in parts]
     return F.coalesce(record_key(), F.substring(F.md5(F.concat(*shown)), 1, 12))
 
 
@@ -132,8 +133,8 @@ def observation_triples(facts: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         Fact(obs, vocab.term("recordedBy"), F.col("recorded_by")),
         Fact(obs, vocab.term("gbifKey"), F.col("gbif_key"), datatype=v.INTEGER),
         has_type(loc, vocab.term("Location")),
-        Fact(loc, vocab.term("latitude"), F.col("lat"), datatype=v.DECIMAL),
-        Fact(loc, vocab.term("longitude"), F.col("lon"), datatype=v.DECIMAL),
+        Fact(loc, vocab.term("latitude"), text.number_text(F.col("lat")), datatype=v.DECIMAL),
+        Fact(loc, vocab.term("longitude"), text.number_text(F.col("lon")), datatype=v.DECIMAL),
         Fact(loc, vocab.term("locality"), F.col("locality")),
         link(obs, vocab.term("observedAt"), loc),
         link(sp, vocab.has_observation, obs),

@@ -110,7 +110,7 @@ def taxonomy_triples(records: DataFrame, locale: str = "en", vocab: Vocab = DEFA
         Fact(sp, v.GENUS, F.col("genus")),
         Fact(sp, v.FAMILY, F.col("family")),
         Fact(sp, v.ORDER, F.col("order_name")),
-        Fact(sp, vocab.term("taxonOrder"), F.col("taxon_order"), datatype=v.DECIMAL),
+        Fact(sp, vocab.term("taxonOrder"), text.number_text(F.col("taxon_order")), datatype=v.DECIMAL),
         link(sp, v.SAME_AS, F.col("same_as")),
     ])
     return orders.unionByName(families).unionByName(genera).unionByName(species).distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import inference
-from fieldlark.session import cut_lineage
+from fieldlark.session import scratch_path
+from fieldlark.sources.graph_files import read_graph, write_graph
 
 
 class Reasoned(NamedTuple):
@@ -26,16 +27,24 @@ def rules(vocab: Vocab = DEFAULT):
     ]
 
 
+def _store(triples: DataFrame, label: str) -> DataFrame:
+    """Write to the shared checkpoint folder by predicate, so that a rule reads only what it matches."""
+    spark = triples.sparkSession
+    path = scratch_path(spark, label)
+    write_graph(triples, path)
+    return read_graph(spark, path)
+
+
 def run_reasoner(triples: DataFrame, vocab: Vocab = DEFAULT) -> Reasoned:
     """The graph with all inferred triples, and how many each rule added.
 
     What a rule adds is written once to the shared checkpoint folder; the next
     rule and the counts read it from there.
     """
-    graph = cut_lineage(triples.distinct(), "asserted")
+    graph = _store(triples, "asserted")
     counts = []
     for step, (name, rule) in enumerate(rules(vocab), start=1):
-        new = cut_lineage(rule(graph), name)
+        new = _store(rule(graph), name)
         graph = graph.unionByName(new)
         counts.append(new.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(step).alias("step"), F.lit(name).alias("rule"), "n"))
