@@ -1,0 +1,171 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlark.model import vocab as v
+from fieldlark.model.ontology import ontology_triples
+from fieldlark.model.vocab import DEFAULT as V
+from fieldlark.operators import closure, inference
+from fieldlark.operators.triples import union_graphs
+from fieldlark.plans.reasoning import run_reasoner
+from tests.conftest import iri, rows, sighting_facts, text, two_species
+
+CHAIN = ["species/robi", "genus/Erithacus", "family/Muscicapidae", "order/Passeriformes"]
+
+
+def chain(nodes):
+    return [iri(V.taxon(a), V.parent_taxon, V.taxon(b)) for a, b in zip(nodes, nodes[1:])]
+
+
+def test_chain_adds_the_three_indirect_links(triples):
+    new = inference.transitive_parents(triples(chain(CHAIN)))
+    n = [V.taxon(x) for x in CHAIN]
+    assert rows(new, "s", "o") == sorted([(n[0], n[2]), (n[0], n[3]), (n[1], n[3])], key=repr)
+
+
+def test_closure_twice_adds_nothing(triples):
+    graph = triples(chain(CHAIN))
+    closed = union_graphs(graph, inference.transitive_parents(graph))
+    assert inference.transitive_parents(closed).count() == 0
+
+
+def test_no_parents_no_links(triples):
+    assert inference.transitive_parents(triples([text("a", "b", "c")])).count() == 0
+
+
+def test_cycle_makes_a_node_its_own_ancestor(spark):
+    edges = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "A")], "child string, parent string")
+    assert rows(closure.transitive_pairs(edges)) == [
+        ("A", "A"), ("A", "B"), ("B", "A"), ("B", "B"), ("C", "A"), ("C", "B")]
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(37)], "child string, parent string")
+    assert closure.transitive_pairs(edges).count() == 37 * 38 // 2
+
+
+def brute_closure(edges):
+    found = set(edges)
+    while True:
+        more = {(a, d) for a, b in found for c, d in edges if b == c} - found
+        if not more:
+            return found
+        found |= more
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_closure_of_random_graph(spark, seed):
+    generator = random.Random(seed)
+    edges = {(f"n{generator.randrange(18)}", f"n{generator.randrange(18)}") for _ in range(24)}
+    got = closure.transitive_pairs(spark.createDataFrame(sorted(edges), "child string, parent string"))
+    assert {tuple(r) for r in got.collect()} == brute_closure(edges)
+
+
+def test_reachable_edges_visit_only_what_is_above(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "b"), ("y", "x")], "child string, parent string")
+    starts = spark.createDataFrame([("a",)], "node string")
+    assert rows(closure.reachable_edges(edges, starts)) == [("a", "b"), ("b", "c"), ("c", "b")]
+
+
+def brute_components(pairs):
+    nodes = {x for p in pairs for x in p}
+    label = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(label[a], label[b])
+            for n in (a, b):
+                if label[n] != least:
+                    label[n], changed = least, True
+    return label
+
+
+@pytest.mark.parametrize("pairs", [
+    [("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")],
+    [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)],
+    [(f"n{i:02}", "hub") for i in range(50)] + [("a", "n07"), ("p", "q")],
+    [(f"n{random.Random(i).randrange(60):02}", f"n{random.Random(-i - 1).randrange(60):02}") for i in range(45)],
+])
+def test_components(spark, pairs):
+    got = closure.components(spark.createDataFrame(pairs, "a string, b string"))
+    assert {r.node: r.component for r in got.collect()} == brute_components(pairs)
+
+
+def test_components_of_nothing(spark):
+    assert closure.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_subclass_types_reach_the_fixpoint_and_stay(triples):
+    facts = [iri("C", v.SUBCLASS_OF, "B"), iri("B", v.SUBCLASS_OF, "A"), iri("x", v.TYPE, "C"), iri("y", v.TYPE, "B")]
+    graph = triples(facts)
+    new = inference.subclass_types(graph)
+    assert rows(new, "s", "o") == [("x", "A"), ("x", "B"), ("y", "A")]
+    assert inference.subclass_types(union_graphs(graph, new)).count() == 0
+
+
+def test_domain_types(triples, spark):
+    obs = V.observation("1")
+    facts = triples([text("x", V.term("eBirdCode"), "robi"), text(obs, v.SCIENTIFIC_NAME, "Erithacus rubecula"),
+                     iri("y", v.TYPE, V.term("Species")), text("y", V.term("eBirdCode"), "z"), text("q", "unknown", "1")])
+    graph = facts.unionByName(ontology_triples(spark))
+    assert rows(inference.domain_types(graph), "s", "o") == sorted([(obs, V.term("Taxon")), ("x", V.term("Species"))], key=repr)
+    assert rows(inference.domain_types(graph, [v.SCIENTIFIC_NAME]), "s", "o") == [("x", V.term("Species"))]
+
+
+def test_same_as_copies_both_ways_but_not_itself(triples):
+    graph = triples([iri("a", v.SAME_AS, "b"), text("a", "p", "1"), text("b", "q", "2"), text("c", "p", "3")])
+    new = inference.same_as_one_hop(graph)
+    assert rows(new, "s", "p", "o") == [("a", "q", "2"), ("b", "p", "1")]
+    assert inference.same_as_one_hop(union_graphs(graph, new)).count() == 0
+
+
+def test_components_share_properties_without_pairs(triples):
+    facts = [iri(f"s{i}", v.SAME_AS, "hub") for i in range(30)] + [text(f"s{i}", "p", i % 3) for i in range(30)]
+    graph = triples(facts)
+    members = inference.same_as_components(graph)
+    assert members.select("component").distinct().count() == 1
+    assert inference.component_properties(graph, members).count() == 3
+
+
+def test_migration_rule(triples):
+    facts = two_species() + sighting_facts("robi", "9", "2023-01-05", 1, 1.0, 1.0, "x")
+    facts += sighting_facts("robi", "10", "2023-06-05", 1, 1.0, 1.0, "x") + sighting_facts("robi", "11", "bad", 1, 1.0, 1.0, "x")
+    new = inference.migration_rule(triples(facts))
+    robin, pecker = V.taxon("species/robi"), V.taxon("species/euwoo1")
+    month, state = V.term("typicallyPresentInMonth"), V.term("migrationStatus")
+    assert rows(new, "s", "p", "o") == sorted([
+        (robin, state, "PartialMigrant"), (robin, month, "1"), (robin, month, "4"), (robin, month, "6"),
+        (pecker, state, "PassageMigrant"), (pecker, month, "3")], key=repr)
+
+
+def test_migration_rule_skips_species_with_a_status(triples):
+    facts = two_species() + [text(V.taxon("species/robi"), V.term("migrationStatus"), "Resident")]
+    new = inference.migration_rule(triples(facts))
+    assert {r.s for r in new.collect()} == {V.taxon("species/euwoo1")}
+
+
+def test_reasoner_reports_and_settles(spark, triples):
+    graph = union_graphs(triples(two_species()), ontology_triples(spark))
+    once = run_reasoner(graph)
+    counts = {r.rule: r.n for r in once.added.collect()}
+    assert counts == {"transitive_parents": 2, "subclass_types": 6, "domain_types": 0, "same_as": 0, "migration": 4}
+    assert once.triples.count() == graph.count() + 12
+    again = run_reasoner(once.triples)
+    assert again.added.agg(F.sum("n")).first()[0] == 0
+
+
+def test_class_counts_diff(spark, triples):
+    graph = union_graphs(triples(two_species()), ontology_triples(spark))
+    diff = inference.class_counts_diff(graph, run_reasoner(graph).triples)
+    assert {r["class"].rsplit("/", 1)[1]: (r.n_before, r.n_after, r.inferred) for r in diff.collect()} == {
+        "Species": (2, 2, 0), "Family": (2, 2, 0), "Order": (2, 2, 0), "Observation": (2, 2, 0), "Location": (2, 2, 0),
+        "Taxon": (0, 6, 6)}
+
+
+def test_ancestor_report(triples):
+    graph = triples(two_species())
+    closed = union_graphs(graph, inference.transitive_parents(graph))
+    report = inference.ancestor_report(closed, V.taxon("species/robi"))
+    assert rows(report, "type", "name") == [("Family", "Muscicapidae"), ("Order", "Passeriformes")]
