@@ -142,7 +142,7 @@ REASONED = f"""
 
 @query("reasoned_graph", REASONED + " select p, count(*) as n from r5 group by p")
 def _(t):
-    return count_by(run_reasoner(t.graph, V).triples, "p")
+    return count_by(run_reasoner(t.graph, V, is_stored=True).triples, "p")
 
 
 @query("reasoner_report", REASONED + """
@@ -153,4 +153,4 @@ def _(t):
       when 4 then 'same_as' else 'migration' end as rule, b.n - a.n as n
     from sizes a join sizes b on b.step = a.step + 1""")
 def _(t):
-    return run_reasoner(t.graph, V).added
+    return run_reasoner(t.graph, V, is_stored=True).added

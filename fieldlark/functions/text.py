@@ -7,8 +7,9 @@ from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
 
-# Unicode-aware white space, as in str.split and str.strip
-SPACES = r"(?U)\s+"
+# white space as str.split and str.strip see it
+BLANKS = "".join(chr(code) for code in range(0x10000) if chr(code).isspace())
+SPACES = "[" + "".join(f"\\u{ord(blank):04x}" for blank in BLANKS) + "]+"
 
 # fixed values: letters without a canonical decomposition
 LETTER_PAIRS = {"æ": "ae", "Æ": "ae", "ß": "ss", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th"}
@@ -68,20 +69,24 @@ def contains_ignore_case(text: Column, part: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:
     return F.split(strip(text), SPACES)
 
 
+def single_spaced(text: Column) -> Column:
+    return F.regexp_replace(strip(text), SPACES, " ")
+
+
 def first_word(text: Column) -> Column:
-    return F.get(words(text), F.lit(0))
+    return F.substring_index(single_spaced(text), " ", 1)
 
 
 def binomial(name: Column) -> Column:
     """First two words of a scientific name, without author and year."""
-    return F.array_join(F.slice(words(name), 1, 2), " ")
+    return F.substring_index(single_spaced(name), " ", 2)
 
 
 def iri_slug(text: Column) -> Column:
@@ -122,6 +127,6 @@ def number_text(value: Column) -> Column:
         mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
     fixed = F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     return (
-        F.when(exponent.isNull(), raw)
+        F.when(~raw.contains("E"), raw)
         .when((size >= 1e-4) & (size < 1e16), fixed)
         .otherwise(scientific))

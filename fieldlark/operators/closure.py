@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldlark.operators.joins import spread_join
 from fieldlark.session import cut_lineage
 
 
@@ -23,8 +24,8 @@ def transitive_pairs(edges: DataFrame) -> DataFrame:
     frontier = known
     while True:
         longer = (
-            frontier.withColumnRenamed("ancestor", "via")
-            .join(known.withColumnRenamed("node", "via"), "via")
+            spread_join(
+                frontier.withColumnRenamed("ancestor", "via"), known.withColumnRenamed("node", "via"), "via")
             .select("node", "ancestor")
             .distinct()
             .join(known, ["node", "ancestor"], "left_anti")
@@ -79,7 +80,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        both.where("v > u").join(least, "u")
+        spread_join(both.where("v > u"), least, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
     )
@@ -88,7 +89,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node itself, to the least of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(links, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

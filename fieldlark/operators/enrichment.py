@@ -12,6 +12,7 @@ from fieldlark.functions import text
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
+from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import Fact, link, missing_from, to_triples
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -94,7 +95,7 @@ def trait_values(rows: DataFrame) -> DataFrame:
 
 
 def _with_species(rows: DataFrame, index: DataFrame, name: str) -> DataFrame:
-    return rows.join(index.withColumnRenamed("scientific_name", name), name, "inner")
+    return spread_join(rows, index.withColumnRenamed("scientific_name", name), name)
 
 
 def trait_triples(
@@ -146,7 +147,7 @@ def fold_pictures(rows: DataFrame, slugs: DataFrame) -> DataFrame:
     raw_map = text.non_empty(F.col("range_map"))
     url = F.when(raw_map.startswith("http"), raw_map).otherwise(F.concat(F.lit(v.COMMONS_FILE), raw_map))
     return (
-        rows.where(F.col("item") != "").withColumn("slug", slug).join(slugs, "slug", "inner")
+        spread_join(rows.where(F.col("item") != "").withColumn("slug", slug), slugs, "slug")
         .groupBy("name").agg(
             first_by(text.non_empty(F.col("thumb"))).alias("thumbnail"),
             first_by(url).alias("range_map"),

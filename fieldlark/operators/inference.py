@@ -10,6 +10,7 @@ from fieldlark.model.ontology import CLASSES
 from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure
+from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import (
     Fact, entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan, to_triples,
 )
@@ -35,7 +36,7 @@ def subclass_types(triples: DataFrame) -> DataFrame:
     """Types of all superclasses: the subclass table is closed first, then joined once."""
     edges = pattern(triples, "child", v.SUBCLASS_OF, "parent")
     pairs = closure.transitive_pairs(edges).withColumnRenamed("node", "class")
-    typed = pattern(triples, "s", v.TYPE, "class").join(pairs, "class")
+    typed = spread_join(pattern(triples, "s", v.TYPE, "class"), pairs, "class")
     return missing_from(triples, _iri_rows(typed, "s", v.TYPE, "ancestor"))
 
 
@@ -53,7 +54,7 @@ def domain_types(triples: DataFrame, exclude: list[str] | None = None) -> DataFr
     )
     if exclude:
         domains = domains.where(~F.col("p").isin(exclude))
-    used = triples.select("s", "p").join(domains, "p").select("s", "domain").distinct()
+    used = spread_join(triples.select("s", "p"), domains, "p").select("s", "domain").distinct()
     return missing_from(triples, _iri_rows(used, "s", v.TYPE, "domain"))
 
 
@@ -68,7 +69,7 @@ def same_as_one_hop(triples: DataFrame) -> DataFrame:
         pairs.select(F.col("b").alias("s"), F.col("a").alias("target")))
     carried = [c for c in TRIPLE_COLUMNS if c != "s"]
     copied = (
-        triples.where(F.col("p") != v.SAME_AS).join(both, "s")
+        spread_join(triples.where(F.col("p") != v.SAME_AS), both, "s")
         .select(F.col("target").alias("s"), *carried)
     )
     return missing_from(triples, copied)
@@ -87,7 +88,7 @@ def component_properties(triples: DataFrame, members: DataFrame) -> DataFrame:
     """
     carried = [c for c in TRIPLE_COLUMNS if c != "s"]
     return (
-        triples.where(F.col("p") != v.SAME_AS).join(members.withColumnRenamed("node", "s"), "s")
+        spread_join(triples.where(F.col("p") != v.SAME_AS), members.withColumnRenamed("node", "s"), "s")
         .select("component", *carried).distinct()
     )
 

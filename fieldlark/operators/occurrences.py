@@ -9,6 +9,7 @@ from fieldlark.functions import geo, status, text
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators.grouping import pick_first, top_per_key
+from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import Fact, has_type, link, to_triples
 
 # fixed values: limits of one yearly download
@@ -65,8 +66,7 @@ def capped_newest_first(
 def resolve_species(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Add ``species`` (and ``is_minted``): matched by binomial, else minted from the full name.
 
-    The index side carries no hint: it is broadcast when its size allows, and
-    otherwise a hot name is split by the adaptive skew join.
+    A name that many records carry is spread when the index is too large to broadcast.
     """
     named = (
         records.withColumn("scientificName", text.strip(F.col("scientificName")))
@@ -76,7 +76,7 @@ def resolve_species(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT
     lookup = index.select(F.col("scientific_name").alias("_binomial"), F.col("species").alias("_known"))
     minted = F.concat(F.lit(vocab.taxon("species/sci/")), text.name_slug(F.col("scientificName")))
     return (
-        named.join(lookup, "_binomial", "left")
+        spread_join(named, lookup, "_binomial", "left")
         .withColumn("species", F.coalesce("_known", minted))
         .withColumn("is_minted", F.col("_known").isNull())
         .drop("_binomial", "_known")
@@ -120,7 +120,7 @@ def gbif_species_key() -> Column:
 
 
 def observation_triples(facts: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """Observations, locations and their links as triples."""
+    """Observations, locations and their links as triples; places repeat until made distinct."""
     obs, sp, loc = F.col("obs_id"), F.col("species"), F.col("loc_id")
     minted = F.when(F.col("is_minted"), sp)
     return to_triples(facts, [
@@ -139,15 +139,20 @@ def observation_triples(facts: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         link(obs, vocab.term("observedAt"), loc),
         link(sp, vocab.has_observation, obs),
         link(sp, v.SAME_AS, F.col("same_as")),
-    ]).distinct()
+    ])
 
 
 def occurrence_triples(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Occurrence records to triples: observations, places, species links and worst status."""
+    return occurrence_facts(records, index, vocab).distinct()
+
+
+def occurrence_facts(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
+    """The same before duplicates are removed."""
     resolved = resolve_species(records, index, vocab)
     statuses = to_triples(
         worst_status(resolved), [Fact(F.col("species"), vocab.term("conservationStatus"), F.col("status"))])
-    return observation_triples(observations(resolved, vocab), vocab).unionByName(statuses).distinct()
+    return observation_triples(observations(resolved, vocab), vocab).unionByName(statuses)
 
 
 def locations(facts: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@
                   individual_count, locality, lat, lon
 ``habitats``      (species, habitat), ``months`` (species, month)
 
-No join carries a broadcast hint: the species side is broadcast when its measured
-size allows, and is otherwise sort-merge joined, where adaptive execution splits a
-species that holds many observations. Sorts end in a unique key, so that rows that
-are equal in the leading keys still spread over many range partitions.
+The species side of a join is broadcast when its estimated size is within the
+session's threshold; beyond it a species that holds many observations is spread over
+several tasks. Sorts end in a unique key, so that rows that are equal in the leading
+keys still spread over many range partitions. Results are sets because the inputs are
+(one row per species), so no query pays for a DISTINCT over wide rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldlark.functions import geo, status, text
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators.grouping import newest_key, pick_first
+from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import exists, is_canonical, merge_records
 
 # fixed values: result limits
@@ -49,7 +51,7 @@ def find_species_by_name(
         text.any_name_matches([F.col(c) for c in NAMES], name, fold))
     return (
         found.join(habitats.select("species", "habitat").distinct(), "species", "left")
-        .select(*columns).distinct()
+        .select(*columns)
         .orderBy("scientific_name", "species", "habitat").limit(limit)
     )
 
@@ -58,7 +60,7 @@ def list_observed_species(species: DataFrame, observations: DataFrame, vocab: Vo
     """Canonical species with at least one observation."""
     return (
         exists(_canonical(species, vocab), observations.select("species"))
-        .select("species", *NAMES).distinct().orderBy("scientific_name", "species")
+        .select("species", *NAMES).orderBy("scientific_name", "species")
     )
 
 
@@ -66,7 +68,7 @@ def species_by_family(species: DataFrame, family: str) -> DataFrame:
     return (
         species.where(text.contains_ignore_case(F.col("family"), family))
         .select("species", "scientific_name", "common_name_en", "common_name_da", "ebird_code", "thumbnail")
-        .distinct().orderBy("scientific_name", "species")
+        .orderBy("scientific_name", "species")
     )
 
 
@@ -74,7 +76,7 @@ def species_by_order(species: DataFrame, order: str) -> DataFrame:
     return (
         species.where(text.contains_ignore_case(F.col("order_name"), order))
         .select("species", "scientific_name", "common_name_en", "family")
-        .distinct().orderBy("family", "scientific_name", "species")
+        .orderBy("family", "scientific_name", "species")
     )
 
 
@@ -126,7 +128,7 @@ def currently_present(
     present = months.where(F.col("month") == wanted)
     return (
         exists(_canonical(species, vocab), present.select("species"))
-        .select("species", *NAMES, "ebird_code", "status", "migration_status").distinct()
+        .select("species", *NAMES, "ebird_code", "status", "migration_status")
         .orderBy("migration_status", "scientific_name", "species")
     )
 
@@ -147,8 +149,8 @@ def observations_for_map(
             species_filter, "full"))
     placed = observations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     return (
-        _canonical(placed, vocab).select("species", *SIGHTING)
-        .join(wanted.select("species", *NAMES, "status"), "species", "inner")
+        spread_join(
+            _canonical(placed, vocab).select("species", *SIGHTING), wanted.select("species", *NAMES, "status"), "species")
         .orderBy(F.asc("scientific_name"), F.desc("observed_on"), F.asc("obs_id"))
     )
 

@@ -81,6 +81,11 @@ def species_nodes(records: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 
 def taxonomy_triples(records: DataFrame, locale: str = "en", vocab: Vocab = DEFAULT) -> DataFrame:
     """All nodes of a taxonomy as triples. Common names are Danish unless *locale* is 'en'."""
+    return taxonomy_facts(records, locale, vocab).distinct()
+
+
+def taxonomy_facts(records: DataFrame, locale: str = "en", vocab: Vocab = DEFAULT) -> DataFrame:
+    """The same before duplicates are removed, for plans that remove them once at the end."""
     name = vocab.term("commonNameEn" if locale == "en" else "commonNameDa")
     node, sci = F.col("node"), F.col("scientific_name")
     orders = to_triples(order_nodes(records, vocab), [
@@ -113,7 +118,7 @@ def taxonomy_triples(records: DataFrame, locale: str = "en", vocab: Vocab = DEFA
         Fact(sp, vocab.term("taxonOrder"), text.number_text(F.col("taxon_order")), datatype=v.DECIMAL),
         link(sp, v.SAME_AS, F.col("same_as")),
     ])
-    return orders.unionByName(families).unionByName(genera).unionByName(species).distinct()
+    return orders.unionByName(families).unionByName(genera).unionByName(species)
 
 
 def localized_name_triples(records: DataFrame, locale: str, vocab: Vocab = DEFAULT) -> DataFrame:

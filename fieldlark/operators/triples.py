@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE_COLUMNS
+from fieldlark.operators.joins import spread_join
 
 
 class Fact(NamedTuple):
@@ -75,29 +76,32 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
 
 
 def match_all(*bindings: DataFrame) -> DataFrame:
-    """Conjunction of patterns: inner join on the shared variables, left to right."""
-    return reduce(lambda a, b: a.join(b, shared_columns(a, b), "inner"), bindings)
+    """Conjunction of patterns: inner join on the shared variables, left to right.
+
+    Put the pattern with the busiest keys first; its hot keys are spread.
+    """
+    return reduce(lambda a, b: spread_join(a, b, shared_columns(a, b)), bindings)
 
 
 def optional(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left outer join on the shared variables; *right* may itself contain optionals."""
-    return left.join(right, shared_columns(left, right), "left")
+    return spread_join(left, right, shared_columns(left, right), "left")
 
 
 def values(bindings: DataFrame, inline: DataFrame) -> DataFrame:
     """Keep the bindings listed in *inline*."""
-    return bindings.join(inline.distinct(), shared_columns(bindings, inline), "inner")
+    return spread_join(bindings, inline.distinct(), shared_columns(bindings, inline))
 
 
 def exists(bindings: DataFrame, other: DataFrame) -> DataFrame:
     """Bindings for which *other* has a match. *other* is made distinct before it is joined."""
     on = shared_columns(bindings, other)
-    return bindings.join(other.select(*on).distinct(), on, "left_semi")
+    return spread_join(bindings, other.select(*on).distinct(), on, "left_semi")
 
 
 def not_exists(bindings: DataFrame, other: DataFrame) -> DataFrame:
     on = shared_columns(bindings, other)
-    return bindings.join(other.select(*on).distinct(), on, "left_anti")
+    return spread_join(bindings, other.select(*on).distinct(), on, "left_anti")
 
 
 def top(bindings: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -178,7 +182,7 @@ def merge_records(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """All rows of *right* with the columns of *left* added; on shared columns *right* wins."""
     both = [c for c in left.columns if c in right.columns and c != key]
     renamed = left.select(*[F.col(c).alias(f"_{c}" if c in both else c) for c in left.columns])
-    merged = right.join(renamed, key, "left")
+    merged = spread_join(right, renamed, key, "left")
     for c in both:
         merged = merged.withColumn(c, F.coalesce(F.col(c), F.col(f"_{c}"))).drop(f"_{c}")
     return merged

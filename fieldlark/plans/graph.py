@@ -10,8 +10,8 @@ from fieldlark.model import vocab as v
 from fieldlark.model.ontology import ontology_triples
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import enrichment, extracts, queries
-from fieldlark.operators.occurrences import capped_newest_first, occurrence_triples
-from fieldlark.operators.taxonomy import localized_name_triples, name_index, taxonomy_triples
+from fieldlark.operators.occurrences import capped_newest_first, occurrence_facts
+from fieldlark.operators.taxonomy import localized_name_triples, name_index, species_nodes, taxonomy_facts
 from fieldlark.operators.triples import entity_table, instances, optional, pattern, scan, union_graphs
 from fieldlark.sources import graph_files
 
@@ -84,13 +84,12 @@ def build_graph(
 
     *max_records* caps the sample of occurrences, newest first; None takes them all.
     """
-    taxa = taxonomy_triples(taxonomy, "en", vocab)
     names = [localized_name_triples(rows, locale, vocab) for locale, rows in localized.items()]
-    known = union_graphs(taxa, *names)
-    index = name_index(species_names(known, vocab))
+    index = name_index(species_nodes(taxonomy, vocab))
     sample = occurrences if max_records is None else capped_newest_first(occurrences, max_records)
     return union_graphs(
-        ontology_triples(taxonomy.sparkSession, vocab), known, occurrence_triples(sample, index, vocab))
+        ontology_triples(taxonomy.sparkSession, vocab), taxonomy_facts(taxonomy, "en", vocab), *names,
+        occurrence_facts(sample, index, vocab))
 
 
 def enrich_with_traits(triples: DataFrame, bindings: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:

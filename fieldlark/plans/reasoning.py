@@ -27,24 +27,25 @@ def rules(vocab: Vocab = DEFAULT):
     ]
 
 
-def _store(triples: DataFrame, label: str) -> DataFrame:
+def _store(triples: DataFrame, label: str, distinct: bool) -> DataFrame:
     """Write to the shared checkpoint folder by predicate, so that a rule reads only what it matches."""
     spark = triples.sparkSession
     path = scratch_path(spark, label)
-    write_graph(triples, path)
+    write_graph(triples, path, distinct)
     return read_graph(spark, path)
 
 
-def run_reasoner(triples: DataFrame, vocab: Vocab = DEFAULT) -> Reasoned:
+def run_reasoner(triples: DataFrame, vocab: Vocab = DEFAULT, is_stored: bool = False) -> Reasoned:
     """The graph with all inferred triples, and how many each rule added.
 
     What a rule adds is written once to the shared checkpoint folder; the next
-    rule and the counts read it from there.
+    rule and the counts read it from there. *is_stored* says that the input is
+    read from distinct files by predicate already and need not be written first.
     """
-    graph = _store(triples, "asserted")
+    graph = triples if is_stored else _store(triples, "asserted", False)
     counts = []
     for step, (name, rule) in enumerate(rules(vocab), start=1):
-        new = _store(rule(graph), name)
+        new = _store(rule(graph), name, True)
         graph = graph.unionByName(new)
         counts.append(new.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(step).alias("step"), F.lit(name).alias("rule"), "n"))

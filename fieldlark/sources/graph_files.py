@@ -13,14 +13,16 @@ LINE = rf"^\s*{_NODE}\s+<([^>]*)>\s+(?:{_NODE}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 SKIPPED = r"^\s*(#.*)?$"
 
 
-def write_graph(triples: DataFrame, path: str) -> None:
-    """Write distinct triples as parquet, one directory per predicate.
+def write_graph(triples: DataFrame, path: str, distinct: bool = False) -> None:
+    """Write triples as parquet, one directory per predicate; *distinct* says there are no duplicates.
 
     Rebalancing gives each predicate its own files and splits a predicate that
     holds most of the graph. Writing over a graph that is being read is refused by
     the 'error if exists' mode: write every version to a new path.
     """
-    triples.select(*TRIPLE_COLUMNS).distinct().hint("rebalance", "p").write.partitionBy("p").parquet(path)
+    rows = triples.select(*TRIPLE_COLUMNS)
+    rows = rows if distinct else rows.distinct()
+    rows.hint("rebalance", "p").write.partitionBy("p").parquet(path)
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
