@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE
 from fieldlark.model.vocab import DEFAULT, Vocab
+from fieldlark.session import small_table
 
 # fixed values: classes with their superclass ('' for none)
 CLASSES = [
@@ -71,12 +72,12 @@ def property_iri(name: str, vocab: Vocab) -> str:
 
 def classes(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
     rows = [(vocab.term(name), name, comment) for name, _, comment in CLASSES]
-    return spark.createDataFrame(rows, "class string, label string, comment string")
+    return small_table(spark, rows, "class string, label string, comment string")
 
 
 def subclass_of(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
     rows = [(vocab.term(name), vocab.term(parent)) for name, parent, _ in CLASSES if parent]
-    return spark.createDataFrame(rows, "sub string, sup string")
+    return small_table(spark, rows, "sub string, sup string")
 
 
 def properties(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
@@ -87,7 +88,7 @@ def properties(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
         (property_iri(name, vocab), "datatype", vocab.term(domain), v.XSD + range_)
         for name, domain, range_ in DATATYPE_PROPERTIES
     ]
-    return spark.createDataFrame(rows, "prop string, kind string, domain string, range string")
+    return small_table(spark, rows, "prop string, kind string, domain string, range string")
 
 
 def ontology_triples(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
@@ -115,4 +116,4 @@ def ontology_triples(spark: SparkSession, vocab: Vocab = DEFAULT) -> DataFrame:
             text(node, v.COMMENT, f"{name.removeprefix('dwc:')} of a {domain.lower()}")
             iri(node, v.DOMAIN, vocab.term(domain))
             iri(node, v.RANGE, vocab.term(range_) if kind == "Object" else v.XSD + range_)
-    return spark.createDataFrame(rows, TRIPLE)
+    return small_table(spark, rows, TRIPLE)

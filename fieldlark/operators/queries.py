@@ -23,6 +23,7 @@ from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators.grouping import newest_key, pick_first
 from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import exists, is_canonical, merge_records
+from fieldlark.session import small_table
 
 # fixed values: result limits
 NAME_LIMIT = 50
@@ -164,8 +165,8 @@ def taxonomy_summary(typed: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     # fixed values: labels of the summary
     labels = [("orders", "Order"), ("families", "Family"), ("genera", "Genus"),
               ("species", "Species"), ("observations", "Observation")]
-    wanted = typed.sparkSession.createDataFrame(
-        [(label, vocab.term(cls)) for label, cls in labels], "label string, class string")
+    wanted = small_table(
+        typed.sparkSession, [(label, vocab.term(cls)) for label, cls in labels], "label string, class string")
     counts = (
         typed.where(F.col("class").isin([vocab.term(cls) for _, cls in labels]))
         .groupBy("class").agg(F.count_distinct("s").alias("n"))

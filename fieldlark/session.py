@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -55,6 +58,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/fieldlark-{label}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A fixed table from a few rows, held in the plan with its real size."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    fields = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(fields.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), schema)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write *df* to the shared folder and read it back.
 

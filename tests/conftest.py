@@ -5,13 +5,13 @@ import pytest
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE
 from fieldlark.model.vocab import DEFAULT as V
-from fieldlark.session import build_session
+from fieldlark.session import build_session, small_table
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    session = build_session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -73,7 +73,7 @@ def two_species():
 @pytest.fixture(scope="session")
 def triples(spark):
     def make(rows):
-        return spark.createDataFrame(rows, TRIPLE)
+        return small_table(spark, rows, TRIPLE)
     return make
 
 

@@ -8,9 +8,10 @@ from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import occurrences as occ, taxonomy as tax
 from fieldlark.operators.triples import scan
 from fieldlark.plans.graph import build_graph
+from fieldlark.session import small_table
 from tests.conftest import rows
 
-SCHEMA = {s: types.TAXONOMY_RECORD for s in ("taxonomy",)}
+
 TAXA = [
     dict(seq=1, speciesCode="robi", category="species", sciName="Erithacus rubecula", comName="European Robin",
          order="Passeriformes", familySciName="Muscicapidae", familyComName="Flycatchers", taxonOrder=100.0),
@@ -27,7 +28,7 @@ NAMES = [dict(speciesCode="robi", category="species", comName="Rødhals"), dict(
 
 def frame(spark, records, schema):
     names = schema.fieldNames()
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], schema)
+    return small_table(spark, [tuple(r.get(n) for n in names) for r in records], schema)
 
 
 @pytest.fixture(scope="module")
