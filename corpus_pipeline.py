@@ -1,12 +1,61 @@
-"""Placeholder until the stages exist."""
+"""A training corpus from raw documents: five stages, each on all that the one before kept.
+
+Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from fieldlark.llm import contamination, langid, near_dups, packing, secrets
+from fieldlark.llm.queries import language_model, table, vocabulary
+from fieldlark.session import scratch_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; those without a letter go. Columns stay as they are."""
+    found = langid.identify(docs, language_model(docs))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dups.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return contamination.find(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked; n_chars follows the text."""
+    return secrets.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document with their place in sequences of 4096 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Tokenization, decoding and learning have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of a folder of tables; what lies between is kept in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

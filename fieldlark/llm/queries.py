@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlark.llm import chat, html_text, sharding, topk
+from fieldlark.llm import chat, contamination, html_text, langid, near_dups, packing, quality, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 PLANTED_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -35,6 +42,109 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+@query("op2_secret_scans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op3_decontamination", r"""
+with lowered as (
+    select 'd' as side, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    union all
+    select 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+), words as (
+    select side, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from lowered
+), item as (
+    select id as item_id, w, least(len(w), 10) as n from words where side = 'b' and len(w) > 0
+), item_window as (
+    select item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from item, unnest(range(1, len(w) - n + 2)) t(i)
+), doc as (
+    select id as doc_id, w from words where side = 'd'
+), doc_window as (
+    select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win
+    from doc, (select distinct n from item) as widths, unnest(range(1, len(w) - n + 2)) t(i)
+), match as (
+    select doc_id, item_id, i, n from doc_window join item_window using (n, win)
+), hit as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from match) group by doc_id
+), items as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, item_id::varchar as item from match) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (doc_id) left join items using (doc_id)
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.find(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+
+
+def fold(folds: int, column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def language_model(docs: DataFrame) -> langid.Model | None:
+    """Learned from four fifths of the documents that have a language."""
+    return langid.fit(docs.where(F.coalesce(fold(5), F.lit(0)) != 0))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op6_ngram_jaccard_join", r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), shingle as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) where len(w) > 0
+), size as (
+    select doc_id, count(*) as n from shingle group by doc_id
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingle a join shingle b using (s)
+    where a.doc_id <> b.doc_id group by all
+), link as (
+    select x, y from common join size p on p.doc_id = x join size q on q.doc_id = y where 1000 * c >= 800 * (p.n + q.n - c)
+), reach(x, y) as (
+    select x, y from link union select reach.x, link.y from reach join link on reach.y = link.x
+), least_of as (
+    select x, min(y) as y from reach group by x
+), degree as (
+    select x, count(*) as n from link group by x
+), copies as (
+    select doc_id, count(*) over (partition by array_to_string(w, ' ')) as n from words where len(w) > 0
+)
+select d.doc_id, least(d.doc_id, coalesce(l.y, d.doc_id)) as class_id, coalesce(g.n, 0)::bigint as n_links,
+       coalesce(c.n, 1)::bigint as n_copies
+from documents d left join least_of l on l.x = d.doc_id left join degree g on g.x = d.doc_id
+left join copies c on c.doc_id = d.doc_id
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels.where(fold(4) != 2))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
 @query("op8_sharding", """
 with recursive shard as (
     select i, ('0x' || substr(md5('shard-' || i), 1, 15))::bigint % 8191 as off,
