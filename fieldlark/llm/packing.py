@@ -28,7 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 CACHE = 400_000  # chunks of text whose ids a task remembers
 
-_UNSAFE = re.compile("[^\x00-ɏ]|<\\||[\t\r\f\v]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+_WORD_AND_SIGNS = re.compile("([a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-^`{-~]*)")
 
 
 class Rule(NamedTuple):
@@ -113,28 +114,69 @@ def best_fit_decreasing(counts: Mapping[int, int], capacity: int = CAPACITY) ->
     return rules, bins
 
 
-def token_bytes(tokenizer, texts: list[str | None], cache: dict[str, bytes]) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
+class ChunkIds:
+    """Ids of texts as little-endian 32-bit numbers, by way of their chunks between spaces and line ends.
 
-    The tokenizer splits at white space before it merges, so ids of chunks between spaces or line ends can be looked
-    up. Lower case is taken first only where that cannot change what the tokenizer's own normalisation gives.
+    The tokenizer splits at white space before it merges, so the ids of a text are those of its chunks, and ids of
+    chunks are remembered up to a bound. Lower case is taken first only where that cannot change what the
+    tokenizer's own normalisation gives. A run of letters is one unit to the tokenizer, and so is a run of other
+    signs after it; the last id of a unit is one that ends a word. So new words are encoded many at a time, and the
+    ids are cut where a word ends.
     """
-    chunked = []
-    for text in texts:
-        text = text or ""
-        if not _UNSAFE.search(text):
-            text = text.lower()
-        chunked.append(text.replace("\n", " ").split(" "))
-    if len(cache) > CACHE:
-        cache.clear()
-    missing = list(set().union(*chunked).difference(cache))
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for a in range(0, len(missing), 20_000):
-        part = missing[a: a + 20_000]
-        cache.update(zip(part, (
-            np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False))))
-    for chunks in chunked:
-        yield b"".join(map(cache.__getitem__, chunks))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for token, i in words.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        chunked = []
+        for text in texts:
+            text = text or ""
+            if "<|" not in text and (text.isascii() or not _BEYOND_LATIN.search(text)):
+                text = text.lower()
+            chunked.append(text.replace("\n", " ").split(" "))
+        self.learn(set().union(*chunked).difference(self.known))
+        for chunks in chunked:
+            yield b"".join(map(self.known.__getitem__, chunks))
+
+    def learn(self, chunks: set[str]) -> None:
+        parts, words, others = {}, set(), set()
+        for chunk in chunks:
+            m = _WORD_AND_SIGNS.fullmatch(chunk)
+            if m is None:
+                others.add(chunk)
+            else:
+                words.add(m[1])
+                if m[2]:
+                    parts[chunk] = m[1], m[2]
+                    others.add(m[2])
+        known = self.known
+        words = list(words.difference(known))
+        for a in range(0, len(words), 20_000):
+            some = words[a: a + 20_000]
+            ids = []
+            for e in self.encode([" ".join(some[i: i + 64]) for i in range(0, len(some), 64)], add_special_tokens=False):
+                ids += e.ids
+            ids = np.array(ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            data, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            assert len(cuts) == len(some) + 1
+            known.update(zip(some, (data[x:y] for x, y in zip(cuts, cuts[1:]))))
+        others = list(others.difference(known))
+        for a in range(0, len(others), 20_000):
+            some = others[a: a + 20_000]
+            known.update(zip(some, (
+                np.array(e.ids, "<u4").tobytes() for e in self.encode(some, add_special_tokens=False))))
+        for chunk, (word, signs) in parts.items():
+            known[chunk] = known[word] + known[signs]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text",
@@ -150,15 +192,13 @@ def pieces(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, cache, seen = Tokenizer.from_file(tokenizer_path), {}, defaultdict(int)
+        chunk_ids, seen = ChunkIds(tokenizer_path), defaultdict(int)
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
                 of, rows, ids = [], [], []
-                for i, data in enumerate(token_bytes(tokenizer, some.column("__text").to_pylist(), cache)):
+                for i, data in enumerate(chunk_ids.of(some.column("__text").to_pylist())):
                     data += end
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
