@@ -55,12 +55,12 @@ def find_sql(fold, typed, plain):
 
 @query("find_by_name_compat", find_sql(COMPAT, "réê", "ree"))
 def _(t):
-    return queries.find_species_by_name(t.named_species, t.habitat, "Réê")
+    return queries.find_species_by_name(t.named_species, t.habitat, "Réê", limit=queries.NAME_LIMIT)
 
 
 @query("find_by_name_full", find_sql(FULL, "elle eau", "elle eau"))
 def _(t):
-    return queries.find_species_by_name(t.named_species, t.habitat, "elle eau", fold="full")
+    return queries.find_species_by_name(t.named_species, t.habitat, "elle eau", fold="full", limit=queries.NAME_LIMIT)
 
 
 @query("folded_names", f"""
@@ -105,12 +105,12 @@ RECENT = """
 
 @query("recent_observations", RECENT.format(""))
 def _(t):
-    return queries.recent_observations(t.species, t.observation)
+    return queries.recent_observations(t.species, t.observation, limit=queries.RECENT_LIMIT)
 
 
 @query("recent_observations_named", RECENT.format("where " + name_condition(COMPAT, "a machin", "a machin")))
 def _(t):
-    return queries.recent_observations(t.species, t.observation, "À machin", fold="compat")
+    return queries.recent_observations(t.species, t.observation, "À machin", fold="compat", limit=queries.RECENT_LIMIT)
 
 
 MONTHS = "(select distinct species, month(observed_on) as m from $observation where observed_on is not null)"

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from checks.q_ingest import SPECIES, land
 from checks.registry import query
-from fieldlark.model import types, vocab as v
+from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import enrichment as en, taxonomy as tax
 from fieldlark.operators.triples import scan
+from fieldlark.plans import graph as plans
+from fieldlark.session import scratch_path
 from fieldlark.sources import landed
 
 NUM = r"regexp_matches({0}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')"
@@ -63,8 +65,7 @@ def _(t):
       and g.o = x.o)) as added from ({TRAITS}) x""")
 def _(t):
     offered = en.trait_triples(en.fold_traits(t.trait_row), en.trait_values(t.trait_row), index(t), V)
-    held = t.graph.where(F.col("p").isin(V.term("massGrams"), V.term("habitat"), V.term("range"), v.SAME_AS))
-    return en.enrichment_report(held, offered)
+    return en.enrichment_report(t.graph, offered)
 
 
 @query("trait_coverage", f"""
@@ -210,17 +211,36 @@ def _(t):
     return en.assessment_triples(named, t.species.select("scientific_name", "species"), V).select("s", "p", "o")
 
 
-@query("landed_trait_bindings", """
-    select name, count(*) as n, count(mass) as n_mass from $trait_row group by name""")
-def _(t):
+def landed_batches(t, rows, variables):
+    """Query results as they are landed: a file per batch of 200 rows, named in the order of the rows."""
     def cell(c):
         return F.struct(F.lit("literal").alias("type"), F.col(c).alias("value"), F.lit("").alias("datatype"))
-    columns = {c: key for key, c in en.TRAIT_VARIABLES.items()}
     entries = F.map_from_entries(F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(key), cell(c))) for c, key in columns.items()])))
-    batch = t.trait_row.select(F.struct(F.array(entries).alias("bindings")).alias("results"))
-    # one result per line here; landed batches hold many results in one file
-    lines = t.spark.read.schema(types.BINDINGS).json(land(t, batch, "bindings"))
-    rows = lines.select(F.posexplode("results.bindings").alias("seq", "b"))
-    return en.binding_columns(rows, en.TRAIT_VARIABLES).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.count("mass").alias("n_mass"))
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(key), cell(c))) for key, c in variables.items()])))
+    batch = F.lpad(F.floor(F.col("seq") / 200).cast("string"), 9, "0").alias("batch")
+    results = F.transform(F.array_sort(
+        F.collect_list(F.struct("seq", entries.alias("b"))), lambda x, y: F.signum(x["seq"] - y["seq"]).cast("int")), lambda x: x["b"])
+    path = scratch_path(t.spark, "bindings")
+    rows.groupBy(batch).agg(F.to_json(F.struct(F.struct(results.alias("bindings")).alias("results"))).alias("value")).write.option(
+        "maxRecordsPerFile", 1).partitionBy("batch").text(path)
+    return path
+
+
+@query("landed_trait_bindings", """
+    select name, item_label, habitat_label, status_label, range_label, diel_label, mass, wingspan from $trait_row""")
+def _(t):
+    rows = landed.read_trait_bindings(t.spark, landed_batches(t, t.trait_row, en.TRAIT_VARIABLES))
+    return rows.select("name", "item_label", "habitat_label", "status_label", "range_label", "diel_label", "mass", "wingspan")
+
+
+@query("landed_picture_bindings", "select item, thumb, range_map from $picture_row")
+def _(t):
+    rows = landed.read_picture_bindings(t.spark, landed_batches(t, t.picture_row, en.PICTURE_VARIABLES))
+    return rows.select("item", "thumb", "range_map")
+
+
+@query("enriched_with_traits", TRAITS)
+def _(t):
+    """From landed files and the graph to the triples they offer."""
+    bindings = landed.read_trait_bindings(t.spark, landed_batches(t, t.trait_row, en.TRAIT_VARIABLES))
+    return plans.enrich_with_traits(t.graph, bindings, V).select("s", "p", "o")

@@ -6,7 +6,7 @@ from checks.registry import query
 from fieldlark.functions import geo
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import occurrences as occ, taxonomy as tax
-from fieldlark.operators.triples import count_by
+from fieldlark.operators.triples import union_graphs
 from fieldlark.plans.graph import build_graph
 from fieldlark.session import scratch_path
 from fieldlark.sources import landed
@@ -75,13 +75,19 @@ def _(t):
 
 
 NAMES = """select '@SP@'||species_code as s, '@ONT@commonName{1}' as p, com_name as o, '{0}' as o_lang from $localized_record
-    where lang = '{0}' and category = 'species' and species_code <> '' and com_name <> ''"""
+    where lang in ({2}) and category = 'species' and species_code <> '' and com_name <> ''"""
 
 
-@query("localized_names", NAMES.format("fr", "Fr") + " union " + NAMES.format("en", "En"))
+# locales of the graph, and the languages of the given documents that stand for them
+LANGUAGES = {"da": ("de", "es"), "en": ("en",), "fr": ("fr",)}
+ALL_NAMES = " union ".join(
+    NAMES.format(locale, locale.title(), ", ".join(f"'{x}'" for x in langs)) for locale, langs in LANGUAGES.items())
+
+
+@query("localized_names", ALL_NAMES)
 def _(t):
-    fr, en = (tax.localized_name_triples(t.localized(lang), lang, V) for lang in ("fr", "en"))
-    return fr.unionByName(en).select("s", "p", "o", "o_lang")
+    rows = [tax.localized_name_triples(t.localized(*langs), locale, V) for locale, langs in LANGUAGES.items()]
+    return union_graphs(*rows).select("s", "p", "o", "o_lang")
 
 
 INDEX = f"select scientific_name, min(species) as species from ({SPECIES}) sp group by scientific_name"
@@ -209,14 +215,12 @@ def _(t):
 
 
 @query("build_graph", f"""
-    select p, count(*) as n from (
-      select s, p, o, '' as o_lang from ({TAXA}) a union select s, p, o, '' from ({SEEN}) b
-      union {NAMES.format('fr', 'Fr')}
-      union select s, p, o, '' from $graph where s in (select s from $graph where p = '@TYPE@' and starts_with(o, '@OWL@'))) g
-    group by p""")
+    select s, p, o, '' as o_lang from ({TAXA}) a union select s, p, o, '' from ({SEEN}) b
+    union {ALL_NAMES}
+    union select s, p, o, '' from $graph where s in (select s from $graph where p = '@TYPE@' and starts_with(o, '@OWL@'))""")
 def _(t):
-    graph = build_graph(t.taxonomy, {"fr": t.localized("fr")}, t.occurrences, max_records=None, vocab=V)
-    return count_by(graph, "p")
+    graph = build_graph(t.taxonomy, {locale: t.localized(*langs) for locale, langs in LANGUAGES.items()}, t.occurrences, vocab=V)
+    return graph.select("s", "p", "o", "o_lang")
 
 
 def land(t, rows, label):
@@ -231,14 +235,59 @@ def _(t):
 
 
 @query("landed_occurrences", """
-    select yr, count(*) as n, count(lat) as n_placed from $occurrence_record where yr between 1994 and 1996 group by yr""")
+    select seq, yr, occ_key, scientific_name, event_date, lat, lon, locality, recorder,
+      try_cast(individual_count as bigint) as individual_count
+    from $occurrence_record where yr between 1994 and 1996""")
 def _(t):
+    """Every other count is a JSON number with a fraction, the others are texts."""
     rows = t.occurrences.withColumns({
         "datasetKey": F.lit(landed.DATASET_KEY), "basisOfRecord": F.lit(landed.BASIS_OF_RECORD)})
+    count = F.col("individualCount")
+    is_number = (F.col("seq") % 2 == 0) & (count != "many")
+    shown = F.when(is_number, F.concat(count, F.lit(".7"))).otherwise(F.concat(F.lit('"'), count, F.lit('"')))
+    record = F.to_json(F.struct(*[c for c in rows.columns if c not in ("individualCount", "year")]))
+    line = F.concat(F.lit('{"individualCount":'), shown, F.lit(","), F.substring(record, F.lit(2), F.length(record)))
     path = scratch_path(t.spark, "occurrences")
-    rows.write.partitionBy("year").json(path)
-    return landed.read_occurrences(t.spark, path, years=(1994, 1996)).groupBy(F.col("year").alias("yr")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("decimalLatitude").alias("n_placed"))
+    rows.select("year", line.alias("value")).write.partitionBy("year").text(path)
+    read = landed.read_occurrences(t.spark, path, years=(1994, 1996))
+    return read.select(
+        "seq", F.col("year").alias("yr"), F.col("key").alias("occ_key"), F.col("scientificName").alias("scientific_name"),
+        F.col("eventDate").alias("event_date"), F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"),
+        "locality", F.col("recordedBy").alias("recorder"),
+        occ.individual_count(F.col("individualCount"), read.schema["individualCount"].dataType).alias("individual_count"))
+
+
+@query("landed_names", ALL_NAMES)
+def _(t):
+    path = scratch_path(t.spark, "names")
+    rows = t.localized_record.withColumnsRenamed({"species_code": "speciesCode", "com_name": "comName", "lang": "locale"})
+    rows.write.partitionBy("locale").json(path)
+    names = landed.read_localized_names(t.spark, path)
+    return union_graphs(*[
+        tax.localized_name_triples(names.where(F.col("locale").isin(*langs)), locale, V)
+        for locale, langs in LANGUAGES.items()]).select("s", "p", "o", "o_lang")
+
+
+@query("landed_sightings", """
+    select "speciesCode" as code, "comName" as name, "obsDt" as seen, "locName" as place, lat, lng, "howMany" as n from $sighting""")
+def _(t):
+    rows = landed.read_sightings(t.spark, land(t, t.sighting, "sightings"))
+    return rows.select(
+        F.col("speciesCode").alias("code"), F.col("comName").alias("name"), F.col("obsDt").alias("seen"),
+        F.col("locName").alias("place"), "lat", "lng", F.col("howMany").alias("n"))
+
+
+@query("landed_counts", """
+    select (select count(*) from $taxonomy_record) as taxonomy, (select count(*) from $localized_record) as names,
+      (select count(*) from $sighting) as sightings""")
+def _(t):
+    """Readers asked for nothing but a count."""
+    spark = t.spark
+    read = [landed.read_taxonomy(spark, land(t, t.taxonomy, "taxonomy")),
+            landed.read_localized_names(spark, land(t, t.localized_record.withColumnRenamed("species_code", "speciesCode"), "names")),
+            landed.read_sightings(spark, land(t, t.sighting, "sightings"))]
+    counts = [df.agg(F.count(F.lit(1))).scalar() for df in read]
+    return spark.range(1).select(*[n.alias(c) for n, c in zip(counts, ("taxonomy", "names", "sightings"))])
 
 
 @query("corrupt_lines", """

@@ -6,7 +6,7 @@ from checks.registry import query
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import enrichment, quality as q
-from fieldlark.operators.triples import without
+from fieldlark.operators.triples import count_by, match_all, pattern, without
 
 
 def renamed(t):
@@ -29,10 +29,13 @@ def _(t):
 
 
 @query("missing_superclasses", """
-    select s as sub, o as sup from $graph where p = '@RDFS@subClassOf' and s in ('@ONT@Order', '@ONT@Genus')""")
+    select l.s as sub, l.o as sup, count(*) as n from $graph l join $graph g on g.p = '@TYPE@' and g.o = l.s
+    where l.p = '@RDFS@subClassOf' and l.s in ('@ONT@Order', '@ONT@Genus') group by all""")
 def _(t):
+    """Links between classes that the graph lacks, with the instances concerned."""
     held = without(without(t.graph, s=V.term("Order"), p=v.SUBCLASS_OF), s=V.term("Genus"), p=v.SUBCLASS_OF)
-    return q.missing_superclasses(held, V)
+    lacking = q.missing_superclasses(held, V)
+    return count_by(match_all(pattern(held, "_", v.TYPE, "sub"), lacking), "sub", "sup")
 
 
 @query("minimum_counts", """

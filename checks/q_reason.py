@@ -7,7 +7,7 @@ from checks.registry import query
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import closure, inference
-from fieldlark.operators.triples import count_by, scan, union_graphs
+from fieldlark.operators.triples import union_graphs
 from fieldlark.plans.reasoning import run_reasoner
 
 PAIRS = """pairs as (select child as node, parent as ancestor from $taxon_edge
@@ -23,8 +23,7 @@ def _(t):
     with recursive {PAIRS} select node as s, ancestor as o from pairs
     where not exists (select 1 from $taxon_edge e where e.child = node and e.parent = ancestor)""")
 def _(t):
-    edges = scan(t.graph, p=V.parent_taxon)
-    return inference.transitive_parents(edges, V).select("s", "o")
+    return inference.transitive_parents(t.graph, V).select("s", "o")
 
 
 @query("cyclic_closure", """
@@ -140,9 +139,9 @@ REASONED = f"""
       r5 as (select s, p, o from r4 union ({MIGRATION}))"""
 
 
-@query("reasoned_graph", REASONED + " select p, count(*) as n from r5 group by p")
+@query("reasoned_graph", REASONED + " select s, p, o from r5")
 def _(t):
-    return count_by(run_reasoner(t.graph, V, is_stored=True).triples, "p")
+    return run_reasoner(t.graph, V, is_stored=True).triples.select("s", "p", "o")
 
 
 @query("reasoner_report", REASONED + """

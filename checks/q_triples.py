@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from fieldlark.model import vocab as v
+from fieldlark.model.ontology import ontology_triples
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import triples as T
 from fieldlark.plans import graph as plans
@@ -73,9 +74,9 @@ def _(t):
         T.pattern(t.graph, "species", V.has_observation, "obs"))
 
 
-@query("triple_distinct", "select distinct p, o_kind, o_lang, o_datatype from $graph")
+@query("triple_distinct", "select distinct s, p, o, o_kind, o_lang, o_datatype from $graph")
 def _(t):
-    return t.graph.select("p", "o_kind", "o_lang", "o_datatype").distinct()
+    return T.union_graphs(t.graph, t.graph, T.scan(t.graph, p=v.TYPE))
 
 
 @query("triple_top", f"select s, o from ({where('@ONT@observedOn')}) x order by o desc, s limit 100")
@@ -114,36 +115,36 @@ def _(t):
     return T.scan(t.graph, p=V.term("individualCount"), o="7").select("s", "o")
 
 
-@query("triple_union", """
-    select p, count(*) as n from (select s, p, o from $graph where p in ('@TYPE@', '@DWC@family')
-      union select s, p, o from $graph where p in ('@TYPE@', '@DWC@order')) x group by p""")
+def not_evaluated(t):
+    """A status for every species that has a migration status; some have it already."""
+    return T.scan(t.graph, p=V.term("migrationStatus")).withColumns(
+        {"p": F.lit(V.term("conservationStatus")), "o": F.lit("NE")})
+
+
+NEW = f"select s, '@ONT@conservationStatus' as p, 'NE' as o from ({where('@ONT@migrationStatus')}) m"
+
+
+@query("triple_union", f"select s, p, o from $graph union {NEW}")
 def _(t):
-    left = t.graph.where(F.col("p").isin(v.TYPE, v.FAMILY))
-    right = t.graph.where(F.col("p").isin(v.TYPE, v.ORDER))
-    return T.count_by(T.union_graphs(left, right), "p")
+    return T.union_graphs(t.graph, not_evaluated(t)).select("s", "p", "o")
 
 
-@query("triple_without", "select p, count(*) as n from $graph where p <> '@ONT@conservationStatus' group by p")
+@query("triple_without", "select s, p, o from $graph where p <> '@ONT@conservationStatus'")
 def _(t):
-    return T.count_by(T.without(t.graph, p=V.term("conservationStatus")), "p")
+    return T.without(t.graph, p=V.term("conservationStatus")).select("s", "p", "o")
 
 
 @query("triple_replace_values", f"""
-    select coalesce(w.s, x.s) as s, coalesce(w.o, x.o) as o
-    from ({where('@ONT@conservationStatus')}) x
-    full join (select s, 'NE' as o from ({where('@ONT@migrationStatus')}) m) w on w.s = x.s""")
+    select s, p, o from $graph g where not exists (select 1 from ({NEW}) n where n.s = g.s and n.p = g.p) union {NEW}""")
 def _(t):
-    new = T.scan(t.graph, p=V.term("migrationStatus")).withColumns(
-        {"p": F.lit(V.term("conservationStatus")), "o": F.lit("NE")})
-    held = T.scan(t.graph, p=V.term("conservationStatus"))
-    return T.replace_values(held, new).select("s", "o")
+    return T.replace_values(t.graph, not_evaluated(t)).select("s", "p", "o")
 
 
 @query("triple_missing", f"""
     select s from ({where('@ONT@parentTaxon')}) x where s not in (select s from ({where('@TYPE@', '@ONT@Species')}) y)""")
 def _(t):
     new = T.scan(t.graph, p=V.parent_taxon).withColumns({"p": F.lit(v.TYPE), "o": F.lit(V.term("Species"))})
-    return T.missing_from(T.scan(t.graph, p=v.TYPE), new).select("s")
+    return T.missing_from(t.graph, new).select("s")
 
 
 @query("triple_first_value", f"select s, min(o) as link from ({where('@SAME@')}) x group by s")
@@ -186,12 +187,41 @@ def _(t):
     return T.merge_records(t.species.select("species", "scientific_name", F.col("family").alias("note")), seen, "species")
 
 
-@query("ntriples_round_trip", "select p, o_kind, o_lang, o_datatype, count(*) as n from $graph group by all")
+@query("ntriples_round_trip", "select distinct s, p, o, o_kind, o_lang, o_datatype from $graph")
 def _(t):
     path = scratch_path(t.spark, "nt")
     graph_files.write_ntriples(t.graph, path)
-    return graph_files.read_ntriples(t.spark, path).groupBy("p", "o_kind", "o_lang", "o_datatype").agg(
-        F.count(F.lit(1)).alias("n"))
+    return graph_files.read_ntriples(t.spark, path)
+
+
+@query("ntriples_long_texts", "select distinct '@SP@d'||doc_id as s, '@ONT@text' as p, text as o from {documents} where text is not null")
+def _(t):
+    path = scratch_path(t.spark, "nt")
+    texts = T.to_triples(t.given("documents"), [
+        T.Fact(F.concat(F.lit(V.taxon("species/d")), "doc_id"), V.term("text"), F.col("text"))])
+    graph_files.write_ntriples(texts, path)
+    return graph_files.read_ntriples(t.spark, path).select("s", "p", "o")
+
+
+@query("ntriples_escapes", """
+    select '@SP@é'||event_id as s, '@ONT@🐦' as p, '🐦 '||event_type||' 🐦 \\U0001F426 "it''s" '||user_id as o from {events}""")
+def _(t):
+    """Escaped characters within and beyond the basic plane, in literals and in names of nodes."""
+    path = scratch_path(t.spark, "nt")
+    line = F.concat(
+        F.lit(f"<{V.taxon('species/')}\\u00e9"), "event_id", F.lit(f"> <{V.term('')}\\U0001F426> \"\\U0001F426 "), "event_type",
+        F.lit(" \\uD83D\\uDC26 \\\\U0001F426 \\\"it\\'s\\\" "), F.col("user_id").cast("string"), F.lit('" .'))
+    t.given("events").select(line.alias("value")).write.text(path)
+    return graph_files.read_ntriples(t.spark, path).select("s", "p", "o")
+
+
+@query("ntriples_report", """
+    select count(*) filter (event_type <> 'error') as n_triples, count(*) filter (event_type = 'error') as n_bad from {events}""")
+def _(t):
+    path = scratch_path(t.spark, "nt")
+    line = F.concat(F.lit("<s> <p> "), F.when(F.col("event_type") == "error", F.lit('"open')).otherwise(F.lit("<o>")), F.lit(" ."))
+    t.given("events").select(line.alias("value")).write.text(path)
+    return graph_files.ntriples_report(t.spark, path)
 
 
 @query("parquet_round_trip", where("@ONT@commonNameDa"))
@@ -202,7 +232,12 @@ def _(t):
 
 
 @query("ontology_triples", """
-    select s, p, o from $graph where s in (select s from $graph where p = '@TYPE@' and starts_with(o, '@OWL@'))""")
-def _(t):
-    declared = T.scan(t.graph, p=v.TYPE).where(F.col("o").startswith(v.OWL)).select("s")
-    return T.exists(t.graph, declared).select("s", "p", "o")
+    with declared as (select distinct s from $graph where p = '@TYPE@' and starts_with(o, '@OWL@'))
+    select term, count(*) as n from (select p as term from $graph union all select o from $graph where p = '@TYPE@') u
+    where term in (select s from declared) group by term""")
+def _(t):
+    """How many triples use each term that the ontology declares."""
+    declared = ontology_triples(t.spark, V).where(
+        (F.col("p") == v.TYPE) & F.col("o").startswith(v.OWL)).select(F.col("s").alias("term"))
+    used = t.graph.select(F.col("p").alias("term")).unionByName(T.pattern(t.graph, "_", v.TYPE, "term").select("term"))
+    return T.count_by(T.exists(used, declared), "term")

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fieldlark import KnowledgeGraph
 from fieldlark.model import ontology, vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators.triples import Fact, has_type, link, to_triples
@@ -170,8 +171,8 @@ class Tables:
             "family_sci": "familySciName", "family_com": "familyComName", "taxon_order": "taxonOrder",
         }).withColumn("scientificName", F.lit(None).cast("string"))
 
-    def localized(self, lang: str) -> DataFrame:
-        return self.localized_record.where(F.col("lang") == lang).withColumnsRenamed(
+    def localized(self, *langs: str) -> DataFrame:
+        return self.localized_record.where(F.col("lang").isin(*langs)).withColumnsRenamed(
             {"species_code": "speciesCode", "com_name": "comName"})
 
     @cached_property
@@ -196,6 +197,16 @@ class Tables:
             STORED[key] = path
         return read_graph(self.spark, STORED[key])
 
+    @cached_property
+    def saved(self) -> KnowledgeGraph:
+        """The same graph with its typed tables, saved once per session and loaded."""
+        key = (self.spark.sparkContext.applicationId, self.folder + "#saved")
+        if key not in STORED:
+            path = scratch_path(self.spark, "saved")
+            KnowledgeGraph(self.graph, V).save(path)
+            STORED[key] = path
+        return KnowledgeGraph.load(self.spark, STORED[key], V)
+
     def derived_graph(self) -> DataFrame:
         """Species, taxa, observations and the ontology as triples."""
         sp, obs = F.col("species"), F.col("obs_iri")

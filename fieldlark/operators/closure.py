@@ -63,39 +63,44 @@ def components(edges: DataFrame) -> DataFrame:
     The component is named by its least node. Alternates the two star rewrites of
     Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): the
     number of rounds is logarithmic, and a hub only ever contributes edges to its
-    least neighbour, never pairs of its neighbours.
+    least neighbour, never pairs of its neighbours. The least neighbours are written
+    before they are joined: both sides of the join are then plain reads, whose real
+    size decides how they are joined, and a hub's rows can be split.
     """
-    pairs = cut_lineage(
+    links = cut_lineage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    links = pairs.where("u <> v")
-    while not _is_star_forest(links):
-        links = cut_lineage(_small_star(_large_star(links)), "links")
-    labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    alone = links.where("u = v").select("u", "v")
+    links = links.where("u <> v")
+    while True:
+        around = cut_lineage(_neighbourhoods(links), "around")
+        # a forest of stars: every node has one link, and links lead to nodes without one
+        if around.where("(n_less > 1) or (n_less > 0 and n_more > 0)").isEmpty():
+            break
+        large = cut_lineage(_large_star(links, around), "large")
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        links = cut_lineage(_small_star(large, least), "links")
+    return (
+        links.unionByName(links.select(F.col("v").alias("u"), "v")).unionByName(alone)
+        .groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    )
+
+
+def _neighbourhoods(links: DataFrame) -> DataFrame:
+    """Per node: the least of it and its neighbours, and how many neighbours are less and more than it."""
+    one, none = F.lit(1).alias("less"), F.lit(0)
+    both = links.select("u", "v", one, none.alias("more")).unionByName(
+        links.select(F.col("v").alias("u"), F.col("u").alias("v"), none.alias("less"), F.lit(1).alias("more")))
+    return both.groupBy("u").agg(
+        F.least(F.min("v"), F.col("u")).alias("m"), F.sum("less").alias("n_less"), F.sum("more").alias("n_more"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, around: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the least of the node and its neighbours."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        spread_join(both.where("v > u"), least, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
-    )
+    return links.select(F.col("v").alias("u"), F.col("u").alias("larger")).join(around.select("u", "m"), "u").select(
+        F.col("larger").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, least: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node itself, to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(links, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _is_star_forest(links: DataFrame) -> bool:
-    """Whether every node has one link and links lead to nodes without one. One row is fetched."""
-    sides = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
-        links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    per_node = sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return per_node.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()

@@ -130,13 +130,14 @@ def live_flag(expected: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def clamp_days(days: int) -> int:
+    """Days a web endpoint would accept; landed data has no such bounds."""
     return max(1, min(days, 30))
 
 
 def recent_sightings(live: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
-    """Sightings of the last *days* days (1 to 30)."""
+    """Sightings of the last *days* days."""
     seen = F.substring("obsDt", 1, 10).try_cast("date")
-    return live.where(seen.between(F.date_sub(as_of, clamp_days(days)), as_of))
+    return live.where(seen.between(F.date_sub(as_of, days), as_of))
 
 
 def live_sightings(live: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 A key may hold a large share of all rows. ``pick_first`` is an aggregate, so all
 but one row per key and map task disappear before the shuffle. ``top_per_key``
-ranks in stages, each over a narrower spread of the key.
+ranks once for a small n, of which every map task passes on n rows per key at most,
+and in stages, each over a narrower spread of the key, for a large one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# a hot key is ranked in this many pieces first, then in fewer, then whole
+# a hot key is ranked in this many pieces first, then in fewer, then whole, if n is above this
 SPREAD = (4096, 64)
+SPREAD_FROM = 1000
 
 
 def pick_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -28,10 +30,11 @@ def top_per_key(
 ) -> DataFrame:
     """First *n* rows of each key in *order*, which must be a total order.
 
-    Rows are spread by a hash of *spread_on*; keeping the first *n* of every piece
-    keeps the first *n* of the whole, so the stages are exact.
+    The ranking drops rows beyond *n* in every map task, before the shuffle. For an *n*
+    above ``SPREAD_FROM`` that is not enough: rows are spread by a hash of *spread_on*, and
+    keeping the first *n* of every piece keeps the first *n* of the whole.
     """
-    for pieces in (*spread, 1):
+    for pieces in (*(spread if n > SPREAD_FROM else ()), 1):
         piece = F.pmod(F.xxhash64(*spread_on), F.lit(pieces))
         by = keys if pieces == 1 else [*keys, piece]
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlark.functions import migration
 from fieldlark.model import vocab as v
@@ -12,7 +12,7 @@ from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure
 from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import (
-    Fact, entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan, to_triples,
+    entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan,
 )
 
 
@@ -110,11 +110,15 @@ def migration_facts(facts: DataFrame, has_status: DataFrame | None = None, vocab
 
 
 def migration_triples(classified: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """One status triple and one triple per month."""
-    sp = F.col("species")
-    months = classified.select("species", F.explode(migration.mask_months(F.col("months"))).alias("month"))
-    return to_triples(classified, [Fact(sp, vocab.term("migrationStatus"), F.col("migration_status"))]).unionByName(
-        to_triples(months, [Fact(sp, vocab.term("typicallyPresentInMonth"), F.col("month"), datatype=v.INTEGER)]))
+    """One status triple and one triple per month, from one pass over *classified*."""
+    def row(predicate: str, value: Column, datatype: str) -> Column:
+        return F.struct(F.lit(predicate).alias("p"), value.cast("string").alias("o"), F.lit(datatype).alias("o_datatype"))
+
+    status = row(vocab.term("migrationStatus"), F.col("migration_status"), "")
+    months = F.transform(
+        migration.mask_months(F.col("months")), lambda m: row(vocab.term("typicallyPresentInMonth"), m, v.INTEGER))
+    return classified.select("species", F.explode(F.concat(F.array(status), months)).alias("t")).where("t.o is not null").select(
+        F.col("species").alias("s"), "t.p", "t.o", F.lit("literal").alias("o_kind"), F.lit("").alias("o_lang"), "t.o_datatype")
 
 
 def migration_rule(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
@@ -126,7 +130,9 @@ def migration_rule(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         "species", F.substring("date", 1, 10).try_cast("date").alias("observed_on"))
     known = pattern(triples, "species", vocab.term("migrationStatus"), "status").select("species")
     classified = exists(migration_facts(dated, known, vocab), species)
-    return missing_from(triples, migration_triples(classified, vocab))
+    return missing_from(
+        triples, migration_triples(classified, vocab),
+        [vocab.term("migrationStatus"), vocab.term("typicallyPresentInMonth")])
 
 
 def class_counts(triples: DataFrame, vocab: Vocab = DEFAULT, alias: str = "n") -> DataFrame:

@@ -1,61 +1,37 @@
 """Joins whose left side may hold a large share of its rows under one key.
 
-Adaptive execution splits a hot key only where both join inputs come straight
-from a shuffle. Many joins here have an aggregate on one side, which rules that
-out, so hot keys are spread explicitly once the right side is too large to be
-broadcast.
+Adaptive execution splits a hot key only where both inputs of a join come straight
+from a shuffle, and rows with a NULL key, which match nothing, all hash alike.
+``spread_join`` adds one join column that takes care of both: it is 0 for every row
+that can match, so results are those of a plain join, and some other number for
+rows that cannot, which spreads them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-# a key is hot when it holds more than this share of the left rows; there can be
-# fewer than 1 / HOT_SHARE such keys, which bounds the broadcast table of them
-HOT_SHARE = 1 / 1000
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of what *df* reads, by the optimizer's estimate: after pruning, before any join multiplies it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def needs_spreading(left: DataFrame, right: DataFrame) -> bool:
-    """Whether a hot key could hurt: the right side reads more than may be broadcast, and
-    the left side reads more than one task is meant to hold. Both limits are the session's."""
-    conf = left.sparkSession._jsparkSession.sessionState().conf()
-    task = int(conf.getConf(left.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.SKEW_JOIN_SKEWED_PARTITION_THRESHOLD()))
-    return input_bytes(right) > conf.autoBroadcastJoinThreshold() and input_bytes(left) > task
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
 
-def hot_keys(left: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys above *share* of the rows, with the number of ``pieces`` to spread each over."""
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    pieces = F.ceil(F.col("_n") / (total * F.lit(share)))
-    return counts.where(pieces > 1).select(*on, pieces.cast("int").alias("_pieces"))
+# rows with a NULL key go to this many groups
+NULL_GROUPS = 4096
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join of *left*, which may be skewed, with *right*; how is inner, left, left_semi or left_anti.
 
-    Where one side is small (see ``needs_spreading``) the optimizer decides alone, and
-    broadcasts the right side if its real size allows. Otherwise every hot key of the left
-    side is spread over pieces by a hash of the whole row, and the right rows of hot keys,
-    and only those, are repeated once per piece. Each left row meets each matching right
-    row exactly once.
+    The join column keeps an aggregated right side from being joined where its groups
+    are, so both inputs are shuffle stages whose large partitions adaptive execution
+    can split. Whether a side is broadcast stays the optimizer's choice, by its size.
     """
     on = [on] if isinstance(on, str) else on
-    if not needs_spreading(left, right):
-        return left.join(right, on, how)
-    hot = F.broadcast(hot_keys(left, on))
-    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    piece_of_row = F.pmod(F.xxhash64(*left.columns), pieces).cast("int")
-    spread = left.join(hot, on, "left").withColumn("_piece", piece_of_row).drop("_pieces")
-    repeated = (
-        right.join(hot, on, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    # no constant: the optimizer would take a constant out of the join keys
+    zero = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in on]), F.lit(1))
+    unmatched = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+    group = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(NULL_GROUPS)) + 1
+    if how in ("inner", "left_semi"):  # rows without a key go before the shuffle
+        group = F.lit(None)
+    return (
+        left.withColumn("_spread", F.when(unmatched, group).otherwise(zero))
+        .join(right.withColumn("_spread", zero), [*on, "_spread"], how).drop("_spread")
     )
-    return spread.join(repeated, [*on, "_piece"], how).drop("_piece")
-

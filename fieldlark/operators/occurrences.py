@@ -24,9 +24,9 @@ def record_key() -> Column:
     return F.coalesce(number, text.non_empty(F.col("gbifID")))
 
 
-def observation_key() -> Column:
-    """Stable id: the record key, else a short digest of name, date and place."""
-    parts = [F.col("scientificName"), F.col("eventDate"), text.number_text(F.col("decimalLatitude")),
+def observation_key(name: str = "scientificName") -> Column:
+    """Stable id: the record key, else a short digest of name (as delivered), date and place."""
+    parts = [F.col(name), F.col("eventDate"), text.number_text(F.col("decimalLatitude")),
              text.number_text(F.col("decimalLongitude"))]
     shown = [F.coalesce(part, F.lit("None")) for part in parts]
     return F.coalesce(record_key(), F.substring(F.md5(F.concat(*shown)), 1, 12))
@@ -47,9 +47,10 @@ def individual_count(column: Column, data_type: T.DataType) -> Column:
 
 
 def capped_newest_first(
-    records: DataFrame, max_records: int = 5000, year_cap: int = YEAR_CAP, current_year: int | None = None,
+    records: DataFrame, max_records: int | None = None, year_cap: int | None = None, current_year: int | None = None,
 ) -> DataFrame:
-    """A capped sample: newest years first, each cut at *year_cap*, one row per key.
+    """One row per key, newest years first; a year is cut at *year_cap* (``YEAR_CAP`` is that of the paged
+    download), the whole at *max_records*. Without caps all keys are kept.
 
     Records without a key are left out. A key that occurs in several years counts
     for the newest. Order within a year is that of ``seq``.
@@ -59,17 +60,21 @@ def capped_newest_first(
         rows = rows.where(F.col("year").between(current_year - YEARS_BACK + 1, current_year))
     newest = F.coalesce(-F.col("year"), F.lit(2**31 - 1))
     unique = pick_first(rows, ["_key"], [newest, F.col("seq")])
-    capped = top_per_key(unique, ["year"], [F.col("seq").asc()], year_cap, spread_on=["_key"])
-    return capped.orderBy(F.desc("year"), F.asc("seq")).limit(max_records).drop("_key")
+    if year_cap is not None:
+        unique = top_per_key(unique, ["year"], [F.col("seq").asc()], year_cap, spread_on=["_key"])
+    newest_first = unique.orderBy(F.desc("year"), F.asc("seq"))
+    return (newest_first if max_records is None else newest_first.limit(max_records)).drop("_key")
 
 
 def resolve_species(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Add ``species`` (and ``is_minted``): matched by binomial, else minted from the full name.
 
-    A name that many records carry is spread when the index is too large to broadcast.
+    ``_raw_name`` keeps the name as it was delivered. A name that many records carry is
+    split by adaptive execution when the index is too large to broadcast.
     """
     named = (
-        records.withColumn("scientificName", text.strip(F.col("scientificName")))
+        records.withColumn("_raw_name", F.col("scientificName"))
+        .withColumn("scientificName", text.strip(F.col("scientificName")))
         .where(F.col("scientificName") != "")
         .withColumn("_binomial", text.binomial(F.col("scientificName")))
     )
@@ -99,7 +104,8 @@ def observations(resolved: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     placed = lat.isNotNull() & lon.isNotNull()
     count_type = resolved.schema["individualCount"].dataType
     return resolved.select(
-        F.concat(F.lit(vocab.observation()), observation_key()).alias("obs_id"),
+        F.concat(F.lit(vocab.observation()), observation_key(
+            "_raw_name" if "_raw_name" in resolved.columns else "scientificName")).alias("obs_id"),
         "species", "is_minted",
         F.col("scientificName").alias("scientific_name"),
         observed_date().alias("observed_on"),

@@ -8,6 +8,7 @@ from fieldlark.functions import text
 from fieldlark.model import vocab as v
 from fieldlark.model.ontology import classes, properties, subclass_of
 from fieldlark.model.vocab import DEFAULT, Vocab
+from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import entity_table, instances, not_exists, pattern, scan
 
 # fixed values: lower limits of counts and shares, and limits of plausible values
@@ -124,4 +125,4 @@ def dangling_references(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame
     links = triples.where(
         F.col("p").isin([vocab.term(x) for x in ("parentTaxon", "hasObservation", "observedAt")]))
     subjects = triples.select(F.col("s").alias("o")).distinct()
-    return links.join(subjects, "o", "left_anti").select("s", "p", "o")
+    return spread_join(links, subjects, "o", "left_anti").select("s", "p", "o")

@@ -7,9 +7,8 @@
                   individual_count, locality, lat, lon
 ``habitats``      (species, habitat), ``months`` (species, month)
 
-The species side of a join is broadcast when its estimated size is within the
-session's threshold; beyond it a species that holds many observations is spread over
-several tasks. Sorts end in a unique key, so that rows that are equal in the leading
+The species side of a join is broadcast when its size is within the session's
+threshold; beyond it adaptive execution splits a species that holds many observations. Sorts end in a unique key, so that rows that are equal in the leading
 keys still spread over many range partitions. Results are sets because the inputs are
 (one row per species), so no query pays for a DISTINCT over wide rows.
 """
@@ -25,11 +24,12 @@ from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import exists, is_canonical, merge_records
 from fieldlark.session import small_table
 
-# fixed values: result limits
+# fixed values: usual result limits, for callers that show results
 NAME_LIMIT = 50
 RECENT_LIMIT = 100
 
 NAMES = ["scientific_name", "common_name_en", "common_name_da", "common_name_fr"]
+MAP_NAMES = NAMES[:3]  # the map searches these
 SIGHTING = ["obs_id", "observed_on", "individual_count", "locality", "lat", "lon"]
 
 
@@ -37,37 +37,64 @@ def _canonical(df: DataFrame, vocab: Vocab) -> DataFrame:
     return df.where(is_canonical(F.col("species"), vocab))
 
 
+def _named(species: DataFrame) -> DataFrame:
+    """Species that have a scientific name; others are in no list."""
+    return species.where(F.col("scientific_name").isNotNull())
+
+
+def name_table(names: DataFrame) -> DataFrame:
+    """(species, kind, name) rows with the forms that searches compare: lower case and both folds."""
+    name = F.col("name")
+    return names.select(
+        "species", "kind", "name", F.lower(name).alias("lower"),
+        *[fold(name).alias(f"folded_{kind}") for kind, fold in text.FOLDS.items()])
+
+
+def _matching(
+    species: DataFrame, name: str, fold: str, names: DataFrame | None, kinds: list[str] = NAMES) -> DataFrame:
+    """Species with *name* in one of their names of these kinds."""
+    if names is None:
+        return species.where(text.any_name_matches([F.col(c) for c in kinds], name, fold))
+    if kinds != NAMES:
+        names = names.where(F.col("kind").isin(kinds))
+    hit = F.col("lower").contains(F.lower(F.lit(name))) | F.col(f"folded_{fold}").contains(text.fold_full(F.lit(name)))
+    return exists(species, names.where(hit).select("species"))
+
+
 def find_species_by_name(
-    species: DataFrame, habitats: DataFrame, name: str, fold: str = "compat", limit: int = NAME_LIMIT,
+    species: DataFrame, habitats: DataFrame, name: str, fold: str = "compat", limit: int | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Species with *name* in their scientific, English, Danish or French name.
 
-    One row per species and habitat; the limit counts those rows. ``fold='compat'``
-    strips lower-case accents from stored names only, ``'full'`` all accents.
+    One row per species and habitat; a limit (``NAME_LIMIT`` is the usual one) counts
+    those rows. ``fold='compat'`` strips lower-case accents from stored names only,
+    ``'full'`` all accents. Where *names* holds folded names (see ``name_table``), they
+    are searched instead, so every name of a species counts and none is folded again.
     """
     columns = [
         "species", *NAMES, "ebird_code", "thumbnail", "range_map", "mass_grams", "wingspan_mm",
         "habitat", "status", "migration_status"]
-    found = species.where(F.col("scientific_name").isNotNull()).where(
-        text.any_name_matches([F.col(c) for c in NAMES], name, fold))
-    return (
+    found = _named(_matching(species, name, fold, names))
+    rows = (
         found.join(habitats.select("species", "habitat").distinct(), "species", "left")
         .select(*columns)
-        .orderBy("scientific_name", "species", "habitat").limit(limit)
+        .orderBy("scientific_name", "species", "habitat")
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def list_observed_species(species: DataFrame, observations: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Canonical species with at least one observation."""
     return (
-        exists(_canonical(species, vocab), observations.select("species"))
+        exists(_named(_canonical(species, vocab)), observations.select("species"))
         .select("species", *NAMES).orderBy("scientific_name", "species")
     )
 
 
 def species_by_family(species: DataFrame, family: str) -> DataFrame:
     return (
-        species.where(text.contains_ignore_case(F.col("family"), family))
+        _named(species).where(text.contains_ignore_case(F.col("family"), family))
         .select("species", "scientific_name", "common_name_en", "common_name_da", "ebird_code", "thumbnail")
         .orderBy("scientific_name", "species")
     )
@@ -75,7 +102,7 @@ def species_by_family(species: DataFrame, family: str) -> DataFrame:
 
 def species_by_order(species: DataFrame, order: str) -> DataFrame:
     return (
-        species.where(text.contains_ignore_case(F.col("order_name"), order))
+        _named(species).where(text.contains_ignore_case(F.col("order_name"), order))
         .select("species", "scientific_name", "common_name_en", "family")
         .orderBy("family", "scientific_name", "species")
     )
@@ -83,22 +110,24 @@ def species_by_order(species: DataFrame, order: str) -> DataFrame:
 
 def recent_observations(
     species: DataFrame, observations: DataFrame, name: str | None = None, fold: str = "compat",
-    limit: int = RECENT_LIMIT, vocab: Vocab = DEFAULT,
+    limit: int | None = None, vocab: Vocab = DEFAULT, names: DataFrame | None = None,
 ) -> DataFrame:
     """The newest dated observations, of all species or of those with *name* in a name.
 
-    The fact table is cut to *limit* rows before names are attached.
+    The fact table is cut to *limit* rows (``RECENT_LIMIT`` is the usual number) before
+    names are attached. *names* as in ``find_species_by_name``.
     """
-    wanted = _canonical(species, vocab).where(F.col("scientific_name").isNotNull() if name else F.lit(True))
+    wanted = _canonical(species, vocab)
     if name:
-        wanted = wanted.where(text.any_name_matches([F.col(c) for c in NAMES], name, fold))
+        wanted = _matching(_named(wanted), name, fold, names)
     newest = (
         exists(_canonical(observations, vocab).where(F.col("observed_on").isNotNull()), wanted.select("species"))
         .select("species", *SIGHTING)
-        .orderBy(F.desc("observed_on"), F.asc("obs_id")).limit(limit)
+        .orderBy(F.desc("observed_on"), F.asc("obs_id"))
     )
-    named = species.where(F.col("scientific_name").isNotNull()).select("species", *NAMES)
-    return merge_records(named, newest, "species")
+    if limit is not None:
+        newest = newest.limit(limit)
+    return merge_records(_named(species).select("species", *NAMES), newest, "species")
 
 
 def nearby_watch(
@@ -128,7 +157,7 @@ def currently_present(
     wanted = F.month(F.current_date()) if month is None else F.lit(month)
     present = months.where(F.col("month") == wanted)
     return (
-        exists(_canonical(species, vocab), present.select("species"))
+        exists(_named(_canonical(species, vocab)), present.select("species"))
         .select("species", *NAMES, "ebird_code", "status", "migration_status")
         .orderBy("migration_status", "scientific_name", "species")
     )
@@ -136,24 +165,24 @@ def currently_present(
 
 def observations_for_map(
     species: DataFrame, observations: DataFrame, species_filter: str | None = None,
-    family_filter: str | None = None, order_filter: str | None = None, vocab: Vocab = DEFAULT,
+    family_filter: str | None = None, order_filter: str | None = None, vocab: Vocab = DEFAULT, ordered: bool = True,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Every placed observation of canonical species with names and status, filters optional."""
-    wanted = _canonical(species, vocab)
+    """Every placed observation of canonical species with names and status, filters optional.
+
+    Without *ordered* nothing is sorted, for outputs that have no order.
+    """
+    wanted = _named(_canonical(species, vocab))
     if family_filter:
         wanted = wanted.where(text.contains_ignore_case(F.col("family"), family_filter))
     if order_filter:
         wanted = wanted.where(text.contains_ignore_case(F.col("order_name"), order_filter))
     if species_filter:
-        wanted = wanted.where(text.any_name_matches(
-            [F.coalesce(c, F.lit("")) for c in ("scientific_name", "common_name_en", "common_name_da")],
-            species_filter, "full"))
+        wanted = _matching(wanted, species_filter, "full", names, MAP_NAMES)
     placed = observations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return (
-        spread_join(
-            _canonical(placed, vocab).select("species", *SIGHTING), wanted.select("species", *NAMES, "status"), "species")
-        .orderBy(F.asc("scientific_name"), F.desc("observed_on"), F.asc("obs_id"))
-    )
+    rows = spread_join(
+        _canonical(placed, vocab).select("species", *SIGHTING), wanted.select("species", *NAMES, "status"), "species")
+    return rows.orderBy(F.asc("scientific_name"), F.desc("observed_on"), F.asc("obs_id")) if ordered else rows
 
 
 def taxonomy_summary(typed: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:

@@ -78,7 +78,7 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
 def match_all(*bindings: DataFrame) -> DataFrame:
     """Conjunction of patterns: inner join on the shared variables, left to right.
 
-    Put the pattern with the busiest keys first; its hot keys are spread.
+    Put the pattern with the busiest keys first; its hot keys can be split.
     """
     return reduce(lambda a, b: spread_join(a, b, shared_columns(a, b)), bindings)
 
@@ -149,8 +149,13 @@ def replace_values(triples: DataFrame, new: DataFrame) -> DataFrame:
     return triples.join(keys, ["s", "p"], "left_anti").unionByName(new).distinct()
 
 
-def missing_from(triples: DataFrame, new: DataFrame) -> DataFrame:
-    """The distinct triples of *new* that the graph does not hold yet."""
+def missing_from(triples: DataFrame, new: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+    """The distinct triples of *new* that the graph does not hold yet.
+
+    *predicates* are those of *new*, where its plan does not show them: only they are read.
+    """
+    if predicates is not None:
+        triples = triples.where(F.col("p").isin(predicates))
     return new.select(*TRIPLE_COLUMNS).distinct().join(triples, TRIPLE_COLUMNS, "left_anti")
 
 
@@ -164,7 +169,8 @@ def first_value(triples: DataFrame, predicate: str, alias: str) -> DataFrame:
 def entity_table(triples: DataFrame, columns: dict[str, str], cls: str | None = None) -> DataFrame:
     """One row per subject with a column per predicate (the least value of each).
 
-    A single shuffle on the subject, whatever the number of columns.
+    A single shuffle on the subject, whatever the number of columns. Ask for the columns
+    that are used: every one of them is a predicate to read.
     """
     wanted = list(columns.values())
     keep = F.col("p").isin(wanted)

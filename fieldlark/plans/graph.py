@@ -35,13 +35,40 @@ def species_predicates(vocab: Vocab = DEFAULT) -> dict[str, str]:
     }
 
 
-def species_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """Typed species rows of a graph; an attribute with several values shows the least."""
-    table = entity_table(triples, species_predicates(vocab), vocab.term("Species"))
-    numbers = {c: F.col(c).try_cast("double") for c in ("mass_grams", "wingspan_mm")}
+def species_table(triples: DataFrame, vocab: Vocab = DEFAULT, columns: list[str] | None = None) -> DataFrame:
+    """Typed species rows of a graph; an attribute with several values shows the least.
+
+    *columns* are those wanted; only their predicates are read.
+    """
+    predicates = species_predicates(vocab)
+    wanted = {c: predicates[c] for c in (predicates if columns is None else columns)}
+    table = entity_table(triples, wanted, vocab.term("Species"))
+    numbers = {c: F.col(c).try_cast("double") for c in ("mass_grams", "wingspan_mm") if c in wanted}
     return table.withColumnRenamed("s", "species").withColumns(numbers)
 
 
+def searchable_names(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
+    """Every name of every species, several per language where there are, with its folded forms."""
+    kinds = {p: c for c, p in species_predicates(vocab).items() if c in queries.NAMES}
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    names = triples.where(F.col("p").isin(list(kinds))).select(
+        F.col("s").alias("species"), F.element_at(kind, F.col("p")).alias("kind"), F.col("o").alias("name")).distinct()
+    return queries.name_table(names.join(instances(triples, vocab.term("Species"), "species"), "species", "left_semi"))
+
+
+def rank_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
+    """(species, rank, value) of all families and orders a species is given, with the value in lower case."""
+    rank = F.when(F.col("p") == v.FAMILY, "family").otherwise("order_name")
+    return triples.where(F.col("p").isin(v.FAMILY, v.ORDER)).select(
+        F.col("s").alias("species"), rank.alias("rank"), F.col("o").alias("value"), F.lower("o").alias("lower")).distinct()
+
+
+def with_rank(species: DataFrame, ranks: DataFrame, rank: str, part: str) -> DataFrame:
+    """Species one of whose families (or orders) contains *part*, with that value in the column *rank*."""
+    hits = ranks.where((F.col("rank") == rank) & F.col("lower").contains(F.lower(F.lit(part))))
+    return species.drop(rank).join(hits.groupBy("species").agg(F.min("value").alias(rank)), "species")
+
+
 def species_names(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Every (species, scientific_name) pair of a graph."""
     return pattern(triples, "species", v.SCIENTIFIC_NAME, "scientific_name").join(
@@ -78,11 +105,11 @@ def observation_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 
 def build_graph(
     taxonomy: DataFrame, localized: dict[str, DataFrame], occurrences: DataFrame,
-    max_records: int | None = 5000, vocab: Vocab = DEFAULT,
+    max_records: int | None = None, vocab: Vocab = DEFAULT,
 ) -> DataFrame:
     """Ontology, taxonomy, localized names and occurrences as one set of triples.
 
-    *max_records* caps the sample of occurrences, newest first; None takes them all.
+    All occurrences are taken, unless *max_records* asks for the newest ones only.
     """
     names = [localized_name_triples(rows, locale, vocab) for locale, rows in localized.items()]
     index = name_index(species_nodes(taxonomy, vocab))
@@ -119,63 +146,104 @@ def enrich_with_assessments(
 
 @dataclass(frozen=True)
 class KnowledgeGraph:
-    """A graph and its query catalogue. Every method returns a lazy DataFrame."""
+    """A graph and its query catalogue. Every method returns a lazy DataFrame.
+
+    ``save`` stores typed tables beside the triples; a graph that was loaded with them
+    answers queries from their files. Otherwise they are derived from the triples.
+    """
 
     triples: DataFrame
     vocab: Vocab = field(default=DEFAULT)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, vocab: Vocab = DEFAULT) -> KnowledgeGraph:
-        """Graph of a parquet directory, or of N-Triples files when *path* ends in .nt."""
-        read = graph_files.read_ntriples if path.endswith(".nt") else graph_files.read_graph
-        return cls(read(spark, path), vocab)
+    def load(cls, spark: SparkSession, path: str, vocab: Vocab = DEFAULT, form: str = "saved", strict: bool = True) -> KnowledgeGraph:
+        """Graph of a folder. *form* says what the folder holds: ``saved`` (by ``save``), ``parquet`` (triples by
+        predicate, by ``write_graph``) or ``ntriples``; lines that do not parse are an error unless *strict* is off."""
+        if form == "ntriples":
+            return cls(graph_files.read_ntriples(spark, path, strict), vocab)
+        if form == "parquet":
+            return cls(graph_files.read_graph(spark, path), vocab)
+        if form != "saved":
+            raise ValueError(f"no such form of a graph: {form}")
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+        return cls(graph_files.read_graph(spark, f"{path}/triples"), vocab, tables)
 
     def save(self, path: str) -> None:
-        graph_files.write_graph(self.triples, path)
+        """Write the triples by predicate, and the typed tables that the queries read.
+
+        The triples are written first and the tables derived from the files. Observations are ordered by place, so
+        that a search around a point skips most row groups; species are ordered by family.
+        """
+        graph_files.write_graph(self.triples, f"{path}/triples")
+        stored = KnowledgeGraph(graph_files.read_graph(self.triples.sparkSession, f"{path}/triples"), self.vocab)
+        order = {"observations": ["lat", "lon", "obs_id"], "species": ["family", "species"], "names": ["species", "kind", "name"]}
+        for name in TABLES:
+            table = stored.table(name)
+            table = table.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else table
+            table.write.parquet(f"{path}/{name}")
+
+    def table(self, name: str) -> DataFrame:
+        """A typed table, stored or derived: species, observations, names, ranks, habitats or months."""
+        return self.tables[name] if name in self.tables else TABLES[name](self.triples, self.vocab)
 
     def add(self, *graphs: DataFrame) -> KnowledgeGraph:
         return KnowledgeGraph(union_graphs(self.triples, *graphs), self.vocab)
 
-    def species(self) -> DataFrame:
-        return species_table(self.triples, self.vocab)
+    def species(self, *columns: str) -> DataFrame:
+        """Species with the given attributes, or all."""
+        if "species" in self.tables or not columns:
+            return self.table("species").select(*(["species", *columns] if columns else ["*"]))
+        return species_table(self.triples, self.vocab, list(columns))
 
     def observations(self) -> DataFrame:
-        return observation_table(self.triples, self.vocab)
+        return self.table("observations")
 
-    def find_species_by_name(self, name: str, fold: str = "compat") -> DataFrame:
-        return queries.find_species_by_name(
-            self.species(), habitat_table(self.triples, self.vocab), name, fold)
+    def find_species_by_name(self, name: str, fold: str = "compat", limit: int | None = None) -> DataFrame:
+        return queries.find_species_by_name(self.species(), self.table("habitats"), name, fold, limit, self.table("names"))
 
     def list_observed_species(self) -> DataFrame:
         links = pattern(self.triples, "species", self.vocab.has_observation, "obs_id")
-        return queries.list_observed_species(self.species(), links, self.vocab)
+        return queries.list_observed_species(self.species(*queries.NAMES), links, self.vocab)
 
     list_danish_species = list_observed_species
 
     def species_by_family(self, family: str) -> DataFrame:
-        return queries.species_by_family(self.species(), family)
+        """Species one of whose families contains *family*."""
+        columns = ["scientific_name", "common_name_en", "common_name_da", "ebird_code", "thumbnail"]
+        found = with_rank(self.species(*columns), self.table("ranks"), "family", family)
+        return queries.species_by_family(found, family)
 
     def species_by_order(self, order: str) -> DataFrame:
-        return queries.species_by_order(self.species(), order)
+        """Species one of whose orders contains *order*."""
+        columns = ["scientific_name", "common_name_en", "family"]
+        found = with_rank(self.species(*columns), self.table("ranks"), "order_name", order)
+        return queries.species_by_order(found, order)
 
-    def recent_observations(self, name: str | None = None, fold: str = "compat") -> DataFrame:
+    def recent_observations(self, name: str | None = None, fold: str = "compat", limit: int | None = None) -> DataFrame:
         return queries.recent_observations(
-            self.species(), self.observations(), name, fold, vocab=self.vocab)
+            self.species(*queries.NAMES), self.observations(), name, fold, limit, self.vocab, self.table("names"))
 
     recent_danish_observations = recent_observations
 
     def nearby_watch(self, **place: float) -> DataFrame:
-        return queries.nearby_watch(self.species(), self.observations(), vocab=self.vocab, **place)
+        return queries.nearby_watch(
+            self.species(*queries.NAMES, "status"), self.observations(), vocab=self.vocab, **place)
 
     def currently_present(self, month: int | None = None) -> DataFrame:
-        return queries.currently_present(
-            self.species(), month_table(self.triples, self.vocab), month, self.vocab)
+        columns = [*queries.NAMES, "ebird_code", "status", "migration_status"]
+        return queries.currently_present(self.species(*columns), self.table("months"), month, self.vocab)
 
     def observations_for_map(
         self, species_filter: str | None = None, family_filter: str | None = None, order_filter: str | None = None,
+        ordered: bool = True,
     ) -> DataFrame:
+        species = self.species(*queries.NAMES, "status")
+        for rank, part in (("family", family_filter), ("order_name", order_filter)):
+            if part:
+                species = with_rank(species, self.table("ranks"), rank, part)
         return queries.observations_for_map(
-            self.species(), self.observations(), species_filter, family_filter, order_filter, self.vocab)
+            species, self.observations(), species_filter, vocab=self.vocab, ordered=ordered, names=self.table("names"))
 
     def taxonomy_summary(self) -> DataFrame:
         types = scan(self.triples, p=v.TYPE).select("s", F.col("o").alias("class"))
@@ -191,3 +259,14 @@ class KnowledgeGraph:
 
     def capped(self, rows: DataFrame, order: list[Column], limit: int = extracts.RESULT_LIMIT) -> DataFrame:
         return extracts.result_text(extracts.result_cap(rows, order, limit))
+
+
+# typed tables that are stored with a graph
+TABLES = {
+    "species": species_table,
+    "observations": observation_table,
+    "names": searchable_names,
+    "ranks": rank_table,
+    "habitats": habitat_table,
+    "months": month_table,
+}

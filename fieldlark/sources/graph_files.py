@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE, TRIPLE_COLUMNS
 
-_NODE = r"(<[^>]*>|_:\S+)"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?'
-LINE = rf"^\s*{_NODE}\s+<([^>]*)>\s+(?:{_NODE}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+_NODE = r"(<[^>]*+>|_:\S+)"
+# possessive, and without a group per character: a literal may be of any length
+_LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*+)>)?'
+LINE = rf"^\s*+{_NODE}\s*+<([^>]*+)>\s*+(?:{_NODE}|{_LITERAL})\s*+\.\s*+(?:#.*)?$"
 SKIPPED = r"^\s*(#.*)?$"
+_CUT = "\x00"
 
 
 def write_graph(triples: DataFrame, path: str, distinct: bool = False) -> None:
@@ -34,39 +36,67 @@ def _node(text: Column) -> Column:
     return F.when(text.startswith("<"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
 
 
+def _surrogates(digits: Column) -> Column:
+    """Escapes of UTF-16 for the eight hexadecimal digits of a code point."""
+    code = F.conv(digits, 16, 10).cast("long")
+    high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
+    low = F.lit(0xDC00) + (code - 0x10000) % 0x400
+    return F.when(code < 0x10000, F.concat(F.lit("\\u"), F.substring(digits, 5, 4))).when(
+        code <= 0x10FFFF, F.concat(F.lit("\\u"), F.hex(high), F.lit("\\u"), F.hex(low)))
+
+
 def _unescape(literal: Column) -> Column:
-    r"""Resolve the escapes of a literal. They are those of JSON, but for \' and \U000xxxxx."""
-    text = F.regexp_replace(literal, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
-    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\U0000([0-9A-Fa-f]{4})", r"$1\\u$2")
+    r"""Resolve the escapes of a literal or IRI. They are those of JSON, but for \' and \UXXXXXXXX; NULL if one is none."""
+    text = F.replace(literal, F.lit("\\\\"), F.lit("\\u005c"))
+    text = F.replace(text, F.lit("\\'"), F.lit("'"))
+    parts = F.split(text, r"\\U")  # pairs of backslashes are gone, so each of these is an escape
+    wide = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.when(
+        x.rlike("^[0-9A-Fa-f]{8}"), F.concat(_surrogates(F.substring(x, 1, 8)), F.substring(x, F.lit(9), F.length(x)))))
+    # a part that is no escape is NULL, and so is the whole
+    text = F.aggregate(wide, F.get(parts, F.lit(0)), lambda a, x: F.concat(a, x))
     parsed = F.from_json(
         F.concat(F.lit('["'), text, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})
     return F.when(literal.contains("\\"), F.get(parsed, F.lit(0))).otherwise(literal)
 
 
 def parse_ntriples(lines: DataFrame) -> DataFrame:
-    """Lines (``value``) to triples plus ``bad_line`` for lines that are not N-Triples."""
-    line = F.col("value")
-
-    def group(n: int) -> Column:
-        return F.regexp_extract(line, LINE, n)
+    """Lines (``value``) to triples plus ``bad_line`` for lines that are not N-Triples.
 
-    target, lang, datatype = group(3), group(5), group(6)
-    is_node = target != ""
-    good = line.rlike(LINE)
-    literal = _unescape(group(4))
-    obj = F.when(is_node, _node(target)).otherwise(literal)
-    rows = lines.where(~line.rlike(SKIPPED)).select(
-        F.when(good, _node(group(1))).alias("s"), F.when(good, group(2)).alias("p"),
-        F.when(good, obj).alias("o"), F.when(is_node, "iri").otherwise("literal").alias("o_kind"),
-        lang.alias("o_lang"), F.when(datatype == v.STRING, "").otherwise(datatype).alias("o_datatype"),
-        line.alias("_line"))
-    return rows.withColumn("bad_line", F.when(F.col("o").isNull(), F.col("_line"))).drop("_line")
-
-
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct triples of N-Triples files; lines that do not parse are left out."""
+    One match of the whole line writes its parts one after the other, the literal last.
+    """
+    line = F.col("value")
+    cut = F.split(F.regexp_replace(line, LINE, _CUT.join(["", "$1", "$2", "$3", "$5", "$6", "$4"])), _CUT, 7)
+    good = ~line.startswith(_CUT) & F.get(cut, F.lit(0)).eqNullSafe("") & (F.size(cut) == 7)
+    part = {name: F.get(F.col("_parts"), F.lit(i)) for i, name in enumerate(("_", "s", "p", "node", "lang", "datatype", "text"))}
+    is_node = part["node"] != ""
+    obj = F.when(is_node, _unescape(_node(part["node"]))).otherwise(_unescape(part["text"]))
+    rows = lines.where(~line.rlike(SKIPPED)).select(F.when(good, cut).alias("_parts"), line.alias("_line")).select(
+        _unescape(_node(part["s"])).alias("s"), _unescape(part["p"]).alias("p"), obj.alias("o"),
+        F.when(is_node, "iri").otherwise("literal").alias("o_kind"), F.coalesce(part["lang"], F.lit("")).alias("o_lang"),
+        F.when(part["datatype"] == v.STRING, "").otherwise(F.coalesce(_unescape(part["datatype"]), F.lit(""))).alias("o_datatype"),
+        "_line")
+    whole = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
+    return rows.withColumn("bad_line", F.when(~whole, F.col("_line"))).drop("_line")
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Distinct triples of N-Triples files. A line that does not parse fails the job with its text; without *strict*
+    such lines are left out, and ``ntriples_report`` counts them."""
     parsed = parse_ntriples(spark.read.text(path))
-    return parsed.where(F.col("bad_line").isNull()).select(*TRIPLE_COLUMNS).distinct()
+    bad = F.col("bad_line").isNotNull()
+    if strict:
+        shown = F.concat(F.lit("not a line of N-Triples: "), F.substring("bad_line", 1, 200))
+        parsed = parsed.withColumn("s", F.when(bad, F.raise_error(shown).cast("string")).otherwise(F.col("s")))
+    else:
+        parsed = parsed.where(~bad)
+    return parsed.select(*TRIPLE_COLUMNS).distinct()
+
+
+def ntriples_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row: lines that are triples, and lines that do not parse."""
+    bad = F.col("bad_line").isNotNull()
+    return parse_ntriples(spark.read.text(path)).agg(
+        F.count_if(~bad).alias("n_triples"), F.count_if(bad).alias("n_bad"))
 
 
 def ntriples_lines(triples: DataFrame) -> DataFrame:

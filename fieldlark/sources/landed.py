@@ -29,7 +29,25 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, multi_line:
 
 
 def valid(records: DataFrame) -> DataFrame:
-    return records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Records that parsed. The test also looks at a field of the data, because Spark refuses to read the column of
+    corrupt lines alone, which is all that a count would need."""
+    first = next(c for c in records.columns if c != CORRUPT)
+    parsed = F.coalesce(F.length(CORRUPT), F.lit(-1) - F.col(f"`{first}`").isNull().cast("int")) < 0
+    return records.where(parsed).drop(CORRUPT)
+
+
+def _json_counts(schema: T.StructType) -> T.StructType:
+    """*schema* with the individual count as it stands in JSON, a number or a text."""
+    return T.StructType([T.StructField(f.name, T.VariantType()) if f.name == "individualCount" else f for f in schema])
+
+
+def _counts_as_text(records: DataFrame) -> DataFrame:
+    """JSON numbers as the text of their whole part; texts stay, whatever they hold."""
+    raw = F.col("individualCount")
+    number = F.try_variant_get(raw, "$", "double").cast("bigint").cast("string")
+    is_number = F.schema_of_variant(raw).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return records.withColumn(
+        "individualCount", F.when(is_number, number).otherwise(F.try_variant_get(raw, "$", "string")))
 
 
 def input_report(records: DataFrame) -> DataFrame:
@@ -56,7 +74,7 @@ def read_occurrences(
     basis: str | None = BASIS_OF_RECORD, years: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Occurrence records of one dataset and basis; a year range prunes ``year=..`` partitions."""
-    rows = valid(read_json(spark, path, types.OCCURRENCE_RECORD))
+    rows = _counts_as_text(valid(read_json(spark, path, _json_counts(types.OCCURRENCE_RECORD))))
     if dataset_key is not None:
         rows = rows.where(F.col("datasetKey") == dataset_key)
     if basis is not None:
@@ -68,8 +86,10 @@ def read_occurrences(
 
 def read_occurrence_pages(spark: SparkSession, path: str) -> DataFrame:
     """Records of saved result pages, one page per line."""
-    pages = valid(read_json(spark, path, types.OCCURRENCE_PAGE))
-    return pages.select(F.explode("results").alias("r")).select("r.*")
+    schema = T.StructType([
+        T.StructField("results", T.ArrayType(_json_counts(types.OCCURRENCE_RECORD))), types.OCCURRENCE_PAGE["endOfRecords"]])
+    pages = valid(read_json(spark, path, schema))
+    return _counts_as_text(pages.select(F.explode("results").alias("r")).select("r.*"))
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
@@ -101,11 +121,12 @@ def read_iucn_assessments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sightings(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
-    """Live sightings, optionally only those of the last *days* days (at most 30)."""
+    """Live sightings, optionally only those of the last *days* days."""
     rows = valid(read_json(spark, path, types.SIGHTING_RECORD))
     return rows if days is None else recent_sightings(rows, F.current_date(), days)
 
 
 def stream_sightings(spark: SparkSession, path: str) -> DataFrame:
-    """Live sightings as files arrive in *path*."""
-    return spark.readStream.schema(types.SIGHTING_RECORD).json(path)
+    """Live sightings as files arrive in *path*; lines that do not parse are left out."""
+    with_bad = T.StructType([*types.SIGHTING_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
+    return valid(spark.readStream.schema(with_bad).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT))

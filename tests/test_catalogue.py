@@ -29,7 +29,8 @@ def test_find_multiplies_rows_by_habitat_and_limits_them(triples):
     node = V.taxon("species/robi")
     extra = [text(node, V.term("habitat"), f"h{i:02}") for i in range(60)]
     kg = KnowledgeGraph(triples(two_species() + extra))
-    found = kg.find_species_by_name("robin").collect()
+    assert kg.find_species_by_name("robin").count() == 60
+    found = kg.find_species_by_name("robin", limit=50).collect()
     assert [r.habitat for r in found] == [f"h{i:02}" for i in range(50)]
 
 
@@ -122,3 +123,30 @@ def test_capped_text(kg):
     assert kg.capped(kg.species_by_family("none"), [F.col("species").asc()]).first().text == "No results found."
     shown = kg.capped(kg.list_observed_species().select("scientific_name"), [F.col("scientific_name").asc()], 1).first().text
     assert shown == '[{"scientific_name":"Dendrocopos major"}]\n\n… and 1 more results not shown.'
+
+
+def test_every_name_of_a_species_is_searched(triples):
+    node = V.taxon("species/robi")
+    kg = KnowledgeGraph(triples(two_species() + [
+        text(node, V.term("commonNameEn"), "Zealous Redbreast"), text(node, v.FAMILY, "Turdidae"), text(node, v.ORDER, "Zorder")]))
+    for name in ("Zealous", "European Robin"):
+        assert rows(kg.find_species_by_name(name), "scientific_name") == [ROBIN]
+        assert rows(kg.recent_observations(name), "scientific_name") == [ROBIN]
+    for family in ("turdi", "muscicap"):
+        assert rows(kg.species_by_family(family), "scientific_name") == [ROBIN]
+        assert rows(kg.observations_for_map(family_filter=family), "scientific_name") == [ROBIN]
+    assert rows(kg.species_by_order("zorder"), "family") == ["Muscicapidae"]
+    assert rows(kg.observations_for_map(species_filter="zealous"), "scientific_name") == [ROBIN]
+
+
+def test_species_without_a_scientific_name_are_in_no_list(triples):
+    nameless = [f for f in species_facts("zz", "Zz zz", "Nameless", "Navnløs", None, "Muscicapidae", "Passeriformes", "CR")
+                if not (f[0] == V.taxon("species/zz") and f[1] == v.SCIENTIFIC_NAME)]
+    nameless += sighting_facts("zz", "9", "2024-05-05", 1, 55.694, 12.554, "here")
+    nameless += [text(V.taxon("species/zz"), V.term("typicallyPresentInMonth"), 5, datatype=v.INTEGER)]
+    kg = KnowledgeGraph(triples(two_species() + nameless))
+    assert rows(kg.list_observed_species(), "scientific_name") == [WOODPECKER, ROBIN]
+    assert rows(kg.species_by_family("muscicap"), "scientific_name") == [ROBIN]
+    assert rows(kg.species_by_order("passeri"), "scientific_name") == [ROBIN]
+    assert rows(kg.currently_present(5)) == [] and rows(kg.find_species_by_name("nameless")) == []
+    assert rows(kg.observations_for_map(), "scientific_name") == [WOODPECKER, ROBIN]

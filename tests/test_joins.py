@@ -1,11 +1,11 @@
-"""Spread joins must equal plain joins, and must spread."""
+"""Spread joins must equal plain joins, and hot keys must be split."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.operators import joins, occurrences
+from fieldlark.operators import joins
 from tests.conftest import rows
 
 
@@ -35,42 +35,56 @@ def test_equals_plain_join(spark, no_broadcast, how):
     assert rows(spread) == rows(plain)
 
 
-def test_hot_key_is_spread(spark, no_broadcast):
-    left, right = sides(spark)
-    hot = {r.k: r._pieces for r in joins.hot_keys(left, ["k"]).collect()}
-    assert hot["hot"] > 300 and len(hot) <= 1000
-    plan = joins.spread_join(left, right, "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_piece" in plan
+def tasks_of(df, column="k"):
+    """Rows per partition after the shuffle of a join, without adaptive execution."""
+    return [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
-def test_small_sides_are_left_to_the_optimizer(spark, tmp_path):
-    left, right = sides(spark)
-    for name, df in (("left", left), ("right", right)):
-        df.write.parquet(str(tmp_path / name))
-    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
-    assert 0 < joins.input_bytes(right) < 100_000
-    assert not joins.needs_spreading(left, right)
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "10", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10"}
+def test_null_keys_are_spread(spark, no_broadcast):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "50"}
     before = {k: spark.conf.get(k) for k in settings}
+    left = spark.range(1000).select(F.when(F.col("id") % 10 < 3, F.col("id")).alias("k"), "id")
+    right = spark.range(0, 1000, 2).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     try:
         for k, x in settings.items():
             spark.conf.set(k, x)
-        assert joins.needs_spreading(left, right)
+        for how in ("left", "left_anti"):
+            assert max(tasks_of(joins.spread_join(left, right, "k", how))) < 100 < max(tasks_of(left.join(right, "k", how)))
     finally:
         for k, x in before.items():
             spark.conf.set(k, x)
 
 
-def test_operator_agrees_on_both_ways(spark, tmp_path):
-    # rows made on the driver have no known size and count as large; files are small
-    made = {
-        "records": spark.createDataFrame(
-            [("Aa aa (L.)" if i % 3 else f"Bb b{i}", i) for i in range(300)], "scientificName string, seq int"),
-        "index": spark.createDataFrame([("Aa aa", "S1"), ("Bb b3", "S2")], "scientific_name string, species string"),
-    }
-    for name, df in made.items():
+SKEW = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "20"}
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", ["left", "right"])
+def test_hot_key_is_split_also_beside_an_aggregate(spark, no_broadcast, hot):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    many = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("x"))
+    few = spark.range(0, 5000, 1, 8).select(F.col("id").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    try:
+        for k, x in SKEW.items():
+            spark.conf.set(k, x)
+        left, right = (many, few) if hot == "left" else (few, many)
+        joined = joins.spread_join(left, right, "k")
+        assert "SortMergeJoin(skew=true)" in executed(joined)
+        assert joined.count() == left.join(right, "k").count()
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def test_reads_each_side_once(spark, no_broadcast, tmp_path):
+    left, right = sides(spark)
+    for name, df in (("left", left), ("right", right)):
         df.write.parquet(str(tmp_path / name))
-    read = {name: spark.read.parquet(str(tmp_path / name)) for name in made}
-    assert joins.needs_spreading(made["records"], made["index"]) and not joins.needs_spreading(read["records"], read["index"])
-    spread, plain = (occurrences.resolve_species(x["records"], x["index"]) for x in (made, read))
-    assert rows(spread) == rows(plain)
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert executed(joins.spread_join(left, right, "k", how)).split("== Initial")[0].count("Scan parquet") == 2

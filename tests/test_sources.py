@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from fieldlark import KnowledgeGraph
 from fieldlark.model import ontology, types, vocab as v
 from fieldlark.model.vocab import DEFAULT as V, Vocab
-from fieldlark.operators import enrichment as en
+from fieldlark.operators import enrichment as en, occurrences as occ
 from fieldlark.sources import graph_files, landed
+from fieldlark.streaming import live
 from tests.conftest import iri, rows, text, two_species
 
 
@@ -36,12 +37,13 @@ def test_ntriples_round_trip(spark, triples, tmp_path):
     path = str(tmp_path / "g.nt")
     graph_files.write_ntriples(triples(facts), path)
     assert rows(graph_files.read_ntriples(spark, path)) == sorted(facts, key=repr)
-    assert KnowledgeGraph.load(spark, path).triples.count() == len(facts)
+    assert KnowledgeGraph.load(spark, path, form="ntriples").triples.count() == len(facts)
 
 
 @pytest.mark.parametrize("line, expected", [
     (r'<s> <p> "café \U000000e9 it\'s" .', "café é it's"), ('<s> <p> "x"^^<http://www.w3.org/2001/XMLSchema#string> . # note', "x"),
-    ("  <s>\t<p>  <o>.", "o"), ('<s> <p> "broken .', None), ("junk", None), ('<s> <p> "\\\\\\"" .', '\\"'),
+    ("  <s>\t<p>  <o>.", "o"), ('<s> <p> "broken .', None), (r'<s> <p> "\U0001F426 \uD83D\uDC26 \\U0001F426" .', "🐦 🐦 \\U0001F426"), (r'<s> <p> <http://x/\u00e9\U0001F426> .', "http://x/é🐦"),
+    (r'<s> <p> "bad \U0001F4 x" .', None), (r'<s> <p> "bad \q" .', None), (r'<s> <p> "bad \U00110000" .', None), ("<s> <p> _:b2.", "_:b2"), ("junk", None), ('<s> <p> "\\\\\\"" .', '\\"'),
 ])
 def test_ntriples_lines(spark, line, expected):
     parsed = graph_files.parse_ntriples(spark.createDataFrame([(line,), ("# comment",), ("",)], "value string")).collect()
@@ -109,3 +111,55 @@ def test_iucn_lookups(spark, tmp_path):
     record = {"taxon": {"scientific_name": "A a"}, "assessments": [{"latest": True, "assessment_id": 5}]}
     (tmp_path / "l.json").write_text(json.dumps(record))
     assert rows(en.latest_assessment(landed.read_iucn_lookups(spark, str(tmp_path)))) == [("A a", 5)]
+
+
+def test_literals_of_any_length(spark, triples, tmp_path):
+    long = ["x" * 200_000, '"\\\n' * 60_000, "🐦é" * 50_000]
+    facts = [text(f"http://s/{i}", "http://p", x) for i, x in enumerate(long)]
+    path = str(tmp_path / "long.nt")
+    graph_files.write_ntriples(triples(facts), path)
+    assert rows(graph_files.read_ntriples(spark, path)) == sorted(facts, key=repr)
+
+
+def test_bad_lines_are_an_error_or_counted(spark, tmp_path):
+    (tmp_path / "g.nt").write_text('<s> <p> <o> .\njunk\n# note\n<s> <p> "x" .\n')
+    path = str(tmp_path / "g.nt")
+    with pytest.raises(Exception, match="not a line of N-Triples: junk"):
+        graph_files.read_ntriples(spark, path).collect()
+    assert graph_files.read_ntriples(spark, path, strict=False).count() == 2
+    assert tuple(graph_files.ntriples_report(spark, path).first()) == (2, 1)
+
+
+def test_every_reader_can_be_counted(spark, tmp_path):
+    lines = {
+        "taxonomy": [{"speciesCode": "robi"}], "names": [{"speciesCode": "robi"}], "lookups": [{"taxon": {"scientific_name": "A a"}}],
+        "assessments": [{"assessment_id": 5}], "sightings": [{"speciesCode": "robi"}], "occurrences": [{"key": 1}], "pages": [{"results": [{"key": 1}]}],
+        "bindings": [{"results": {"bindings": [binding(name="A a")]}}],
+    }
+    for name, records in lines.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text("\n".join(map(json.dumps, records)) + ("" if name == "bindings" else "\n{oops"))
+    readers = {
+        "taxonomy": landed.read_taxonomy, "names": landed.read_localized_names, "lookups": landed.read_iucn_lookups,
+        "assessments": landed.read_iucn_assessments, "sightings": landed.read_sightings, "pages": landed.read_occurrence_pages,
+        "occurrences": lambda s, p: landed.read_occurrences(s, p, None, None), "bindings": landed.read_trait_bindings}
+    for name, read in readers.items():
+        assert read(spark, str(tmp_path / name)).count() == 1, name
+    (tmp_path / "pictures").mkdir()
+    (tmp_path / "pictures" / "x.json").write_text(json.dumps({"results": {"bindings": [binding(item="http://i", thumb="http://t")]}}))
+    assert rows(landed.read_picture_bindings(spark, str(tmp_path / "pictures")), "item", "thumb") == [("http://i", "http://t")]
+
+
+def test_counts_of_json_numbers_and_texts(spark, tmp_path):
+    counts = [2, 2.0, 3.7, "4", "5.0", "many", None, " 6 ", -1.5]
+    (tmp_path / "o.json").write_text("\n".join(json.dumps({"key": i, "individualCount": c}) for i, c in enumerate(counts, 1)))
+    records = landed.read_occurrences(spark, str(tmp_path), None, None)
+    count = occ.individual_count(F.col("individualCount"), records.schema["individualCount"].dataType)
+    assert [r.n for r in records.orderBy("key").select(count.alias("n")).collect()] == [2, 2, 3, 4, None, None, None, 6, -1]
+
+
+def test_stream_leaves_malformed_lines_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.json").write_text('{"speciesCode": "robi"}\n{oops\n')
+    seen = live.run_available(landed.stream_sightings(spark, str(tmp_path / "in")), "sightings")
+    assert rows(seen, "speciesCode") == ["robi"]
