@@ -32,6 +32,7 @@ RECALL = 1 - 1e-5  # of pairs at the threshold
 SKETCH_EVERY = 3  # every third minhash gives a byte of the sketch
 SIGMAS = 5  # a pair is dropped by the sketch if it is that many standard deviations below the threshold
 NODE_BLOCK = 512  # rows of a tree node compared at once
+FEW = 16  # rows of a tree node up to which all pairs are looked at
 SET_BLOCK = 64  # sets of a component compared at once
 COLUMNS = 4096  # shingles in one tile of the comparison
 
@@ -154,29 +155,53 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def reached(sketch: np.ndarray, least_equal: int) -> np.ndarray:
+    """Least index of the connected component of each sketch, where an edge is to agree in enough places.
+
+    A search from one sketch to all that are not reached yet: in a group of near copies the first step reaches
+    nearly all, so the work is far below all pairs.
+    """
+    label, open_ = np.arange(len(sketch)), np.arange(len(sketch))
+    while len(open_):
+        root, open_ = open_[0], open_[1:]
+        frontier = [root]
+        while frontier and len(open_):
+            near = np.count_nonzero(sketch[open_] == sketch[frontier.pop()], axis=1) >= least_equal
+            found = open_[near]
+            label[found] = root
+            frontier += found.tolist()
+            open_ = open_[~near]
+    return label
+
+
 def candidate_edges(batches: Iterator[pa.RecordBatch], least_equal: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) from each document to the first document it is connected with under one tree node."""
     for part in runs(batches, ["node", "left", "right"]):
         key = [part.column(c).to_numpy() for c in ("node", "left", "right")]
-        change = np.zeros(part.num_rows, bool)
+        change = np.ones(part.num_rows, bool)
+        change[1:] = False
         for k in key:
             change[1:] |= k[1:] != k[:-1]
-        group = np.cumsum(change)
+        starts = np.flatnonzero(change)
+        sizes = np.diff(np.append(starts, part.num_rows))
         ids = part.column("id").to_numpy()
         sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-        pairs, d = [], 1
-        while d < part.num_rows:
+        label = np.arange(part.num_rows)
+        for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+            label[start: start + size] = start + reached(sketch[start: start + size], least_equal)
+        # groups of few rows, all at once: each row and the one d places on
+        small = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+        group = np.repeat(starts, sizes)[small]
+        a, b = [np.empty(0, int)], [np.empty(0, int)]
+        for d in range(1, FEW):
             i = np.flatnonzero(group[d:] == group[:-d])
             if not len(i):
                 break
-            for a in range(0, len(i), 1 << 16):
-                own = i[a: a + (1 << 16)]
-                pairs.append(own[(sketch[own] == sketch[own + d]).sum(1) >= least_equal])
-                pairs.append(np.full(len(pairs[-1]), d))
-            d += 1
-        a = np.concatenate([np.empty(0, int), *pairs[0::2]])
-        b = a + np.concatenate([np.empty(0, int), *pairs[1::2]])
-        label = joined(part.num_rows, a, b)
+            x, y = small[i], small[i + d]
+            near = np.count_nonzero(sketch[x] == sketch[y], axis=1) >= least_equal
+            a.append(x[near])
+            b.append(y[near])
+        label = np.minimum(label, joined(part.num_rows, np.concatenate(a), np.concatenate(b)))
         at = np.flatnonzero(label != np.arange(part.num_rows))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"])
