@@ -46,6 +46,7 @@ _PIECE = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*+>|<[!?][^>]*+>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LAYOUT = re.compile(r"\b(?:has|with|no|without|is|js)[-_]\w+", re.I)  # words about the layout, not the element
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -58,7 +59,7 @@ def is_left_out(name: str, attrs: str) -> bool:
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if any(w.lower() in NOT_CONTENT for w in _WORD.findall(value)):
+            if any(w.lower() in NOT_CONTENT for w in _WORD.findall(_LAYOUT.sub("", value))):
                 return True
         elif key == "role" and value.lower() in NOT_CONTENT_ROLES:
             return True
@@ -173,6 +174,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         0 if left or (marked and not inside) else len(t) if marked else max(len(t) - 2 * linked, 0)
         for t, left, inside, linked in lines], np.int64)
     kept = between(weights, window, 1 if marked else surge)
+    if not kept.any():  # a page of a few short lines has no surge but its first line
+        kept = between(weights, window, 1)
     return " ".join(
         t for (t, left, inside, _), keep in zip(lines, kept) if keep and not left and (inside or not marked))
 

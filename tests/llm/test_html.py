@@ -44,6 +44,11 @@ def test_pages_without_an_article_are_cut_by_the_line_lengths():
     assert got.startswith("Some sentence") and got.endswith(". 4") and "Link" not in got
 
 
+def test_short_pages_and_layout_words():
+    assert html_text.main_text("<body><div class='menu'>Home</div><div>Only this.</div></body>") == "Only this."
+    assert html_text.main_text(f"<div class='page has-sidebar with_comments'>{ARTICLE}</div>") == TEXT
+
+
 def test_surge_and_dive_points():
     weights = np.array([0, 5, 0, 0, 0, 90, 10, 0, 20, 0, 0, 0, 5])
     assert np.flatnonzero(html_text.between(weights, 3, 80)).tolist() == [5, 6, 7, 8]
