@@ -239,7 +239,8 @@ def _(t):
     return rows.select("item", "thumb", "range_map")
 
 
-@query("enriched_with_traits", TRAITS)
+@query("enriched_with_traits", TRAITS.replace(
+    INDEX, "(select scientific_name, min(species) as species from $species group by scientific_name)"))
 def _(t):
     """From landed files and the graph to the triples they offer."""
     bindings = landed.read_trait_bindings(t.spark, landed_batches(t, t.trait_row, en.TRAIT_VARIABLES))

@@ -46,7 +46,7 @@ FEATURES = f"""select obs_id, scientific_name, lon, lat, coalesce(status, '?') a
 
 
 def features(t):
-    return ex.map_features(queries.observations_for_map(t.species, t.observation))
+    return ex.map_features(queries.observations_for_map(t.species, t.observation, ordered=False))
 
 
 @query("map_features", FEATURES)

@@ -270,24 +270,41 @@ class Tables:
         return whole
 
 
-def _ontology_sql() -> str:
-    """The ontology rows, from the same fixed lists, as a VALUES list."""
-    rows = []
-    for name, parent, comment in ontology.CLASSES:
-        node = "@ONT@" + name
-        rows += [(node, "@TYPE@", "@OWL@Class", "iri"), (node, "@RDFS@label", name, "literal"),
-                 (node, "@RDFS@comment", comment, "literal")]
-        if parent:
-            rows.append((node, "@RDFS@subClassOf", "@ONT@" + parent, "iri"))
-    for kind, listed in (("Object", ontology.OBJECT_PROPERTIES), ("Datatype", ontology.DATATYPE_PROPERTIES)):
-        for name, domain, range_ in listed:
-            short = name.replace("dwc:", "")
-            node = "@DWC@" + short if name.startswith("dwc:") else "@ONT@" + name
-            target = ("@ONT@" if kind == "Object" else "@XSD@") + range_
-            rows += [(node, "@TYPE@", f"@OWL@{kind}Property", "iri"), (node, "@RDFS@label", short, "literal"),
-                     (node, "@RDFS@comment", f"{short} of a {domain.lower()}", "literal"),
-                     (node, "@RDFS@domain", "@ONT@" + domain, "iri"), (node, "@RDFS@range", target, "iri")]
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in (*r, "", "")) + ")" for r in rows)
+# fixed values: the ontology, written out apart from the library's own lists
+ONTOLOGY_SQL = """
+    with class(name, parent, note) as (values
+      ('Taxon', null, 'Any taxonomic unit.'), ('Order', 'Taxon', 'A group of related families.'),
+      ('Family', 'Taxon', 'A group of related genera.'), ('Genus', 'Taxon', 'A group of closely related species.'),
+      ('Species', 'Taxon', 'A single species.'), ('Observation', null, 'One sighting of a species at a place and time.'),
+      ('Location', null, 'The point at which a sighting was made.')),
+    property(kind, base, name, domain, target) as (values
+      ('Object', '@ONT@', 'parentTaxon', 'Taxon', '@ONT@Taxon'), ('Object', '@ONT@', 'hasObservation', 'Species', '@ONT@Observation'),
+      ('Object', '@ONT@', 'observedAt', 'Observation', '@ONT@Location'),
+      ('Datatype', '@ONT@', 'eBirdCode', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'gbifKey', 'Taxon', '@XSD@integer'),
+      ('Datatype', '@ONT@', 'taxonOrder', 'Taxon', '@XSD@decimal'), ('Datatype', '@DWC@', 'scientificName', 'Taxon', '@XSD@string'),
+      ('Datatype', '@DWC@', 'order', 'Taxon', '@XSD@string'), ('Datatype', '@DWC@', 'family', 'Taxon', '@XSD@string'),
+      ('Datatype', '@DWC@', 'genus', 'Taxon', '@XSD@string'), ('Datatype', '@ONT@', 'commonNameEn', 'Taxon', '@XSD@string'),
+      ('Datatype', '@ONT@', 'commonNameDa', 'Taxon', '@XSD@string'), ('Datatype', '@ONT@', 'commonNameFr', 'Taxon', '@XSD@string'),
+      ('Datatype', '@ONT@', 'conservationStatus', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'migrationStatus', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'typicallyPresentInMonth', 'Species', '@XSD@integer'), ('Datatype', '@ONT@', 'massGrams', 'Species', '@XSD@decimal'),
+      ('Datatype', '@ONT@', 'wingspanMm', 'Species', '@XSD@decimal'), ('Datatype', '@ONT@', 'habitat', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'range', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'dielCycle', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'thumbnailUrl', 'Species', '@XSD@anyURI'), ('Datatype', '@ONT@', 'rangeMapUrl', 'Species', '@XSD@anyURI'),
+      ('Datatype', '@ONT@', 'iucnCategory', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'populationTrend', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'iucnHabitat', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'threat', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'movementPattern', 'Species', '@XSD@string'), ('Datatype', '@ONT@', 'system', 'Species', '@XSD@string'),
+      ('Datatype', '@ONT@', 'observedOn', 'Observation', '@XSD@date'), ('Datatype', '@ONT@', 'individualCount', 'Observation', '@XSD@integer'),
+      ('Datatype', '@ONT@', 'recordedBy', 'Observation', '@XSD@string'), ('Datatype', '@ONT@', 'latitude', 'Location', '@XSD@decimal'),
+      ('Datatype', '@ONT@', 'longitude', 'Location', '@XSD@decimal'), ('Datatype', '@ONT@', 'locality', 'Location', '@XSD@string'))
+    select '@ONT@'||name as s, '@TYPE@' as p, '@OWL@Class' as o, 'iri' as o_kind, '' as o_lang, '' as o_datatype from class
+    union all select '@ONT@'||name, '@RDFS@label', name, 'literal', '', '' from class
+    union all select '@ONT@'||name, '@RDFS@comment', note, 'literal', '', '' from class
+    union all select '@ONT@'||name, '@RDFS@subClassOf', '@ONT@'||parent, 'iri', '', '' from class where parent is not null
+    union all select base||name, '@TYPE@', '@OWL@'||kind||'Property', 'iri', '', '' from property
+    union all select base||name, '@RDFS@label', name, 'literal', '', '' from property
+    union all select base||name, '@RDFS@comment', name||' of a '||lower(domain), 'literal', '', '' from property
+    union all select base||name, '@RDFS@domain', '@ONT@'||domain, 'iri', '', '' from property
+    union all select base||name, '@RDFS@range', target, 'iri', '', '' from property"""
 
 
 def _facts_sql(source: str, facts: list[tuple]) -> str:
@@ -341,5 +358,5 @@ GRAPH_SQL = " union all ".join([
         ("loc", "@ONT@latitude", "cast(lat as varchar)", "literal", "", "@XSD@decimal"),
         ("loc", "@ONT@longitude", "cast(lon as varchar)", "literal", "", "@XSD@decimal"),
     ]),
-    f"select * from (values {_ontology_sql()}) as ont(s, p, o, o_kind, o_lang, o_datatype)",
+    f"select * from ({ONTOLOGY_SQL}) as ont",
 ])

@@ -27,6 +27,7 @@ def build_session(app_name: str = "fieldlark", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # long texts go to Python in smaller batches
         **conf,
     }
     for key, value in settings.items():
