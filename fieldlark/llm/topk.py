@@ -89,21 +89,24 @@ class Lists:
         self.score, self.found, self.valid = (np.take_along_axis(x, order, 1) for x in (score, found, valid))
 
 
+def by_length(ids: pa.Array, vec: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Vectors as the rows of one matrix per length, with their ids."""
+    ids, lengths = ids.to_numpy(zero_copy_only=False), vec.value_lengths().to_numpy(zero_copy_only=False)
+    ends, flat = np.cumsum(lengths), vec.flatten().to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        yield d, ids[at], flat[(ends[at] - d)[:, None] + np.arange(d)]
+
+
 def tile_lists(batches: Iterator[pa.RecordBatch], block, k: int) -> Iterator[pa.RecordBatch]:
     """Best k of this task's rows for every query of the block."""
     lists = {d: Lists(ids, vectors, k) for d, (_, ids, vectors) in block.value.items()}
     for batch in batches:
         for a in range(0, batch.num_rows, ROW_TILE):
             part = batch.slice(a, ROW_TILE)
-            ids, vec = part.column("id").to_numpy(zero_copy_only=False), part.column("vec")
-            lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            flat = vec.flatten().to_numpy(zero_copy_only=False)
-            for d in np.unique(lengths):
+            for d, ids, rows in by_length(part.column("id"), part.column("vec")):
                 if d in lists:
-                    at = np.flatnonzero(lengths == d)
-                    rows = flat[(ends[at] - d)[:, None] + np.arange(d)]
-                    lists[d].add(ids[at], rows)
+                    lists[d].add(ids, rows)
     part = TaskContext.get().partitionId()
     for d, (keys, ids, _) in block.value.items():
         row, col = np.nonzero(lists[d].valid)
@@ -126,14 +129,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_values: i
     n_blocks = max(1, math.ceil(values / block_values))
     found = None
     for b in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks)) == b).collect()  # one bounded block
+        own = queries.where(F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks)) == b).toArrow()  # one bounded block
         block, at = {}, 0
-        for d in sorted({len(r.vec) for r in rows}):
-            own = sorted((r.id, r.vec) for r in rows if len(r.vec) == d)
-            keys = (b << 40) + at + np.arange(len(own), dtype=np.int64)
-            block[d] = (keys, np.array([i for i, _ in own], np.int64),
-                        np.array([v for _, v in own], np.int64).reshape(len(own), d))
-            at += len(own)
+        for d, ids, vectors in by_length(own["id"].combine_chunks(), own["vec"].combine_chunks()):
+            order = np.lexsort((*vectors.T[::-1], ids))
+            block[int(d)] = ((b << 40) + at + np.arange(len(ids), dtype=np.int64), ids[order], vectors[order])
+            at += len(ids)
         sent = spark.sparkContext.broadcast(block)
         part = candidates.mapInArrow(
             lambda batches, sent=sent: tile_lists(batches, sent, k),
