@@ -196,7 +196,7 @@ def _(t):
         F.get("threats", F.lit(0))["severity"].alias("severity"), F.get("systems", F.lit(0)).alias("system"))
 
 
-@query("assessment_triples", f"""
+ASSESSED = f"""
     select species as s, p, o from $species i join (
       select assessment_id, '@ONT@iucnCategory' as p, category as o from ({FLAT}) f
       union all select assessment_id, '@ONT@populationTrend', population_trend from ({FLAT}) f
@@ -204,7 +204,10 @@ def _(t):
       union all select assessment_id, '@ONT@iucnHabitat', habitat from ({FLAT}) f
       union all select assessment_id, '@ONT@threat', threat from ({FLAT}) f
       union all select assessment_id, '@ONT@system', system from ({FLAT}) f) t on i.ebird_code = 'c'||t.assessment_id
-    where o is not null""")
+    where o is not null"""
+
+
+@query("assessment_triples", ASSESSED)
 def _(t):
     names = t.species.select(F.substring("ebird_code", 2, 20).cast("bigint").alias("assessment_id"), F.col("scientific_name").alias("name"))
     named = en.flatten_assessment(assessments(t)).join(names, "assessment_id")
@@ -245,3 +248,30 @@ def _(t):
     """From landed files and the graph to the triples they offer."""
     bindings = landed.read_trait_bindings(t.spark, landed_batches(t, t.trait_row, en.TRAIT_VARIABLES))
     return plans.enrich_with_traits(t.graph, bindings, V).select("s", "p", "o")
+
+
+@query("enriched_with_pictures", """
+    select species as s, p, o from (
+      select species, '@ONT@thumbnailUrl' as p, thumbnail as o from $species
+      union all select species, '@ONT@rangeMapUrl', range_map from $species
+      union all select species, '@SAME@', '@DBR@'||common_name_en from $species) x where o is not null""")
+def _(t):
+    """One landed picture per species, under the page of its English name."""
+    rows = t.species.select(
+        F.substring("ebird_code", 2, 20).cast("bigint").alias("seq"), F.concat(F.lit(v.DBPEDIA_RESOURCE), "common_name_en").alias("item"),
+        F.col("thumbnail").alias("thumb"), "range_map")
+    bindings = landed.read_picture_bindings(t.spark, landed_batches(t, rows, en.PICTURE_VARIABLES))
+    return plans.enrich_with_pictures(t.graph, bindings, V).select("s", "p", "o")
+
+
+@query("enriched_with_assessments", ASSESSED + " and t.assessment_id <> 0")  # 0 counts as no id
+def _(t):
+    """One landed lookup per species, and the landed assessments."""
+    item = F.struct(
+        F.lit("2020").alias("year_published"), F.lit(True).alias("latest"),
+        F.substring("ebird_code", 2, 20).cast("bigint").alias("assessment_id"))
+    names = t.species.select(
+        F.struct(F.col("scientific_name").alias("scientific_name")).alias("taxon"), F.array(item).alias("assessments"))
+    return plans.enrich_with_assessments(
+        t.graph, landed.read_iucn_lookups(t.spark, land(t, names, "lookups")),
+        landed.read_iucn_assessments(t.spark, land(t, assessments(t), "assessments")), vocab=V).select("s", "p", "o")
