@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlark.llm import bloom
 from fieldlark.llm.words import SpanHasher, mix, normal_bytes, shingle_hashes
@@ -31,9 +31,12 @@ DEPTH = 10  # minhashes in a full label
 RECALL = 1 - 1e-5  # of pairs at the threshold
 SKETCH_EVERY = 3  # every third minhash gives a byte of the sketch
 SIGMAS = 5  # a pair is dropped by the sketch if it is that many standard deviations below the threshold
-NODE_BLOCK = 512  # rows of a tree node compared at once
 FEW = 16  # rows of a tree node up to which all pairs are looked at
-SET_BLOCK = 64  # sets of a component compared at once
+# rows compared at once, of a tree node and of a component: a group is cut into blocks of the first size, up to SPREAD
+# blocks, and beyond that into as few blocks as the second size allows; RUNS bounds the runs of words in a block
+NODE_BLOCK, SET_BLOCK = (512, 8192), (64, 2048)
+SPREAD = 32
+RUNS = 1 << 20
 COLUMNS = 4096  # shingles in one tile of the comparison
 
 
@@ -82,29 +85,31 @@ def content_key(data: bytes) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
-    """(id, h1, h2, nodes, sketch) of each (id, text) row; all but the id are null for a text without words."""
+    """(id, h1, h2, size, nodes, sketch) of each (id, text) row; all but the id are null for a text without words.
+    The size is the number of runs of words."""
     def run(batches):
         hasher, signer = SpanHasher(), Signer(trees, length)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                first, second, nodes, sketches = [], [], [], []
+                first, second, sizes, nodes, sketches = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     data = normal_bytes(text)
                     if not data:
-                        for x in (first, second, nodes, sketches):
+                        for x in (first, second, sizes, nodes, sketches):
                             x.append(None)
                         continue
                     h1, h2 = content_key(data)
-                    node, sketch = signer.sign(shingle_hashes(hasher, data, words))
-                    for x, value in ((first, h1), (second, h2), (nodes, node), (sketches, sketch)):
+                    hashes = shingle_hashes(hasher, data, words)
+                    node, sketch = signer.sign(hashes)
+                    for x, value in ((first, h1), (second, h2), (sizes, len(hashes)), (nodes, node), (sketches, sketch)):
                         x.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                    [part.column("id"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64()),
                      pa.array(nodes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "h1", "h2", "nodes", "sketch"])
+                    names=["id", "h1", "h2", "size", "nodes", "sketch"])
 
-    return docs.mapInArrow(run, "id long, h1 long, h2 long, nodes array<long>, sketch binary")
+    return docs.mapInArrow(run, "id long, h1 long, h2 long, size long, nodes array<long>, sketch binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = False) -> Iterator[pa.RecordBatch | pa.Table]:
@@ -252,6 +257,12 @@ def verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
              part.column("blocks").combine_chunks()], names=["node", "root", "links", "blocks"])
 
 
+def n_blocks(rows: Column, block: tuple[int, int]) -> Column:
+    """Into how many blocks a group of so many rows is cut."""
+    fine, coarse = (F.ceil(rows / F.lit(size)) for size in block)
+    return F.greatest(F.least(fine, F.lit(SPREAD)), coarse).cast("int")
+
+
 def in_block_pairs(rows: DataFrame, key: str, blocks: str, block: str) -> DataFrame:
     """Each row once per pair of blocks (left <= right) of its group that its own block is part of."""
     other = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
@@ -277,15 +288,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     signed = cut_lineage(signatures(source, trees, length, words), "signatures")
     texts = cut_lineage(
         signed.where("h1 is not null").groupBy("h1", "h2").agg(
-            F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"),
-            F.first("sketch").alias("sketch"))
+            F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+            F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
         .withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
     # candidates: documents under the same node of a tree
     nodes = texts.select(F.explode("nodes").alias("node"), F.col("text_id").alias("id"))
     shared = cut_lineage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
-    blocks = F.ceil(F.col("n") / F.lit(NODE_BLOCK)).cast("int")
-    met = cut_lineage(nodes.join(shared, "node").withColumn("blocks", blocks).drop("n"), "met")
+    met = cut_lineage(nodes.join(shared, "node").withColumn("blocks", n_blocks(F.col("n"), NODE_BLOCK)).drop("n"), "met")
     met = met.join(texts.select(F.col("text_id").alias("id"), "sketch"), "id").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     n_bytes = len(range(0, trees * length, SKETCH_EVERY))
@@ -298,11 +308,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     grouped = cut_lineage(components(edges), "candidates")
 
     # exact verification within what is connected
-    sizes = cut_lineage(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     members = cut_lineage(
-        grouped.join(sizes, "component").select(
-            "component", F.col("node").alias("text_id"), F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int").alias("blocks"))
-        .join(texts.select("text_id", "id", "h1", "h2", "copies"), "text_id"), "members")
+        grouped.withColumnRenamed("node", "text_id").join(
+            texts.select("text_id", "id", "h1", "h2", "copies", "size"), "text_id"), "described")
+    sizes = cut_lineage(
+        members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("runs")).select(
+            "component", F.greatest(n_blocks(F.col("n"), SET_BLOCK), F.least("n", F.ceil(F.col("runs") / F.lit(RUNS))).cast("int")).alias("blocks")),
+        "sizes")
+    members = cut_lineage(members.drop("size").join(sizes, "component"), "members")
 
     def sets(batches):
         hasher = SpanHasher()
