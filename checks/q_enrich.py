@@ -7,7 +7,6 @@ from checks.registry import query
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import enrichment as en, taxonomy as tax
-from fieldlark.operators.triples import scan
 from fieldlark.plans import graph as plans
 from fieldlark.session import scratch_path
 from fieldlark.sources import landed
