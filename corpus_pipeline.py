@@ -10,32 +10,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlark.llm import contamination, langid, near_dups, packing, secrets
 from fieldlark.llm.queries import language_model, table, vocabulary
+from fieldlark.llm.settings import bounded_batches
 from fieldlark.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go. Columns stay as they are."""
+    bounded_batches(spark)
     found = langid.identify(docs, language_model(docs))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bounded_batches(spark)
     return near_dups.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
+    bounded_batches(spark)
     return contamination.find(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked; n_chars follows the text."""
+    bounded_batches(spark)
     return secrets.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their place in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, vocabulary())
 
 

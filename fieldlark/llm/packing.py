@@ -26,7 +26,7 @@ from fieldlark.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 400_000  # chunks of text whose ids a task remembers
+CACHE = 250_000  # chunks of text whose ids a task remembers
 
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _WORD_AND_SIGNS = re.compile("([a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-^`{-~]*)")
