@@ -104,9 +104,9 @@ def test_live_sightings(spark):
 
 
 @pytest.mark.parametrize("days, kept", [(14, 1), (0, 0), (1, 0), (99, 1)])
-def test_recent_sightings_clamps_days(spark, days, kept):
+def test_recent_sightings_with_the_days_of_an_endpoint(spark, days, kept):
     today = F.lit("2024-04-12").cast("date")
-    assert ex.recent_sightings(sightings(spark), today, days).count() == kept
+    assert ex.recent_sightings(sightings(spark), today, ex.clamp_days(days)).count() == kept
 
 
 def test_live_flag(spark):
@@ -132,3 +132,8 @@ def test_map_features(spark):
     assert tuple(ex.map_totals(features).first()) == (2, 2)
     line = json.loads(ex.geojson_lines(features).first().value)
     assert line["type"] == "Feature" and line["geometry"]["coordinates"] == [12.0, 55.5]
+
+
+def test_recent_sightings_take_any_number_of_days(spark):
+    today = F.lit("2024-04-12").cast("date")
+    assert ex.recent_sightings(sightings(spark), today, 99).count() == 2
