@@ -331,8 +331,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 [*(kept.column(c) for c in ("component", "text_id", "blocks", "copies")), pa.array(out, pa.binary())],
                 names=["component", "node", "blocks", "copies", "shingles"])
 
-    # most documents have no candidate: a filter of fixed size keeps their texts out of the shuffle
-    known = source.where(bloom.may_be_in(members, "id")("id")).join(members, "id").select("component", "text_id", "blocks", "copies", "text", "h1", "h2").mapInArrow(
+    # most documents have no candidate: a bitmap of fixed size keeps their texts out of the shuffle
+    near = bloom.marked(source, "id", bloom.bitmap(members, "id"), "__near").where("__near").drop("__near")
+    known = near.join(members, "id").select("component", "text_id", "blocks", "copies", "text", "h1", "h2").mapInArrow(
         sets, "component long, node long, blocks int, copies long, shingles binary")
     pairs = in_block_pairs(
         known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "component", "blocks", "block")
@@ -369,11 +370,10 @@ def keep_one(docs: DataFrame, text_column: str = "text", **parameters) -> DataFr
     repeated = cut_lineage(found.groupBy("__row", "class_id").agg(F.count(F.lit(1)).alias("n")).where(
         "n > 1 and __row = class_id").select("__row"), "repeated")
     gone = cut_lineage(found.where("__row <> class_id").select("__row").distinct().unionByName(repeated), "gone")
-    may_go = bloom.may_be_in(gone, "__row")
+    seen = bloom.marked(keyed, "__row", bloom.bitmap(gone, "__row"), "__may_go")
+    twice = bloom.marked(keyed, "__row", bloom.bitmap(repeated, "__row"), "__twice").where("__twice")
     return (
-        keyed.where(~may_go("__row"))
-        .unionByName(keyed.where(may_go("__row")).join(gone, "__row", "left_anti").select(keyed.columns))
-        .unionByName(keyed.where(bloom.may_be_in(repeated, "__row")("__row")).join(repeated, "__row", "left_semi")
-                     .select(keyed.columns).dropDuplicates())
-        .drop("__row")
+        seen.where("not __may_go").select(docs.columns)
+        .unionByName(seen.where("__may_go").join(gone, "__row", "left_anti").select(docs.columns))
+        .unionByName(twice.join(repeated, "__row", "left_semi").select(docs.columns).dropDuplicates())
     )

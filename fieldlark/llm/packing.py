@@ -26,6 +26,7 @@ from fieldlark.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
+TEXTS = 250  # looked up together
 CACHE = 250_000  # chunks of text whose ids a task remembers
 
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -195,8 +196,8 @@ def pieces(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
         chunk_ids, seen = ChunkIds(tokenizer_path), defaultdict(int)
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(a, TEXTS)
                 of, rows, ids = [], [], []
                 for i, data in enumerate(chunk_ids.of(some.column("__text").to_pylist())):
                     data += end
