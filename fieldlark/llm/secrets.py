@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("assign", "access", "hex")
 MASK = "[REMOVED]"
-MAX_LAYER = 32 << 20  # bytes of one unwrapped layer; larger ones are reported as oversize, with their span
+MAX_LAYER = 32 << 20  # bytes of unwrapped text held at once: a longer text is read piece by piece; one token that is
+# longer than this is read in parts that overlap, reported as oversize with its span, and masked
 
 # fixed values: the patterns asked for
 _ASSIGN = re.compile(
@@ -80,52 +81,147 @@ class Layer:
         return int(self.starts[a]), int(self.ends[b - 1])
 
 
-class TooLarge(Exception):
-    pass
+class Broken(Exception):
+    """Compressed data that cannot be read to its end."""
+
+
+def magic(data: bytes):
+    """A reader for the compressed data that starts with *data*; None if it is not compressed."""
+    if data[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 and data[0] >> 4 <= 7:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def inflated(first: bytes, source: Iterator[bytes], step: int) -> Iterator[bytes]:
+    """Content, in parts of at most *step* bytes, of compressed data that comes in parts; all members of joined
+    streams, and what stands behind the last one as it is. Data that breaks off gives what was read before."""
+    reader, data = magic(first), first
+    while reader is not None:
+        try:
+            if isinstance(reader, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                out = reader.decompress(data, step)
+                data = b""
+                hungry = not reader.eof and reader.needs_input
+            else:
+                out = reader.decompress(data, step)
+                data = reader.unconsumed_tail
+                hungry = not reader.eof and not data and len(out) < step
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError) as error:
+            raise Broken from error
+        if out:
+            yield out
+        if reader.eof:
+            data = reader.unused_data.lstrip(b"\0") if isinstance(reader, lzma.LZMADecompressor) else reader.unused_data
+            while len(data) < 6 and (more := next(source, None)) is not None:
+                data += more
+            reader = magic(data)
+        elif hungry:
+            data = next(source, None)
+            if data is None:
+                return
+    if data:
+        yield data
+    yield from source
+
+
+def content(data: bytes) -> Iterator[bytes | None]:
+    """The content of nested gzip, zlib, bzip2 and xz data in parts of bounded size; data of no such kind as it is.
+    A None among the parts stands for something that could not be read; an empty part ends what belongs together."""
+    step, seen = max(MAX_LAYER // 8, 16), set()
+    source, first, deep = iter(()), data, False
+    while magic(first) is not None:
+        digest = hashlib.sha1(first).digest()
+        if digest in seen:  # data that holds itself
+            if len(first) >= step:
+                yield None
+            return
+        seen.add(digest)
+        inner = inflated(first, source, step)
+        try:
+            held = b""
+            while len(held) < step and (part := next(inner, None)) is not None:
+                held += part
+        except Broken:  # what was read, and the data as it is
+            if held:
+                yield held
+                yield b""
+            yield first
+            if deep and len(first) >= step:
+                yield None
+            return
+        if not held:
+            return
+        first, source, deep = held, inner, True
+    yield first
+    try:
+        yield from source
+    except Broken:
+        yield None
+
+
+# a place where nothing that is looked for goes on: behind a line whose end is no part of a token
+_SAFE = re.compile(rb"(?:[.,\"'()\[\]>|!?#*]|[^0-9A-Fa-f]\}|\n|[ \t][^\s]{0,15})[ \t]*\r?\n")
+
+
+def pieces(data: bytes) -> Iterator[bytes | None]:
+    """What *data* holds, cut where no token goes on, so that the pieces can be looked at one by one. A None stands for
+    something that could not be read as a whole: it is longer than MAX_LAYER without such a place."""
+    step, held, first = max(MAX_LAYER // 8, 16), b"", True
+    for part in content(data):
+        if not part:
+            if held:
+                yield held
+            if part is None:
+                yield None
+            held, first = b"", True
+            continue
+        if not first:
+            part = part.replace(b"\0", b"")  # a long UTF-16 text has no other place to cut
+        held, first = held + part, False
+        if len(held) < 2 * step:
+            continue
+        held = held.replace(b"\0", b"")
+        cut = 0
+        for m in _SAFE.finditer(held, max(len(held) - step, 0)):
+            cut = m.end()
+        if cut:
+            yield held[:cut]
+            held = held[cut:]
+        elif len(held) > MAX_LAYER:
+            yield held
+            yield None
+            held = held[-(step // 8):]
+    if held:
+        yield held
 
 
 def plain_text(data: bytes) -> str | None:
-    """*data* as text, decompressed first if it is compressed; None if it is neither."""
-    data = decompressed(data)
-    if not data:
-        return None
+    """*data* as text; None if it is none."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if _PLAIN.fullmatch(text) else None
+    return text if text and _PLAIN.fullmatch(text) else None
 
 
-def decompressed(data: bytes) -> bytes:
-    """The content of nested gzip, zlib, bzip2 and xz data; data of no such kind as it is."""
-    seen = set()
-    while True:
-        if data[:3] == b"\x1f\x8b\x08":
-            reader = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 and data[0] >> 4 <= 7:
-            reader = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            reader = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            reader = lzma.LZMADecompressor()
-        else:
-            return data
-        digest = hashlib.sha1(data).digest()
-        if digest in seen:
-            return b""
-        seen.add(digest)
-        try:
-            out = reader.decompress(data, MAX_LAYER + 1)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            return data
-        if len(out) > MAX_LAYER:
-            raise TooLarge
-        data = out
+def texts_of(data: bytes) -> Iterator[str | None]:
+    """Texts that *data* holds, decompressed; a None for each part that cannot be read."""
+    for piece in pieces(data):
+        if piece is None:
+            yield None
+        elif (text := plain_text(piece)) is not None:
+            yield text
 
 
-def rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[tuple[str, int, int]]]:
-    """The layer with every match of *pattern* replaced by what *decode* gives, if that is a text; and texts that
-    stand on their own (compressed data), with their span in the layer."""
+def rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[tuple[bytes, int, int]]]:
+    """The layer with every match of *pattern* replaced by what *decode* gives, if that is a text; and
+    data that stand on their own (compressed), with their span in the layer."""
     pieces, starts, ends, apart, at = [], [], [], [], 0
     own = np.arange(len(layer.text) + 1)
     own_starts, own_ends = (own[:-1], own[1:]) if layer.starts is None else (layer.starts, layer.ends)
@@ -161,8 +257,7 @@ def decode_percent(run: str):
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        text = plain_text(data)
-        return None if text is None else (text, None)
+        return None if magic(data) is None else (data, None)
     return text, _units(text, [3 * len(c.encode()) for c in text])
 
 
@@ -184,55 +279,55 @@ def decode_escapes(run: str):
             text = data.decode("utf-8")
             return text, _units(text, [4 * len(c.encode()) for c in text])
         except UnicodeDecodeError:
-            text = plain_text(data)
-            return None if text is None else (text, None)
+            return None if magic(data) is None else (data, None)
     except (ValueError, OverflowError):
         return None
 
 
-def decode_base64(token: str) -> Iterator[tuple[str, int, int]]:
-    """Texts that a token, or the parts of it between separators, decodes to."""
+def decode_base64(token: str) -> Iterator[tuple[str | None, int, int]]:
+    """Texts that a token, or the parts of it between separators, decodes to; a None for what cannot be read."""
     body = re.sub(r"(=|%3[Dd])+\Z", "", token)
 
-    def one(part: str) -> str | None:
+    def one(part: str) -> Iterator[str | None]:
         if len(part) % 4 == 1:
-            return None
+            return
         try:
             data = base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4), validate=True)
         except (binascii.Error, ValueError):
-            return None
-        return plain_text(data)
+            return
+        yield from texts_of(data)
 
-    text = one(body)
-    if text is not None:
+    whole = False
+    for text in one(body):
+        whole = True
         yield text, 0, len(token)
+    if whole:
         return
     for m in re.finditer(r"[A-Za-z0-9+]{16,}", body):
-        if m.span() != (0, len(body)) and (text := one(m[0])) is not None:
-            yield text, m.start(), len(token) if m.end() == len(body) else m.end()
+        if m.span() != (0, len(body)):
+            for text in one(m[0]):
+                yield text, m.start(), len(token) if m.end() == len(body) else m.end()
 
 
 def unwrapped(layer: Layer, oversize: list[tuple[int, int]]) -> Iterator[Layer]:
-    """The layers directly inside a layer."""
-    apart: list[tuple[str, int, int]] = []
+    """The layers directly inside a layer, one at a time."""
+    def apart(texts):
+        for text, a, b in texts:
+            if text is None:
+                oversize.append(layer.place(a, b))
+            else:
+                yield Layer(text, None, None, layer.place(a, b), layer.ancestors)
+
     for pattern, decode, sign in ((_PERCENT, decode_percent, "%"), (_ESCAPES, decode_escapes, None)):
         if sign and sign not in layer.text or not sign and "\\" not in layer.text and "&#" not in layer.text:
             continue
-        try:
-            inner, texts = rewritten(layer, pattern, decode)
-        except TooLarge:
-            oversize.append(layer.place(0, len(layer.text)))
-            continue
-        apart += texts
+        inner, parts = rewritten(layer, pattern, decode)
         if inner is not None:
             yield inner
+        for data, a, b in parts:
+            yield from apart((text, a, b) for text in texts_of(data))
     for m in _BASE64.finditer(layer.text):
-        try:
-            apart += [(text, m.start() + a, m.start() + b) for text, a, b in decode_base64(m[0])]
-        except TooLarge:
-            oversize.append(layer.place(*m.span()))
-    for text, a, b in apart:
-        yield Layer(text, None, None, layer.place(a, b), layer.ancestors)
+        yield from apart((text, m.start() + a, m.start() + b) for text, a, b in decode_base64(m[0]))
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> tuple[list[Span], list[tuple[int, int]]]:
@@ -240,31 +335,33 @@ def all_spans(text: str, base: list[Span] | None = None) -> tuple[list[Span], li
     found = set(base_spans(text) if base is None else base)
     oversize: list[tuple[int, int]] = []
     digest = lambda s: hashlib.sha1(s.encode("utf-8", "surrogatepass")).digest()
-    work, seen = [Layer(text, None, None, None, frozenset())], set()
+    root, seen = Layer(text, None, None, None, frozenset()), set()
+    work = [(root, unwrapped(root, oversize))]  # the layers that are open, each inside the one before
     while work:
-        layer = work.pop()
-        inside = layer.ancestors | {digest(layer.text)} if layer.ancestors else None
-        for inner in unwrapped(layer, oversize):
-            if inside is None:
-                inside = frozenset((digest(text),))
-            own = digest(inner.text)
-            if own in inside or (inner.span, own) in seen:
-                continue
-            seen.add((inner.span, own))
-            inner.ancestors = frozenset(inside)
-            found.update((kind, *inner.place(a, b)) for kind, a, b in base_spans(inner.text))
-            work.append(inner)
+        layer, rest = work[-1]
+        inner = next(rest, None)
+        if inner is None:
+            work.pop()
+            continue
+        own, inside = digest(inner.text), layer.ancestors or frozenset((digest(text),))
+        if own in inside or (inner.span, own) in seen:
+            continue
+        seen.add((inner.span, own))
+        inner.ancestors = inside | {own}
+        found.update((kind, *inner.place(a, b)) for kind, a, b in base_spans(inner.text))
+        work.append((inner, unwrapped(inner, oversize)))
     return in_order(found), sorted(set(oversize))
 
 
 def masked(text: str, mask: str = MASK) -> str:
-    """*text* with every span of a secret replaced, until no secret is left."""
+    """*text* with every span of a secret, and of what could not be read, replaced, until none is left."""
     while True:
-        spans, _ = all_spans(text)
-        if not spans:
+        spans, oversize = all_spans(text)
+        places = sorted([s[1:] for s in spans] + oversize)
+        if not places:
             return text
         pieces, at = [], 0
-        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        for a, b in places:
             if a >= at:
                 pieces += [text[at:a], mask]
             at = max(at, b)

@@ -1,5 +1,8 @@
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -92,3 +95,23 @@ def test_tables(spark):
     assert secrets.find(df).columns == ["doc_id", "text", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "oversize"]
     assert [r.text for r in secrets.remove(df).orderBy("doc_id").collect()][:3] == [None, "", secrets.MASK]
     assert secrets.find(df.limit(0)).collect() == [] and secrets.remove(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(gzip.compress(x))])
+def test_large_layers_are_read_to_the_end(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 2000)
+    draw = random.Random(3)
+    lines = ["".join(draw.choices("bcdfg hjkl", k=60)) + "." for _ in range(400)]
+    token = b64(pack("\n".join([*lines, b64(SECRET), *lines, "AKIA" + "Z" * 16]).encode()))
+    spans, oversize = secrets.all_spans("x " + token + " y")
+    assert {(k, 2, 2 + len(token)) for k in ("assign", "access")} <= set(spans) and not oversize
+    assert secrets.masked("x " + token + " y") == f"x {secrets.MASK} y"
+
+
+def test_what_cannot_be_read_is_masked_and_spoils_nothing_else(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    bomb = "".join(f"%{b:02x}" for b in zlib.compress(b"z" * 100000))
+    text = f"{bomb} and {quote(SECRET, safe='')} end"
+    spans, oversize = secrets.all_spans(text)
+    assert [s[0] for s in spans] == ["assign"] and oversize == [(0, len(bomb))]
+    assert secrets.masked(text) == f"{secrets.MASK} and {secrets.MASK} end"
