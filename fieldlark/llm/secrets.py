@@ -38,7 +38,11 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}|(?:%3[Dd]){1,2})?")
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})(?:={1,2}|(?:%3[Dd]){1,2})?")
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+)((?:={1,2}|(?:%3[Dd]){1,2})?)")
+# what a layer must hold to be of use: a part of a secret, or of something that can be unwrapped
+_WORTH = re.compile(rb"passw|secret|token|api|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_-]{16}", re.I)
+_UNCLEAN = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 _PLAIN = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]*")
 
 Span = tuple[str, int, int]
@@ -72,6 +76,7 @@ class Layer:
     ends: np.ndarray | None
     span: tuple[int, int] | None
     ancestors: frozenset[bytes]
+    done: tuple[tuple[int, int], ...] = ()  # places in the original whose inside other layers cover
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.span is not None:
@@ -130,9 +135,10 @@ def inflated(first: bytes, source: Iterator[bytes], step: int) -> Iterator[bytes
     yield from source
 
 
-def content(data: bytes) -> Iterator[bytes | None]:
+def content(data: bytes, raw: bool = True) -> Iterator[bytes | None]:
     """The content of nested gzip, zlib, bzip2 and xz data in parts of bounded size; data of no such kind as it is.
-    A None among the parts stands for something that could not be read; an empty part ends what belongs together."""
+    A None among the parts stands for something that could not be read; an empty part ends what belongs together.
+    Without *raw*, data that only look compressed give nothing themselves."""
     step, seen = max(MAX_LAYER // 8, 16), set()
     source, first, deep = iter(()), data, False
     while magic(first) is not None:
@@ -151,7 +157,8 @@ def content(data: bytes) -> Iterator[bytes | None]:
             if held:
                 yield held
                 yield b""
-            yield first
+            if deep or raw:
+                yield first
             if deep and len(first) >= step:
                 yield None
             return
@@ -169,11 +176,11 @@ def content(data: bytes) -> Iterator[bytes | None]:
 _SAFE = re.compile(rb"(?:[.,\"'()\[\]>|!?#*]|[^0-9A-Fa-f]\}|\n|[ \t][^\s]{0,15})[ \t]*\r?\n")
 
 
-def pieces(data: bytes) -> Iterator[bytes | None]:
+def pieces(data: bytes, raw: bool = True) -> Iterator[bytes | None]:
     """What *data* holds, cut where no token goes on, so that the pieces can be looked at one by one. A None stands for
     something that could not be read as a whole: it is longer than MAX_LAYER without such a place."""
     step, held, first = max(MAX_LAYER // 8, 16), b"", True
-    for part in content(data):
+    for part in content(data, raw):
         if not part:
             if held:
                 yield held
@@ -210,13 +217,16 @@ def plain_text(data: bytes) -> str | None:
     return text if text and _PLAIN.fullmatch(text) else None
 
 
-def texts_of(data: bytes) -> Iterator[str | None]:
-    """Texts that *data* holds, decompressed; a None for each part that cannot be read."""
-    for piece in pieces(data):
+def texts_of(data: bytes, raw: bool = True) -> Iterator[str | None]:
+    """Texts that *data* holds, decompressed, one character a byte where it is no UTF-8 text; a None for each part
+    that cannot be read."""
+    for piece in pieces(data, raw):
         if piece is None:
             yield None
         elif (text := plain_text(piece)) is not None:
             yield text
+        elif _WORTH.search(piece.replace(b"\0", b"")):
+            yield piece.decode("latin-1")
 
 
 def rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[tuple[bytes, int, int]]]:
@@ -243,7 +253,7 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None,
     starts, ends = np.concatenate([*starts, own_starts[at:]]), np.concatenate([*ends, own_ends[at:]])
     if layer.span is not None:
         starts = ends = None
-    return Layer(text, starts, ends, layer.span, layer.ancestors), apart
+    return Layer(text, starts, ends, layer.span, layer.ancestors, layer.done), apart
 
 
 def _units(text: str, sizes: list[int]) -> tuple[list[int], list[int]]:
@@ -257,7 +267,7 @@ def decode_percent(run: str):
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None if magic(data) is None else (data, None)
+        return (data.decode("latin-1"), _units(run, [3] * len(data))) if magic(data) is None else (data, None)
     return text, _units(text, [3 * len(c.encode()) for c in text])
 
 
@@ -272,41 +282,98 @@ def decode_escapes(run: str):
             return None if 0xD800 <= code < 0xE000 else (chr(code), ([0], [len(run)]))
         if run.startswith("\\u"):
             units = [int(x, 16) for x in run.split("\\u")[1:]]
-            text = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be")
+            text = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "surrogatepass")
             return text, _units(text, [12 if ord(c) > 0xFFFF else 6 for c in text])
         data = bytes.fromhex(run.replace("\\x", ""))
         try:
             text = data.decode("utf-8")
             return text, _units(text, [4 * len(c.encode()) for c in text])
         except UnicodeDecodeError:
-            return None if magic(data) is None else (data, None)
+            return (data.decode("latin-1"), _units(run, [4] * len(data))) if magic(data) is None else (data, None)
     except (ValueError, OverflowError):
         return None
 
 
-def decode_base64(token: str) -> Iterator[tuple[str | None, int, int]]:
-    """Texts that a token, or the parts of it between separators, decodes to; a None for what cannot be read."""
-    body = re.sub(r"(=|%3[Dd])+\Z", "", token)
+def base64_bytes(part: str) -> bytes:
+    """The bytes of base64 characters; of one too many, those before it."""
+    part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def base64_tokens(text: str) -> Iterator[list[tuple[int, int, int]]]:
+    """Base64 tokens of a text, as (start, end of the characters, end of the padding) of each line they are wrapped
+    into: all lines but the first and the last are equally long, the last one is no longer."""
+    at = 0
+    while m := _BASE64.search(text, at):
+        lines, width = [(m.start(1), m.end(1), m.end())], 0
+        while lines[-1][1] == lines[-1][2] and (n := _NEXT_LINE.match(text, lines[-1][2])):
+            if width and len(n[1]) > width:
+                break
+            lines.append((n.start(1), n.end(1), n.end()))
+            if width and len(n[1]) < width:
+                break
+            width = len(n[1])
+        yield lines
+        at = lines[-1][2]
+
+
+def strict_parts(token: str, end: int) -> Iterator[tuple[str | None, int, int, bool]]:
+    """Texts, with their place, that a token of one line (padding from *end* on), or the parts of it between
+    separators, decodes to; last whether it is a clean text as a whole. A None for what cannot be read."""
+    body = token[:end]
+    for m in re.finditer(r"\A.*\Z|[A-Za-z0-9+]{16,}", body, re.S):
+        if len(m[0]) % 4 == 1:
+            continue
+        data, place = base64_bytes(m[0]), (m.start(), len(token) if m.end() == end else m.end())
+        if (text := plain_text(data)) is not None:
+            yield text, *place, True
+        elif magic(data) is not None:
+            yield from ((text, *place, False) for text in texts_of(data, raw=False))
 
-    def one(part: str) -> Iterator[str | None]:
-        if len(part) % 4 == 1:
-            return
-        try:
-            data = base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            return
-        yield from texts_of(data)
 
-    whole = False
-    for text in one(body):
-        whole = True
-        yield text, 0, len(token)
-    if whole:
+def decode_base64(text: str, lines: list[tuple[int, int, int]]):
+    """What a token in a text holds, as (text, start, end, None) if it has the span of the token or of a part of it,
+    and (text, starts, ends, done) with the place of each character and the places that the former have covered.
+
+    Lines and parts between separators that are clean texts come first. Then all lines are read as one, from each of
+    the four phases, bytes as they are: so whatever stands behind a prefix of any length is read too, also when it is
+    binary, Latin-1 or UTF-16; compressed data, and a clean rest, may begin behind each separator or line end.
+    """
+    done = []
+    for a, b, end in lines:
+        body = text[a:b]
+        whole = False
+        for found, x, y, clean in strict_parts(text[a:end], b - a):
+            if whole:
+                break
+            yield found, a + x, a + y, None
+            if clean:
+                done.append((a + x, a + y))
+                whole = (x, y) == (0, end - a)
+    if len(lines) == 1 and whole:
         return
-    for m in re.finditer(r"[A-Za-z0-9+]{16,}", body):
-        if m.span() != (0, len(body)):
-            for text in one(m[0]):
-                yield text, m.start(), len(token) if m.end() == len(body) else m.end()
+    body = "".join(text[a:b] for a, b, _ in lines)
+    at = np.concatenate([np.arange(a, b) for a, b, _ in lines])
+    heads = sorted({0, *np.cumsum([b - a for a, b, _ in lines[:-1]]).tolist(), *(m.end() for m in re.finditer("[/_-]", body))})
+    phases = [base64_bytes(body[p:]) for p in range(4)]
+    last = [max((m.start() for m in _UNCLEAN.finditer(data)), default=-1) for data in phases]
+    clean = [False] * 4
+    for head in heads:
+        p, byte = head % 4, head // 4 * 3
+        data = phases[p]
+        if magic(data[byte: byte + 6]) is not None and (head or len(lines) > 1):
+            for found in texts_of(data[byte:], raw=False):
+                yield found, int(at[head]), lines[-1][2], None
+        elif len(lines) == 1 and not clean[p] and byte > last[p] and len(body) - head >= 16:
+            clean[p] = True
+            if head and (found := plain_text(data[byte:])) is not None:
+                yield found, int(at[head]), lines[-1][2], None
+                done.append((int(at[head]), lines[-1][2]))
+    for p, data in enumerate(phases):
+        if _WORTH.search(data.replace(b"\0", b"")):
+            k = np.arange(len(data))
+            ends = at[np.minimum(p + (4 * k + 7) // 3 - 1, len(at) - 1)] + 1
+            yield data.decode("latin-1"), at[p + 4 * k // 3], ends, tuple(done)
 
 
 def unwrapped(layer: Layer, oversize: list[tuple[int, int]]) -> Iterator[Layer]:
@@ -326,8 +393,21 @@ def unwrapped(layer: Layer, oversize: list[tuple[int, int]]) -> Iterator[Layer]:
             yield inner
         for data, a, b in parts:
             yield from apart((text, a, b) for text in texts_of(data))
-    for m in _BASE64.finditer(layer.text):
-        yield from apart((text, m.start() + a, m.start() + b) for text, a, b in decode_base64(m[0]))
+    if "\0" in layer.text and layer.ancestors:  # UTF-16 and UTF-32, in any order and place
+        own = np.flatnonzero(np.array([c != "\0" for c in layer.text]))
+        placed = layer.span is None and layer.starts is not None
+        yield Layer(layer.text.replace("\0", ""), layer.starts[own] if placed else None, layer.ends[own] if placed else None,
+                    layer.span, layer.ancestors, layer.done)
+    for lines in base64_tokens(layer.text):
+        for text, a, b, done in decode_base64(layer.text, lines):
+            if done is None:
+                yield from apart([(text, a, b)])
+            elif layer.span is not None:
+                yield Layer(text, None, None, layer.span, layer.ancestors)
+            else:
+                starts, ends = (a, b) if layer.starts is None else (layer.starts[a], layer.ends[b - 1])
+                yield Layer(text, starts, ends, None, layer.ancestors,
+                            layer.done + tuple(layer.place(x, y) for x, y in done))
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> tuple[list[Span], list[tuple[int, int]]]:
@@ -348,7 +428,10 @@ def all_spans(text: str, base: list[Span] | None = None) -> tuple[list[Span], li
             continue
         seen.add((inner.span, own))
         inner.ancestors = inside | {own}
-        found.update((kind, *inner.place(a, b)) for kind, a, b in base_spans(inner.text))
+        for kind, a, b in base_spans(inner.text):
+            a, b = inner.place(a, b)
+            if not any(x <= a and b <= y for x, y in inner.done):
+                found.add((kind, a, b))
         work.append((inner, unwrapped(inner, oversize)))
     return in_order(found), sorted(set(oversize))
 

@@ -115,3 +115,30 @@ def test_what_cannot_be_read_is_masked_and_spoils_nothing_else(monkeypatch):
     spans, oversize = secrets.all_spans(text)
     assert [s[0] for s in spans] == ["assign"] and oversize == [(0, len(bomb))]
     assert secrets.masked(text) == f"{secrets.MASK} and {secrets.MASK} end"
+
+
+LONG = "some words before it, so that it is long enough to wrap: "
+
+
+@pytest.mark.parametrize("wrapped", [
+    base64.encodebytes((LONG[:45] + SECRET + " " + LONG * 3).encode()).decode().strip(),
+    base64.encodebytes(gzip.compress((LONG + SECRET + "".join(map(chr, range(32, 126)))).encode())).decode().strip().replace("\n", "\r\n"),
+    b64(gzip.compress(b"first one\n") + gzip.compress(SECRET.encode())), b64(bz2.compress(b"first") + bz2.compress(SECRET.encode())),
+    b64(lzma.compress(b"first") + lzma.compress(SECRET.encode())),
+    b64(b"\x01\x02" + SECRET.encode() + b"\x00\xff"), b64("Größe, " .encode("latin-1") + SECRET.encode()),
+    b64(SECRET.encode("utf-16")), b64(SECRET.encode("utf-16-be")), b64(gzip.compress(b"\xff\x00" + SECRET.encode())),
+    "k_" + b64(b"??>?>" + SECRET.encode()), "ab/" + b64(zlib.compress(SECRET.encode())), "abc-" + b64(SECRET),
+    quote("é" + SECRET, safe="", encoding="latin-1"), "".join(f"\\x{b:02x}" for b in b"\xe9" + SECRET.encode())])
+def test_secrets_in_wrapped_joined_and_binary_layers(wrapped):
+    text = f"Größe {wrapped} end"
+    spans, oversize = secrets.all_spans(text)
+    assert "assign" in {s[0] for s in spans} and not oversize
+    assert all(6 <= a < b <= 6 + len(wrapped) for _, a, b in spans)
+    assert secrets.all_spans(secrets.masked(text))[0] == [] and secrets.masked(text).endswith(" end")
+
+
+def test_lines_of_tokens_keep_their_own_spans():
+    tokens = [b64("nothing in here at all ok"), b64(SECRET + " ab"), b64("nothing in there at all")]
+    text = "\n".join(t.rstrip("=") for t in tokens)
+    a = text.index(tokens[1].rstrip("="))
+    assert secrets.all_spans(text)[0] == [("assign", a, a + len(tokens[1].rstrip("=")))]
