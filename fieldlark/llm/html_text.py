@@ -38,6 +38,15 @@ NOT_CONTENT = frozenset(
     "menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup "
     "privacy promo promos promotion recommended related replies reply respond search share sharing sidebar signup skip "
     "social sponsor sponsored subscribe subscription tags teaser toolbar tooltip topbar widget widgets".split())
+# words that name a part of an article as well as something beside it: on the text elements of an article they mean nothing
+TOPICS = frozenset(
+    "consent cookie cookies disclaimer discussion feedback footer header legal menu menus nav navigation notice notices "
+    "notification notifications privacy promotion recommended related respond response search share sharing social "
+    "subscription toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXT_PARTS = HEADINGS | frozenset(
+    "section p blockquote pre figure figcaption dt dd table tr td th details summary".split())
+NOT_AN_ARTICLE = frozenset("comment comments reply replies teaser teasers".split())
 NOT_CONTENT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
@@ -47,11 +56,42 @@ _PIECE = re.compile(
     r"|</?[a-zA-Z][^<>]*+>|<[!?][^>]*+>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _LAYOUT = re.compile(r"\b(?:has|with|no|without|is|js)[-_]\w+", re.I)  # words about the layout, not the element
+_TAXONOMY = re.compile(r"(?:category|tag|post_tag|topic|author)[-_].+|comments?[-_](?:open|closed|on|off|status.*)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def is_left_out(name: str, attrs: str) -> bool:
-    """Whether an element holds no main text, by its name, role, class, id or being hidden."""
+def says_not_content(name: str, key: str, value: str, inside: bool) -> bool:
+    """Whether a class or an id says that an element holds no main text.
+
+    A token counts by the word it begins with, outside articles also by the one it ends with; tokens that tell what a
+    text is about (category-*, tag-*) do not count. The id of a heading never counts, that of another text element not
+    inside an article, and elsewhere only as a whole. An article goes only if it says that it is a comment or a teaser.
+    """
+    if key == "id" and (name in HEADINGS or inside and name in TEXT_PARTS):
+        return False
+    for token in _LAYOUT.sub("", value).split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or _TAXONOMY.fullmatch(token):
+            continue
+        if name == "article":
+            if words[0] in NOT_AN_ARTICLE or "comment" in words[:2] and key == "id" or len(words) == 1 and (
+                    words[0] in NOT_CONTENT and words[0] not in TOPICS):
+                return True
+            continue
+        if key == "id" and name in TEXT_PARTS:
+            told = words if len(words) == 1 else []
+        elif inside:
+            told = [w for w in words[:1] if name not in TEXT_PARTS or w not in TOPICS]
+        else:
+            told = [words[0], words[-1]]
+        if any(w in NOT_CONTENT for w in told):
+            return True
+    return False
+
+
+def is_left_out(name: str, attrs: str, inside: bool = False) -> bool:
+    """Whether an element, inside a marked article or not, holds no main text, by its name, role, class, id or being
+    hidden."""
     if name in LEFT_OUT:
         return True
     if not attrs or name in ("body", "html", "main"):
@@ -59,7 +99,7 @@ def is_left_out(name: str, attrs: str) -> bool:
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if any(w.lower() in NOT_CONTENT for w in _WORD.findall(_LAYOUT.sub("", value))):
+            if says_not_content(name, key, value, inside):
                 return True
         elif key == "role" and value.lower() in NOT_CONTENT_ROLES:
             return True
@@ -106,7 +146,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             links = 0 if m["end"] else 1
             continue
         if name not in BLOCKS and name not in LEFT_OUT:
-            if not m["end"] and name not in VOID and not m["attrs"].endswith("/") and is_left_out(name, m["attrs"]):
+            if not m["end"] and name not in VOID and not m["attrs"].endswith("/") and is_left_out(
+                    name, m["attrs"], inside > 0):
                 flush()
                 stack.append((name, True))
                 out += 1
@@ -132,7 +173,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             close(len(stack) - 1)
         if stack and stack[-1][0] in SIBLINGS.get(name, ()):
             close(len(stack) - 1)
-        left = is_left_out(name, m["attrs"])
+        left = is_left_out(name, m["attrs"], inside > 0)
         stack.append((name, left))
         out += left
         inside += name in MAIN and not left

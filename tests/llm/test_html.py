@@ -49,6 +49,27 @@ def test_short_pages_and_layout_words():
     assert html_text.main_text(f"<div class='page has-sidebar with_comments'>{ARTICLE}</div>") == TEXT
 
 
+@pytest.mark.parametrize("opening", [
+    "<article class='post hentry category-social tag-search'>", "<article id='discussion'>", "<article class='entry comments-open related-work'>"])
+def test_what_an_article_is_about_does_not_matter(opening):
+    assert html_text.main_text(page("<nav>n</nav>", "<footer>f</footer>", ARTICLE.replace("<article>", opening))) == TEXT
+
+
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>Kept</p></section>", "<section id=search-trees><p>Kept</p></section>", "<section id='related-work'>Kept</section>",
+    "<h2 id='binary-search'>Kept</h2>", "<p class='legal'>Kept</p>", "<div class='entry-header'><p>Kept</p></div>",
+    "<section class='discussion'>Kept</section>"])
+def test_parts_of_an_article_stay(part):
+    assert html_text.main_text(page(inside=ARTICLE.replace("</p><p>", "</p>" + part + "<p>"))) == TEXT.replace("S. Last", "Kept S. Last")
+
+
+@pytest.mark.parametrize("noise", [
+    "<article class='comment even'><p>I agree</p></article>", "<article class='teaser-card'><p>Read on</p></article>",
+    "<article id='div-comment-12'><p>I agree</p></article>", "<div class='site-footer'>f</div>", "<div id='main-nav'>n</div>"])
+def test_comments_and_teasers_go(noise):
+    assert html_text.main_text(page(noise)) == html_text.main_text(page("", noise)) == TEXT
+
+
 def test_surge_and_dive_points():
     weights = np.array([0, 5, 0, 0, 0, 90, 10, 0, 20, 0, 0, 0, 5])
     assert np.flatnonzero(html_text.between(weights, 3, 80)).tolist() == [5, 6, 7, 8]
