@@ -85,7 +85,8 @@ def content_key(data: bytes) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
-    """(id, h1, h2, size, nodes, sketch) of each (id, text) row; all but the id are null for a text without words.
+    """(id, row, h1, h2, size, nodes, sketch) of each (id, text, row) row; all but the first two are null for a text
+    without words.
     The size is the number of runs of words."""
     def run(batches):
         hasher, signer = SpanHasher(), Signer(trees, length)
@@ -105,11 +106,11 @@ def signatures(docs: DataFrame, trees: int, length: int, words: int) -> DataFram
                     for x, value in ((first, h1), (second, h2), (sizes, len(hashes)), (nodes, node), (sketches, sketch)):
                         x.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64()),
+                    [part.column("id"), part.column("row"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64()),
                      pa.array(nodes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "h1", "h2", "size", "nodes", "sketch"])
+                    names=["id", "row", "h1", "h2", "size", "nodes", "sketch"])
 
-    return docs.mapInArrow(run, "id long, h1 long, h2 long, size long, nodes array<long>, sketch binary")
+    return docs.mapInArrow(run, "id long, row long, h1 long, h2 long, size long, nodes array<long>, sketch binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = False) -> Iterator[pa.RecordBatch | pa.Table]:
@@ -284,11 +285,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     near copies of any size is compared block by block.
     """
     length = prefix_length(threshold, trees, depth, recall)
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")).withColumn(
+        "row", F.xxhash64("id", "text"))
     signed = cut_lineage(signatures(source, trees, length, words), "signatures")
     texts = cut_lineage(
         signed.where("h1 is not null").groupBy("h1", "h2").agg(
-            F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+            F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull(), "row"))["row"].alias("row"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
             F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
         .withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
@@ -310,7 +312,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     # exact verification within what is connected
     members = cut_lineage(
         grouped.withColumnRenamed("node", "text_id").join(
-            texts.select("text_id", "id", "h1", "h2", "copies", "size"), "text_id"), "described")
+            texts.select("text_id", "row", "h1", "h2", "copies", "size"), "text_id"), "described")
     sizes = cut_lineage(
         members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("runs")).select(
             "component", F.greatest(n_blocks(F.col("n"), SET_BLOCK), F.least("n", F.ceil(F.col("runs") / F.lit(RUNS))).cast("int")).alias("blocks")),
@@ -323,7 +325,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             own, out = [], []
             for i, (text, h1, h2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "h1", "h2")))):
                 data = normal_bytes(text)
-                if data and content_key(data) == (h1, h2):  # else another text under the same id
+                if data and content_key(data) == (h1, h2):  # else another text under the same hash
                     own.append(i)
                     out.append(np.unique(shingle_hashes(hasher, data, words)).tobytes())
             kept = batch.take(pa.array(own, pa.int64()))
@@ -332,8 +334,18 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 names=["component", "node", "blocks", "copies", "shingles"])
 
     # most documents have no candidate: a bitmap of fixed size keeps their texts out of the shuffle
-    near = bloom.marked(source, "id", bloom.bitmap(members, "id"), "__near").where("__near").drop("__near")
-    known = near.join(members, "id").select("component", "text_id", "blocks", "copies", "text", "h1", "h2").mapInArrow(
+    near = bloom.marked(source, "row", bloom.bitmap(members, "row"), "__near").where("__near").select("id", "row", "text")
+
+    def one_of_each(batches):
+        seen = set()
+        for batch in batches:
+            new = [i for i, row in enumerate(batch.column("row").to_pylist()) if row not in seen and not seen.add(row)]
+            yield batch.take(pa.array(new, pa.int64()))
+
+    # copies without an id are equal rows: one of each goes on from a task
+    named = near.where("id is not null").select("row", "text")
+    near = named.unionByName(near.where("id is null").select("row", "text").mapInArrow(one_of_each, named.schema))
+    known = near.join(members, "row").select("component", "text_id", "blocks", "copies", "text", "h1", "h2").mapInArrow(
         sets, "component long, node long, blocks int, copies long, shingles binary")
     pairs = in_block_pairs(
         known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "component", "blocks", "block")

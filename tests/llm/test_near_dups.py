@@ -116,3 +116,15 @@ def test_overlaps(seed):
     sets = [np.unique(draw.integers(0, 9000, draw.integers(1, 6000)).astype(np.uint64)) for _ in range(7)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert near_dups.overlaps(sets).astype(int).tolist() == want
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    base = [f"w{i}" for i in range(200)]
+    chain = [" ".join(base[8 * k: 8 * k + 120]) for k in range(4)]  # each is near the next one only
+    rows = [(5, chain[0]), (None, chain[1]), (None, chain[1]), (7, chain[2]), (None, chain[3]), (None, chain[3].upper()), (None, None),
+            (None, " ".join(base[150:])), (None, " ".join(base[151:]))]
+    df = small_table(spark, rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {r[1:3] for r in want} >= {(5, 2), (5, 3)}
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in near_dups.classes(df).collect()]
+    assert sorted(got, key=repr) == want
