@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldlark.session import cut_lineage
 
-SAMPLE = 1000  # labelled documents per language to learn from, about
+SAMPLE = 1000  # different labelled texts per language to learn from
 DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)  # bytes in an n-gram
 UNKNOWN = "und"
@@ -113,19 +113,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Learn from at most about *sample* rows per language (a bound set by this parameter), with whole texts.
+    """Learn from at most *sample* different texts per language (a bound set by this parameter), with whole texts.
 
-    Rows are drawn by a hash of the text at a rate per language. Rows without a language, or without a letter, teach
-    nothing; None if no row is left. Repeated rows are drawn together.
+    The texts of the smallest hashes are drawn, one copy of each; so every language with a text is learned, however
+    often its texts occur. Rows without a language, or without a letter, teach nothing; None if no row is left.
     """
     rows = labelled.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
+    keys = cut_lineage(rows.groupBy("lang", "key").agg(F.lit(1).alias("n")).select("lang", "key"), "langid-texts")
+    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
+    # some more than the sample by a rate, of which the smallest are taken: no task gets all texts of a language
+    more = sample + 10 * sample ** 0.5 + 30
     rate: Column = F.element_at(
-        F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n))))), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+        F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, more / n))))), F.col("lang"))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    taken = keys.where(place < rate * (1 << 40)).withColumn(
+        "__n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "key"))).where(F.col("__n") <= sample).drop("__n")
+
+    def one_copy(batches):
+        seen = set()
+        for batch in batches:
+            own = []
+            for i, pair in enumerate(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist())):
+                if pair not in seen:
+                    seen.add(pair)
+                    own.append(i)
+            yield batch.take(pa.array(own, pa.int64()))
+
+    copies = rows.join(F.broadcast(taken), ["lang", "key"]).select("text", "lang", "key")  # taken: *sample* a language
+    drawn = copies.mapInArrow(one_copy, copies.schema).dropDuplicates(["lang", "key"]).select("text", "lang")
     drawn = cut_lineage(drawn.repartition(TRAINERS), "langid-sample")
 
     def profiles(batches):

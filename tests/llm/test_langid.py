@@ -76,3 +76,16 @@ def test_held_out_accuracy(spark):
     assert out.where(F.col("held_out") != (fold(5) == 0)).isEmpty()
     held = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert held[0] > 0.98 and held[1] > 100
+
+
+def test_copies_neither_hide_a_language_nor_fill_the_sample(spark, monkeypatch):
+    few = [(i, f"{SAMPLES['aa']} {i % 3}", "aa", "") for i in range(600)]
+    many = [(i, f"{SAMPLES['bb']} {'xyz'[i % 3] * (i // 3)}", "bb", "") for i in range(60)]
+    hot = [(i, SAMPLES["cc"], "cc", "") for i in range(300)] + [(i, f"{SAMPLES['cc']} {'pq'[i % 2] * i}", "cc", "") for i in range(300, 330)]
+    drawn = []
+    cut = langid.cut_lineage
+    monkeypatch.setattr(langid, "cut_lineage", lambda df, label: drawn.append(cut(df, label)) or drawn[-1])
+    model = langid.fit(small_table(spark, few + many + hot, SCHEMA), sample=5)
+    assert model.languages == ["aa", "bb", "cc"]
+    rows = [tuple(r) for r in drawn[-1].collect()]
+    assert len(rows) == len(set(rows)) == 3 + 5 + 5
