@@ -15,10 +15,10 @@ from fieldlark.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go. Columns stay as they are."""
+    """Documents in which a language is found; those without a letter, or too far from every codeword, go. Columns stay
+    as they are."""
     bounded_batches(spark)
-    found = langid.identify(docs, language_model(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return langid.with_language(docs, language_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)  # bytes in an n-gram
 UNKNOWN = "und"
 AMBIGUOUS = 0.6  # share of the best language below which a prediction is ambiguous
+SLACK, NEARLY = 1.5, 0.9  # a text fits no language if its least loss is more than so many times that of the worst text
+# learned from, and more than nearly that of a text without any evidence
 TRAINERS = 8  # tasks over the sample
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -78,13 +80,17 @@ class Model:
     scale: np.ndarray
     offset: np.ndarray
     trust: np.ndarray  # of each bit's classifier
+    limit: float = float("inf")  # least loss above which a text fits no language
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         total = np.maximum(counts.sum(1, keepdims=True), 1)
         return counts @ self.weights / total * self.scale + self.offset
 
     def losses(self, counts: np.ndarray) -> np.ndarray:
-        m = self.margins(counts)
+        return self.decoded(self.margins(counts))
+
+    def decoded(self, m: np.ndarray) -> np.ndarray:
+        """Loss of the margins of each row against each codeword."""
         loss = np.logaddexp(0, -m[:, None, :] * self.code[None])
         return (loss * self.trust).sum(2)
 
@@ -194,7 +200,12 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
             trust[b] = np.log((1 - wrong + 1e-3) / (wrong + 1e-3))
         trust = np.maximum(trust, 0)
         trust = trust / trust.mean() if trust.any() else ones
-    return Model(languages, code, weights, scale, offset, trust)
+    model = Model(languages, code, weights, scale, offset, trust)
+    if len(languages) > 1:  # one language has no bits to tell anything by
+        none = model.losses(np.zeros((1, DIMENSIONS))).min()  # of a text without any evidence
+        worst = max(float(model.decoded(x[a: a + 1024] * scale + offset).min(1).max()) for a in range(0, len(x), 1024))
+        model.limit = max(SLACK * worst, NEARLY * float(none))
+    return model
 
 
 def identify(df: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
@@ -228,3 +239,22 @@ def identify(df: DataFrame, model: Model | None, text_column: str = "text") -> D
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
         schema = schema.add(name, kind)
     return source.mapInArrow(run, schema)
+
+
+def with_language(df: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """Rows of *df* whose text fits a language: it has a letter, and its loss against the nearest codeword is within
+    the model's limit. Without a model nothing is known of languages, and only texts without a letter go."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            texts = batch.column(text_column).to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            if model is not None and np.isfinite(model.limit):
+                known = [i for a in range(0, len(known), 64) for i, loss in zip(
+                    known[a: a + 64], model.losses(np.array([features(texts[i]) for i in known[a: a + 64]])).min(1))
+                    if loss <= model.limit]
+            yield batch.take(pa.array(known, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)

@@ -89,3 +89,19 @@ def test_copies_neither_hide_a_language_nor_fill_the_sample(spark, monkeypatch):
     assert model.languages == ["aa", "bb", "cc"]
     rows = [tuple(r) for r in drawn[-1].collect()]
     assert len(rows) == len(set(rows)) == 3 + 5 + 5
+
+
+def test_letters_without_any_evidence_fit_no_language(spark):
+    import corpus_pipeline
+
+    junk = [(-1 - i, f"{w} " * 9, None, "x") for i, w in enumerate(["日本語", "日本語日本語"])]
+    docs = small_table(spark, [*corpus(), *junk, (-9, "12 !", None, "x")], SCHEMA)
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [r[0] for r in corpus()]
+
+
+def test_a_corpus_without_labels_stays(spark):
+    import corpus_pipeline
+
+    docs = small_table(spark, [(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
