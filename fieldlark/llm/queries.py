@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlark.llm import chat, contamination, html_text, langid, near_dups, packing, quality, secrets, sharding, topk
+from fieldlark.llm import (
+    chat, contamination, html_text, langid, line_dedup, near_dups, packing, quality, secrets, sharding, topk)
 from fieldlark.llm.settings import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +199,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op13_line_dedup", r"""
+with line as materialized (
+    select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), one as (
+    select r, doc_id, i, ls[i] as line,
+           translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    from line, unnest(range(1, len(ls) + 1)) t(i)
+), frequent as (
+    select k, max(doc_id) as keeper from one where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+), judged as (
+    select one.*, keeper is not null and (doc_id is null or doc_id < keeper) as gone from one left join frequent using (k)
+), kept as (
+    select r, count(*) filter (where gone) as n_dropped,
+           string_agg(line, chr(10) order by i) filter (where not gone) as kept_text from judged group by r
+)
+select doc_id, len(ls)::bigint as n_lines, n_dropped, sha256(coalesce(kept_text, '')) as kept_sha256
+from line join kept using (r)
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
