@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlark.llm import (
-    chat, contamination, html_text, langid, line_dedup, near_dups, packing, quality, secrets, sharding, topk)
+    chat, contamination, html_text, langid, line_dedup, manifest, near_dups, packing, quality, secrets, sharding, topk)
 from fieldlark.llm.settings import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,69 @@ from line join kept using (r)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_merkle_dataset_manifest", r"""
+with recursive given as materialized (
+    select row_number() over () as r, doc_id, source, lang, n_chars, text, doc_id::varchar as d from documents
+), crc as (
+    select distinct doc_id, xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(string_split(d, ''), lambda c: ord(c)::bigint)),
+        lambda crc, c: list_reduce(
+            list_concat([xor(crc, c)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) as value
+    from given where doc_id is not null
+), sides as (
+    select given.*, case when value % 5 = 0
+        then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed
+    from given left join crc using (doc_id)
+), start as (
+    select r, doc_id, coalesce('=' || source, '') as g, head || coalesce(strlen(text) || ':' || text, '-') as a,
+           head || coalesce(strlen(changed) || ':' || changed, '-') as b
+    from (select *, coalesce(strlen(d) || ':' || d, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-')
+              || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from sides)
+), leaf as (
+    select r, doc_id, g, sha256(a) as h, sha256(b) as changed_h,
+           row_number() over (partition by g order by doc_id nulls first, sha256(a), r) - 1 as pos from start
+), tree(lvl, g, pos, n, h) as (
+    select 0, g, pos, count(*) over (partition by g), h from leaf
+    union all
+    select lvl + 1, g, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos))
+    from tree where n > 1 group by lvl, g, n, pos // 16
+), sub as (
+    select g, h, row_number() over (order by g) - 1 as pos from tree where n = 1
+), upper(lvl, pos, n, h) as (
+    select 0, pos, count(*) over (), h from sub
+    union all
+    select lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos))
+    from upper where n > 1 group by lvl, n, pos // 16
+), root as (
+    select h from upper where n = 1
+), step as (
+    select r, t.lvl as k, coalesce(string_agg(t.h, '' order by t.pos) filter (t.pos < l.pos // (16 ** t.lvl)::bigint), '') as bf,
+           coalesce(string_agg(t.h, '' order by t.pos) filter (t.pos > l.pos // (16 ** t.lvl)::bigint), '') as bh
+    from leaf l join tree t on t.g = l.g and t.n > 1 and t.pos // 16 = l.pos // (16 ** (t.lvl + 1))::bigint group by r, t.lvl
+    union all
+    select r, 1000 + t.lvl, coalesce(string_agg(t.h, '' order by t.pos) filter (t.pos < s.pos // (16 ** t.lvl)::bigint), ''),
+           coalesce(string_agg(t.h, '' order by t.pos) filter (t.pos > s.pos // (16 ** t.lvl)::bigint), '')
+    from leaf l join sub s using (g) join upper t on t.n > 1 and t.pos // 16 = s.pos // (16 ** (t.lvl + 1))::bigint
+    group by r, t.lvl
+), numbered as materialized (
+    select *, row_number() over (partition by r order by k) - 1 as i from step
+), fold(r, i, h) as (
+    select r, 0, changed_h from leaf
+    union all
+    select f.r, f.i + 1, sha256(bf || f.h || bh) from fold f join numbered s on s.r = f.r and s.i = f.i
+), ends as (
+    select r, arg_max(h, i) as h from fold group by r
+), proof as (
+    select r, string_agg(bf || bh, '' order by i) as p from numbered group by r
+)
+select leaf.doc_id, leaf.h as leaf, sub.h as subroot, root.h as root, sha256(coalesce(p, '')) as proof_sha256,
+       ends.h as folded_root, ends.h = root.h as verified
+from leaf join sub using (g) join ends using (r) left join proof using (r), root
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.build_manifest(table(spark, folder, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
