@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlark.llm import (
-    chat, contamination, html_text, langid, line_dedup, manifest, near_dups, packing, quality, secrets, sharding, topk)
+    chat, contamination, html_text, langid, line_dedup, manifest, near_dups, packing, prefix_trie, quality, secrets, sharding, topk)
 from fieldlark.llm.settings import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,50 @@ from leaf join sub using (g) join ends using (r) left join proof using (r), root
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.build_manifest(table(spark, folder, "documents")).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_conversation_prefix_trie", r"""
+with plain as (
+    select conv_id, turn, coalesce(text, '') as text,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as t
+    from conversations where conv_id is not null
+), turns as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, t) as pos from plain
+), words as (
+    select t, max(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) as w from plain group by t
+), conv as (
+    select conv_id as c, xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)),
+        lambda crc, c: list_reduce(
+            list_concat([xor(crc, c)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) % 4 as h
+    from (select distinct conv_id from plain)
+), part as (
+    select c, 0 as part, pos, t from conv join turns on conv_id = c - c % 20 where pos <= h
+    union all
+    select c, 1, pos, t from conv join turns on conv_id = c where pos > h
+), rebuilt as (
+    select c, coalesce(list(t order by part, pos) filter (where t is not null), []) as seq
+    from conv left join part using (c) group by c
+), member as materialized (
+    select c, d, seq[1:d] as prefix, len(seq) = d as ends from rebuilt, unnest(range(0, len(seq) + 1)) u(d)
+), node as (
+    select prefix, d, min(c) as conv_id, count(*) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as e
+    from member group by prefix, d
+), linked as (
+    select node.*, up.conv_id as parent, coalesce(w, 0) as w
+    from node left join node up on node.d > 0 and up.prefix = node.prefix[1:node.d - 1]
+    left join words on t = node.prefix[node.d]
+), family as (
+    select linked.*, coalesce(k, 0) as k from linked left join (
+        select prefix[1:d - 1] as prefix, count(*) as k from linked where d > 0 group by 1) using (prefix)
+), below as (
+    select member.prefix, count(*) filter (where k = 0) as n_leaves, sum((n - 1) * w)::bigint as saved
+    from family join member on member.c = family.conv_id and member.d <= family.d group by member.prefix
+)
+select conv_id, d::bigint as depth, parent as parent_conv_id, n as n_convs, k as n_children, n_leaves,
+       saved as saved_tokens, e as ends_sha256
+from family join below using (prefix)
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
