@@ -88,7 +88,7 @@ def descend(levels: list[DataFrame], tops: DataFrame, given: list[str]) -> DataF
 
     *tops* has __group, the *given* columns and the __path that goes on from the top of each group.
     """
-    known = levels[-1].select(GROUP, POS).join(tops, GROUP)
+    known = levels[-1].join(tops, GROUP)
     for nodes in reversed(levels[:-1]):
         step = F.array(F.struct(F.col("__left").alias("before"), F.col("__right").alias("behind")))
         above = known.select(GROUP, F.col(POS).alias("__run"), *given, F.col("__path").alias("__above"))
