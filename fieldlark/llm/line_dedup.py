@@ -4,8 +4,8 @@ Every line gets a normalised key; keys are hashed and the different documents of
 each hash are counted. Lines of keys found in too many documents go, but for
 those of one document, and the others are put together again by position.
 
-Only hashes, ids and positions of lines are shuffled, and of the texts only those
-that may lose a line, beside the array of their dropped positions. A key or a
+Hashes, ids and positions of lines are written once and shuffled, and of the texts only
+those that may lose a line, beside the array of their dropped positions. A key or a
 document may hold a third of all rows: documents are counted as different (key,
 document) pairs before they meet by key, and the joins are such that adaptive
 execution can split a hot key.
@@ -89,7 +89,7 @@ def drop_repeated_lines(df: DataFrame, id_column: str = "doc_id", text_column: s
     """
     names = [c for c in df.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     docs = keyed(df.select(*[F.col(f"`{c}`") for c in names]), id_column, text_column)
-    lines = long_lines(docs, id_column, text_column, min_chars)
+    lines = cut_lineage(long_lines(docs, id_column, text_column, min_chars), "long-lines")
     frequent = cut_lineage(repeated_keys(lines, min_docs), "repeated-lines")
     maybe = marked(lines, "__h1", bitmap(frequent, "__h1"), "__maybe").where("__maybe")
     dropped = cut_lineage(
@@ -102,7 +102,8 @@ def drop_repeated_lines(df: DataFrame, id_column: str = "doc_id", text_column: s
     whole = flagged.where("not __touched").withColumn("__dropped", F.lit(None).cast("array<int>"))
     every = lines_of(F.col(f"`{text_column}`"))
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))
-    both = touched.select(*docs.columns, "__dropped").unionByName(whole.select(*docs.columns, "__dropped"))
+    columns = [F.col(f"`{c}`") for c in (*docs.columns, "__dropped")]
+    both = touched.select(columns).unionByName(whole.select(columns))
     return both.select(
         *[F.col(f"`{c}`") for c in names],
         F.when(F.size(gone) == 0, F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
