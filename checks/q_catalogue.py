@@ -179,11 +179,14 @@ def _(t):
     return queries.observations_for_map(t.species, t.observation, "Fugl", "Family1", "order")
 
 
-@query("taxonomy_summary", """
+SUMMARY = """
     with counts as (select o, count(distinct s) as c from $graph where p = '@TYPE@' group by o)
     select label, coalesce(c, 0) as n
     from (values ('orders', 'Order'), ('families', 'Family'), ('genera', 'Genus'), ('species', 'Species'),
-      ('observations', 'Observation')) as l(label, cls) left join counts on o = '@ONT@'||cls""")
+      ('observations', 'Observation')) as l(label, cls) left join counts on o = '@ONT@'||cls"""
+
+
+@query("taxonomy_summary", SUMMARY)
 def _(t):
     types = t.graph.where(F.col("p") == "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")
     return queries.taxonomy_summary(types.select("s", F.col("o").alias("class")))

@@ -302,3 +302,21 @@ def _(t):
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("k", T.LongType())])
     return landed.input_report(landed.read_json(t.spark, path, schema))
+
+
+@query("reader_report", """
+    select 'bindings' as kind, 4 - count(*) filter (n % 4 = 0) as n_valid, count(*) filter (n % 4 = 0) as n_bad, 0 as n_empty,
+      count(*) filter (n % 4 = 0) as n_bad_files from range(1, 5) r(n)
+    union all
+    select 'sightings', count(*) filter (event_id % 7 > 0), count(*) filter (event_id % 7 = 0),
+      count(*) filter (event_id % 7 = 1), cast(count(*) filter (event_id % 7 = 0) > 0 as bigint) from {events}""")
+def _(t):
+    """Sightings with cut and with empty lines, and query results of which one file is cut."""
+    lines = t.given("events").select(F.when(F.col("event_id") % 7 == 0, '{"speciesCode":').when(
+        F.col("event_id") % 7 == 1, '{"other":1}').otherwise('{"speciesCode":"a"}').alias("value"))
+    sightings, bindings = scratch_path(t.spark, "sightings"), scratch_path(t.spark, "bindings")
+    lines.coalesce(1).write.text(sightings)
+    files = t.spark.range(1, 5).select("id", F.when(F.col("id") % 4 == 0, '{"results":').otherwise(
+        '{"results":{"bindings":[{"item":{"type":"uri","value":"x"}}]}}').alias("value"))
+    files.repartition(4, "id").write.partitionBy("id").text(bindings)
+    return landed.reader_report(t.spark, {"bindings": f"{bindings}/*", "sightings": sightings})

@@ -33,6 +33,29 @@ def _(t):
     return path.select("species", "obs", F.col("lat").cast("double").alias("lat"))
 
 
+@query("triple_path_reduced", f"""
+    select h.s as species, h.o as obs, la.o as lat
+    from ({where('@ONT@hasObservation')}) h join ({where('@ONT@observedAt')}) a on a.s = h.o
+      join ({where('@ONT@latitude')}) la on la.s = a.o""")
+def _(t):
+    path = T.match_patterns(t.graph, [
+        T.Pattern("?species", V.has_observation, "?obs"), T.Pattern("?obs", V.term("observedAt"), "?loc"),
+        T.Pattern("?loc", V.term("latitude"), "?lat")])
+    return path.select("species", "obs", "lat")
+
+
+@query("triple_six_patterns", f"""
+    select distinct f.s as species, h.o as obs, d.o as date, a.o as loc, la.o as lat
+    from ({where('@DWC@family', 'Family7')}) f join ({where('@TYPE@', '@ONT@Species')}) x on x.s = f.s
+      join ({where('@ONT@hasObservation')}) h on h.s = f.s join ({where('@ONT@observedOn')}) d on d.s = h.o
+      join ({where('@ONT@observedAt')}) a on a.s = h.o join ({where('@ONT@latitude')}) la on la.s = a.o""")
+def _(t):
+    return T.match_patterns(t.graph, [
+        T.Pattern("?species", V.has_observation, "?obs"), T.Pattern("?obs", V.term("observedOn"), "?date"),
+        T.Pattern("?obs", V.term("observedAt"), "?loc"), T.Pattern("?loc", V.term("latitude"), "?lat"),
+        T.Pattern("?species", v.FAMILY, "Family7"), T.Pattern("?species", v.TYPE, V.term("Species"))])
+
+
 @query("triple_optional", f"""
     select x.s as species, st.o as status, h.o as obs, d.o as date
     from ({where('@TYPE@', '@ONT@Species')}) x
@@ -215,6 +238,27 @@ def _(t):
     return graph_files.read_ntriples(t.spark, path).select("s", "p", "o")
 
 
+@query("ntriples_iris", """
+    select '@SP@'||chr(cast(event_id % 127 + 1 as int))||event_id as s, '@ONT@'||chr(cast(event_id % 32 + 1 as int)) as p,
+      case when event_id % 2 = 0 then '_:'||chr(cast(event_id % 127 + 1 as int))||user_id else 'x'||chr(cast(event_id % 127 + 1 as int)) end as o,
+      case when event_id % 3 > 0 then 'iri' else 'literal' end as o_kind,
+      case when event_id % 3 = 0 then '@XSD@'||chr(cast(event_id % 127 + 1 as int)) else '' end as o_datatype
+    from {events}""")
+def _(t):
+    """Every ASCII sign in subjects, predicates, objects and data types, written and strictly read back."""
+    sign = F.char((F.col("event_id") % 127 + 1).cast("int"))
+    literal = F.col("event_id") % 3 == 0
+    made = t.given("events").select(
+        F.concat(F.lit(V.taxon("species/")), sign, "event_id").alias("s"),
+        F.concat(F.lit(V.term("")), F.char((F.col("event_id") % 32 + 1).cast("int"))).alias("p"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("_:"), sign, "user_id")).otherwise(F.concat(F.lit("x"), sign)).alias("o"),
+        F.when(literal, "literal").otherwise("iri").alias("o_kind"), F.lit("").alias("o_lang"),
+        F.when(literal, F.concat(F.lit(v.XSD), sign)).otherwise("").alias("o_datatype"))
+    path = scratch_path(t.spark, "nt")
+    graph_files.write_ntriples(made, path)
+    return graph_files.read_ntriples(t.spark, path).select("s", "p", "o", "o_kind", "o_datatype")
+
+
 @query("ntriples_report", """
     select count(*) filter (event_type <> 'error') as n_triples, count(*) filter (event_type = 'error') as n_bad from {events}""")
 def _(t):

@@ -85,6 +85,35 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def merge_components(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components after more (a, b) edges, and what changed, both as (node, component).
+
+    *members* are those of ``components`` or of an earlier merge. The new edges are contracted to edges between the
+    components they touch, and only those are joined, so the work follows the number of new edges; nodes of
+    components that keep their name are passed through. The result equals ``components`` of all edges together.
+    """
+    edges = edges.where("a is not null and b is not null").select("a", "b").distinct()
+    ends = cut_lineage(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "ends")
+    # a node that is in no component yet is one of its own
+    known = members.join(ends, "node", "left_semi")
+    named = cut_lineage(ends.join(known, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("is_new")), "ends")
+    name_of = named.select("node", "component")
+    contracted = (
+        edges.join(name_of.withColumnsRenamed({"node": "a", "component": "u"}), "a")
+        .join(name_of.withColumnsRenamed({"node": "b", "component": "v"}), "b")
+        .select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    )
+    renamed = cut_lineage(
+        components(contracted).where("node <> component").withColumnsRenamed({"node": "component", "component": "_to"}), "renamed")
+    moved = spread_join(members, renamed, "component").select("node", F.col("_to").alias("component"))
+    arrived = named.where("is_new").select("node", "component").join(renamed, "component", "left").select(
+        "node", F.coalesce("_to", "component").alias("component"))
+    changed = cut_lineage(moved.unionByName(arrived), "changed")
+    kept = members.join(renamed.select("component"), "component", "left_anti").select("node", "component")
+    return kept.unionByName(changed), changed
+
+
 def _neighbourhoods(links: DataFrame) -> DataFrame:
     """Per node: the least of it and its neighbours, and how many neighbours are less and more than it."""
     one, none = F.lit(1).alias("less"), F.lit(0)

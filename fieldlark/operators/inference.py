@@ -16,7 +16,7 @@ from fieldlark.operators.triples import (
 )
 
 
-def _iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
+def iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
     return rows.select(
         F.col(s).alias("s"), F.lit(p).alias("p"), F.col(o).alias("o"), F.lit("iri").alias("o_kind"),
         F.lit("").alias("o_lang"), F.lit("").alias("o_datatype"))
@@ -29,7 +29,7 @@ def parent_edges(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 def transitive_parents(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Links to every ancestor that is not linked directly."""
     pairs = closure.transitive_pairs(parent_edges(triples, vocab))
-    return missing_from(triples, _iri_rows(pairs, "node", vocab.parent_taxon, "ancestor"))
+    return missing_from(triples, iri_rows(pairs, "node", vocab.parent_taxon, "ancestor"))
 
 
 def subclass_types(triples: DataFrame) -> DataFrame:
@@ -37,7 +37,17 @@ def subclass_types(triples: DataFrame) -> DataFrame:
     edges = pattern(triples, "child", v.SUBCLASS_OF, "parent")
     pairs = closure.transitive_pairs(edges).withColumnRenamed("node", "class")
     typed = spread_join(pattern(triples, "s", v.TYPE, "class"), pairs, "class")
-    return missing_from(triples, _iri_rows(typed, "s", v.TYPE, "ancestor"))
+    return missing_from(triples, iri_rows(typed, "s", v.TYPE, "ancestor"))
+
+
+def domains(triples: DataFrame) -> DataFrame:
+    """(p, domain) of the declared properties, the least domain of each."""
+    declared = scan(triples, p=v.TYPE).where(
+        F.col("o").isin(v.OWL + "DatatypeProperty", v.OWL + "ObjectProperty")).select("s").distinct()
+    return (
+        scan(triples, p=v.DOMAIN).join(declared, "s", "left_semi")
+        .groupBy(F.col("s").alias("p")).agg(F.min("o").alias("domain"))
+    )
 
 
 def domain_types(triples: DataFrame, exclude: list[str] | None = None) -> DataFrame:
@@ -46,16 +56,11 @@ def domain_types(triples: DataFrame, exclude: list[str] | None = None) -> DataFr
     Properties in *exclude* type nothing; use it to keep, say, observations that carry a
     scientific name from becoming taxa.
     """
-    declared = scan(triples, p=v.TYPE).where(
-        F.col("o").isin(v.OWL + "DatatypeProperty", v.OWL + "ObjectProperty")).select("s").distinct()
-    domains = (
-        scan(triples, p=v.DOMAIN).join(declared, "s", "left_semi")
-        .groupBy(F.col("s").alias("p")).agg(F.min("o").alias("domain"))
-    )
+    declared = domains(triples)
     if exclude:
-        domains = domains.where(~F.col("p").isin(exclude))
-    used = spread_join(triples.select("s", "p"), domains, "p").select("s", "domain").distinct()
-    return missing_from(triples, _iri_rows(used, "s", v.TYPE, "domain"))
+        declared = declared.where(~F.col("p").isin(exclude))
+    used = spread_join(triples.select("s", "p"), declared, "p").select("s", "domain").distinct()
+    return missing_from(triples, iri_rows(used, "s", v.TYPE, "domain"))
 
 
 def same_as_pairs(triples: DataFrame) -> DataFrame:
@@ -80,6 +85,11 @@ def same_as_components(triples: DataFrame) -> DataFrame:
     return closure.components(same_as_pairs(triples))
 
 
+def same_as_merged(members: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal nodes after the triples *added* came, and the nodes whose group is new or has another name."""
+    return closure.merge_components(members, same_as_pairs(added))
+
+
 def component_properties(triples: DataFrame, members: DataFrame) -> DataFrame:
     """Properties of each group of equal nodes, held once per group.
 

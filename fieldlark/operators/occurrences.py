@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from fieldlark.functions import geo, status, text
@@ -11,6 +13,7 @@ from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators.grouping import pick_first, top_per_key
 from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import Fact, has_type, link, to_triples
+from fieldlark.session import cut_lineage
 
 # fixed values: limits of one yearly download
 PAGE_SIZE = 300
@@ -98,8 +101,9 @@ def worst_status(resolved: DataFrame) -> DataFrame:
     )
 
 
-def observations(resolved: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """Typed observation facts. Coordinates stay on the observation; ``loc_id`` is only a grid key."""
+def observations(resolved: DataFrame, vocab: Vocab = DEFAULT, *also: Column) -> DataFrame:
+    """Typed observation facts, and *also* other columns. Coordinates stay on the observation; ``loc_id`` is only a
+    grid key."""
     lat, lon = F.col("decimalLatitude"), F.col("decimalLongitude")
     placed = lat.isNotNull() & lon.isNotNull()
     count_type = resolved.schema["individualCount"].dataType
@@ -115,7 +119,7 @@ def observations(resolved: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         F.when(placed, F.concat(F.lit(vocab.location()), geo.grid_key(lat, lon))).alias("loc_id"),
         F.when(placed, lat).alias("lat"), F.when(placed, lon).alias("lon"),
         F.when(placed, text.first_non_empty(F.col("locality"), F.col("verbatimLocality"))).alias("locality"),
-        F.concat(F.lit(v.GBIF_SPECIES), gbif_species_key()).alias("same_as"),
+        F.concat(F.lit(v.GBIF_SPECIES), gbif_species_key()).alias("same_as"), *also,
     )
 
 
@@ -125,40 +129,48 @@ def gbif_species_key() -> Column:
     return F.coalesce(*keys)
 
 
-def observation_triples(facts: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """Observations, locations and their links as triples; places repeat until made distinct."""
+def _statements(facts: DataFrame, vocab: Vocab) -> list[tuple[DataFrame, list[Fact]]]:
+    """Wide tables of species, places and observations, each with the triples its rows make."""
     obs, sp, loc = F.col("obs_id"), F.col("species"), F.col("loc_id")
-    minted = F.when(F.col("is_minted"), sp)
-    return to_triples(facts, [
-        has_type(minted, vocab.term("Species")),
-        Fact(minted, v.SCIENTIFIC_NAME, F.col("scientific_name")),
-        has_type(obs, vocab.term("Observation")),
-        Fact(obs, v.SCIENTIFIC_NAME, F.col("scientific_name")),
-        Fact(obs, vocab.term("observedOn"), F.col("observed_on"), datatype=v.DATE),
-        Fact(obs, vocab.term("individualCount"), F.col("individual_count"), datatype=v.INTEGER),
-        Fact(obs, vocab.term("recordedBy"), F.col("recorded_by")),
-        Fact(obs, vocab.term("gbifKey"), F.col("gbif_key"), datatype=v.INTEGER),
-        has_type(loc, vocab.term("Location")),
-        Fact(loc, vocab.term("latitude"), text.number_text(F.col("lat")), datatype=v.DECIMAL),
-        Fact(loc, vocab.term("longitude"), text.number_text(F.col("lon")), datatype=v.DECIMAL),
-        Fact(loc, vocab.term("locality"), F.col("locality")),
-        link(obs, vocab.term("observedAt"), loc),
-        link(sp, vocab.has_observation, obs),
-        link(sp, v.SAME_AS, F.col("same_as")),
-    ])
+    return [
+        (facts.where("is_minted").select("species", "scientific_name"), [
+            has_type(sp, vocab.term("Species")), Fact(sp, v.SCIENTIFIC_NAME, F.col("scientific_name"))]),
+        (facts.select("species", "same_as"), [link(sp, v.SAME_AS, F.col("same_as"))]),
+        (facts.where("loc_id is not null").select(
+            "loc_id", text.number_text(F.col("lat")).alias("lat"), text.number_text(F.col("lon")).alias("lon"), "locality"), [
+            has_type(loc, vocab.term("Location")), Fact(loc, vocab.term("latitude"), F.col("lat"), datatype=v.DECIMAL),
+            Fact(loc, vocab.term("longitude"), F.col("lon"), datatype=v.DECIMAL),
+            Fact(loc, vocab.term("locality"), F.col("locality"))]),
+        (facts.select(
+            "obs_id", "species", "scientific_name", "observed_on", "individual_count", "recorded_by", "gbif_key", "loc_id"), [
+            has_type(obs, vocab.term("Observation")), Fact(obs, v.SCIENTIFIC_NAME, F.col("scientific_name")),
+            Fact(obs, vocab.term("observedOn"), F.col("observed_on"), datatype=v.DATE),
+            Fact(obs, vocab.term("individualCount"), F.col("individual_count"), datatype=v.INTEGER),
+            Fact(obs, vocab.term("recordedBy"), F.col("recorded_by")),
+            Fact(obs, vocab.term("gbifKey"), F.col("gbif_key"), datatype=v.INTEGER),
+            link(obs, vocab.term("observedAt"), loc), link(sp, vocab.has_observation, obs)]),
+    ]
 
 
 def occurrence_triples(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """Occurrence records to triples: observations, places, species links and worst status."""
-    return occurrence_facts(records, index, vocab).distinct()
-
+    """Occurrence records to distinct triples: observations, places, species links and worst status.
 
-def occurrence_facts(records: DataFrame, index: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
-    """The same before duplicates are removed."""
+    The records are resolved once and written as wide rows. Duplicates go while rows are wide: species and places
+    are few, and an observation makes its triples from one row, unless its id stands in several different ones.
+    Only the triples of those observations, and of the few places and species, are made distinct one by one.
+    """
     resolved = resolve_species(records, index, vocab)
-    statuses = to_triples(
-        worst_status(resolved), [Fact(F.col("species"), vocab.term("conservationStatus"), F.col("status"))])
-    return observation_triples(observations(resolved, vocab), vocab).unionByName(statuses)
+    rank = status.lookup(status.clean_status(F.col("iucnRedListCategory")), status.RANK)
+    facts = cut_lineage(observations(resolved, vocab, rank.alias("rank")), "observations")
+    *few, (seen, made) = _statements(facts, vocab)
+    alone = F.count("*").over(Window.partitionBy("obs_id")) == 1
+    seen = cut_lineage(seen.distinct().withColumn("alone", alone), "observations")
+    repeated = [to_triples(rows.distinct(), wanted).distinct() for rows, wanted in few]
+    repeated.append(to_triples(seen.where("not alone"), made).distinct())
+    ranked = facts.where("rank is not null").groupBy("species").agg(F.min("rank").alias("rank"))
+    statuses = to_triples(ranked, [Fact(
+        F.col("species"), vocab.term("conservationStatus"), status.status_of_rank(F.col("rank")))])
+    return reduce(lambda a, b: a.unionByName(b), [to_triples(seen.where("alone"), made), *repeated, statuses])
 
 
 def locations(facts: DataFrame) -> DataFrame:

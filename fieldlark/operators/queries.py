@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlark.functions import geo, status, text
+from fieldlark.functions import curve, geo, status, text
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators.grouping import newest_key, pick_first
 from fieldlark.operators.joins import spread_join
+from fieldlark.operators.trigrams import Found
 from fieldlark.operators.triples import exists, is_canonical, merge_records
 from fieldlark.session import small_table
 
@@ -51,8 +52,11 @@ def name_table(names: DataFrame) -> DataFrame:
 
 
 def _matching(
-    species: DataFrame, name: str, fold: str, names: DataFrame | None, kinds: list[str] = NAMES) -> DataFrame:
-    """Species with *name* in one of their names of these kinds."""
+    species: DataFrame, name: str, fold: str, names: DataFrame | None, found: Found | None, kinds: list[str] = NAMES,
+) -> DataFrame:
+    """Species with *name* in one of their names of these kinds; *found* holds them where an index has been asked."""
+    if found is not None:
+        return found.only(species)
     if names is None:
         return species.where(text.any_name_matches([F.col(c) for c in kinds], name, fold))
     if kinds != NAMES:
@@ -63,21 +67,21 @@ def _matching(
 
 def find_species_by_name(
     species: DataFrame, habitats: DataFrame, name: str, fold: str = "compat", limit: int | None = None,
-    names: DataFrame | None = None,
+    names: DataFrame | None = None, found: Found | None = None,
 ) -> DataFrame:
     """Species with *name* in their scientific, English, Danish or French name.
 
     One row per species and habitat; a limit (``NAME_LIMIT`` is the usual one) counts
     those rows. ``fold='compat'`` strips lower-case accents from stored names only,
     ``'full'`` all accents. Where *names* holds folded names (see ``name_table``), they
-    are searched instead, so every name of a species counts and none is folded again.
+    are searched instead, so every name of a species counts and none is folded again;
+    *found* is what an index found (see ``trigrams``), and nothing is searched.
     """
     columns = [
         "species", *NAMES, "ebird_code", "thumbnail", "range_map", "mass_grams", "wingspan_mm",
         "habitat", "status", "migration_status"]
-    found = _named(_matching(species, name, fold, names))
     rows = (
-        found.join(habitats.select("species", "habitat").distinct(), "species", "left")
+        _named(_matching(species, name, fold, names, found)).join(habitats.select("species", "habitat").distinct(), "species", "left")
         .select(*columns)
         .orderBy("scientific_name", "species", "habitat")
     )
@@ -110,16 +114,16 @@ def species_by_order(species: DataFrame, order: str) -> DataFrame:
 
 def recent_observations(
     species: DataFrame, observations: DataFrame, name: str | None = None, fold: str = "compat",
-    limit: int | None = None, vocab: Vocab = DEFAULT, names: DataFrame | None = None,
+    limit: int | None = None, vocab: Vocab = DEFAULT, names: DataFrame | None = None, found: Found | None = None,
 ) -> DataFrame:
     """The newest dated observations, of all species or of those with *name* in a name.
 
     The fact table is cut to *limit* rows (``RECENT_LIMIT`` is the usual number) before
-    names are attached. *names* as in ``find_species_by_name``.
+    names are attached. *names* and *found* as in ``find_species_by_name``.
     """
     wanted = _canonical(species, vocab)
     if name:
-        wanted = _matching(_named(wanted), name, fold, names)
+        wanted = _matching(_named(wanted), name, fold, names, found)
     newest = (
         exists(_canonical(observations, vocab).where(F.col("observed_on").isNotNull()), wanted.select("species"))
         .select("species", *SIGHTING)
@@ -134,9 +138,15 @@ def nearby_watch(
     species: DataFrame, observations: DataFrame, lat: float = geo.DEFAULT_LAT, lon: float = geo.DEFAULT_LON,
     radius_km: float = geo.DEFAULT_RADIUS_KM, vocab: Vocab = DEFAULT,
 ) -> DataFrame:
-    """Latest sighting of every species within *radius_km*, most threatened first."""
+    """Latest sighting of every species within *radius_km*, most threatened first.
+
+    Observations stored along the curve (column ``cell``) are also cut to the ranges of it that hold the circle.
+    """
+    placed = _canonical(observations, vocab)
+    if "cell" in observations.columns:
+        placed = placed.where(curve.near(F.col("cell"), lat, lon, radius_km))
     near = (
-        _canonical(observations, vocab).select("species", *SIGHTING)
+        placed.select("species", *SIGHTING)
         .where(geo.inside_box(F.col("lat"), F.col("lon"), lat, lon, radius_km))
         .where(geo.haversine_km(F.col("lat"), F.col("lon"), lat, lon) <= radius_km)
     )
@@ -166,7 +176,7 @@ def currently_present(
 def observations_for_map(
     species: DataFrame, observations: DataFrame, species_filter: str | None = None,
     family_filter: str | None = None, order_filter: str | None = None, vocab: Vocab = DEFAULT, ordered: bool = True,
-    names: DataFrame | None = None,
+    names: DataFrame | None = None, found: Found | None = None,
 ) -> DataFrame:
     """Every placed observation of canonical species with names and status, filters optional.
 
@@ -178,7 +188,7 @@ def observations_for_map(
     if order_filter:
         wanted = wanted.where(text.contains_ignore_case(F.col("order_name"), order_filter))
     if species_filter:
-        wanted = _matching(wanted, species_filter, "full", names, MAP_NAMES)
+        wanted = _matching(wanted, species_filter, "full", names, found, MAP_NAMES)
     placed = observations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     rows = spread_join(
         _canonical(placed, vocab).select("species", *SIGHTING), wanted.select("species", *NAMES, "status"), "species")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.operators.joins import spread_join
+from fieldlark.session import cut_lineage
 
 
 class Fact(NamedTuple):
@@ -83,6 +84,97 @@ def match_all(*bindings: DataFrame) -> DataFrame:
     return reduce(lambda a, b: spread_join(a, b, shared_columns(a, b)), bindings)
 
 
+class Pattern(NamedTuple):
+    """One triple pattern; a text that starts with ``?`` is a variable."""
+
+    subject: str
+    predicate: str
+    object: str
+
+    @property
+    def variables(self) -> list[str]:
+        return list(dict.fromkeys(part[1:] for part in (self.subject, self.object) if part.startswith("?")))
+
+    def bindings(self, triples: DataFrame) -> DataFrame:
+        """Bindings of the variables; repeated where triples differ in kind, language or data type only."""
+        fixed = {name: part for name, part in zip("so", (self.subject, self.object)) if not part.startswith("?")}
+        rows = scan(triples, p=self.predicate, **fixed)
+        if self.subject == self.object:
+            rows = rows.where("s = o")
+        named = {part[1:]: F.col(name).alias(part[1:]) for name, part in zip("so", (self.subject, self.object)) if part.startswith("?")}
+        return rows.select(*named.values())
+
+
+def predicate_counts(triples: DataFrame) -> dict[str, int]:
+    """Triples per predicate; one number for each predicate of the graph."""
+    return {r.p: r["count"] for r in triples.groupBy("p").count().collect()}
+
+
+def join_tree(patterns: list[Pattern], sizes: list[int]) -> list[tuple[int, int]] | None:
+    """(ear, witness) indices in the order in which ears are cut off, the largest first; the last witness is the root.
+
+    An ear shares with the patterns that are left only variables of its witness. None if patterns go round in a circle
+    or fall apart.
+    """
+    left, cut = set(range(len(patterns))), []
+    while len(left) > 1:
+        found = None
+        for ear in sorted(left, key=lambda i: (-sizes[i], i)):
+            others = left - {ear}
+            shared = set(patterns[ear].variables) & {x for i in others for x in patterns[i].variables}
+            witness = [i for i in others if shared and shared <= set(patterns[i].variables)]
+            if witness:
+                found = ear, min(witness, key=lambda i: (sizes[i], i))
+                break
+        if found is None:
+            return None
+        left.discard(found[0])
+        cut.append(found)
+    return cut
+
+
+def reduced(bindings: list[DataFrame], tree: list[tuple[int, int]]) -> list[DataFrame]:
+    """The bindings without any row that is in no result.
+
+    What the smallest pattern, the root, selects is first handed down the tree, so every table is cut down before it
+    is compared with others; semi-joins up the tree and down again then leave rows of results only.
+    """
+    tables = list(bindings)
+    for ear, witness in reversed(tree):
+        tables[ear] = cut_lineage(exists(tables[ear], tables[witness]), "reduced")
+    for ear, witness in tree:
+        tables[witness] = cut_lineage(exists(tables[witness], tables[ear]), "reduced")
+    for ear, witness in reversed(tree):
+        tables[ear] = cut_lineage(exists(tables[ear], tables[witness]), "reduced")
+    return [table.distinct() for table in tables]
+
+
+def match_patterns(triples: DataFrame, patterns: list[Pattern], counts: dict[str, int] | None = None) -> DataFrame:
+    """Distinct bindings of all variables for which every pattern holds.
+
+    The order is chosen from the number of triples per predicate (*counts*, else they are counted). Patterns without
+    a circle are first reduced by semi-joins along their join tree, so that the joins that follow shuffle only rows of
+    the result; circular ones are joined from the smallest on along shared variables. Patterns must hang together.
+    """
+    counts = predicate_counts(triples) if counts is None else counts
+    # a fixed node selects: such a pattern counts as smaller than any without one
+    fixed = [not (p.subject.startswith("?") and p.object.startswith("?")) for p in patterns]
+    sizes = [counts.get(p.predicate, 0) // (1 << 20 if f else 1) for p, f in zip(patterns, fixed)]
+    tables = [p.bindings(triples) for p in patterns]
+    tree = join_tree(patterns, sizes)
+    if tree is not None:
+        tables = reduced(tables, tree)  # distinct
+        order = [tree[-1][1], *[ear for ear, _ in reversed(tree)]] if tree else [0]
+    else:
+        tables = [table.distinct() for table in tables]
+        todo = sorted(range(len(patterns)), key=lambda i: (sizes[i], i))
+        order, seen = [todo.pop(0)], set()
+        while todo:
+            seen |= set(patterns[order[-1]].variables)
+            order.append(todo.pop(next((k for k, i in enumerate(todo) if seen & set(patterns[i].variables)), 0)))
+    return match_all(*[tables[i] for i in order])
+
+
 def optional(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left outer join on the shared variables; *right* may itself contain optionals."""
     return spread_join(left, right, shared_columns(left, right), "left")

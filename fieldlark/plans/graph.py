@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from fieldlark.model import vocab as v
 from fieldlark.model.ontology import ontology_triples
 from fieldlark.model.vocab import DEFAULT, Vocab
-from fieldlark.operators import enrichment, extracts, queries
-from fieldlark.operators.occurrences import capped_newest_first, occurrence_facts
+from fieldlark.functions import curve
+from fieldlark.operators import enrichment, extracts, intervals, queries, recency, trigrams
+from fieldlark.operators.inference import parent_edges
+from fieldlark.operators.occurrences import capped_newest_first, occurrence_triples
 from fieldlark.operators.taxonomy import localized_name_triples, name_index, species_nodes, taxonomy_facts
 from fieldlark.operators.triples import entity_table, instances, optional, pattern, scan, union_graphs
 from fieldlark.sources import graph_files
@@ -103,6 +106,11 @@ def observation_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon"), "locality")
 
 
+def taxon_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
+    """Taxa as nested intervals over the direct parent links; a graph whose links were closed gives the same table."""
+    return intervals.interval_labels(intervals.direct_edges(parent_edges(triples, vocab))).labels
+
+
 def build_graph(
     taxonomy: DataFrame, localized: dict[str, DataFrame], occurrences: DataFrame,
     max_records: int | None = None, vocab: Vocab = DEFAULT,
@@ -116,7 +124,7 @@ def build_graph(
     sample = occurrences if max_records is None else capped_newest_first(occurrences, max_records)
     return union_graphs(
         ontology_triples(taxonomy.sparkSession, vocab), taxonomy_facts(taxonomy, "en", vocab), *names,
-        occurrence_facts(sample, index, vocab))
+        occurrence_triples(sample, index, vocab))
 
 
 def enrich_with_traits(triples: DataFrame, bindings: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
@@ -155,6 +163,8 @@ class KnowledgeGraph:
     triples: DataFrame
     vocab: Vocab = field(default=DEFAULT)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    index: trigrams.TrigramIndex | None = None
+    months: dict[int, int] = field(default_factory=dict)  # stored observations of each month
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, vocab: Vocab = DEFAULT, form: str = "saved", strict: bool = True) -> KnowledgeGraph:
@@ -166,25 +176,39 @@ class KnowledgeGraph:
             return cls(graph_files.read_graph(spark, path), vocab)
         if form != "saved":
             raise ValueError(f"no such form of a graph: {form}")
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-        return cls(graph_files.read_graph(spark, f"{path}/triples"), vocab, tables)
+        triples, index = graph_files.read_graph(spark, f"{path}/triples"), trigrams.TrigramIndex.load(spark, path)
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES.keys() - {"names", "species", "observations"}}
+        # a table by bucket or month may have no file to read the schema from
+        by_bucket = T.StructType([*species_table(triples, vocab).schema.fields, T.StructField("bucket", T.IntegerType())])
+        by_month = T.StructType([*observation_table(triples, vocab).schema.fields, T.StructField("cell", T.LongType()),
+                                 T.StructField("month", T.IntegerType())])
+        tables |= {"names": index.names, "species": spark.read.schema(by_bucket).parquet(f"{path}/species"),
+                   "observations": spark.read.schema(by_month).parquet(f"{path}/observations")}
+        months = {r.month: r.n for r in recency.read_counts(spark, path).collect()}  # one number a month
+        return cls(triples, vocab, tables, index, months)
 
     def save(self, path: str) -> None:
-        """Write the triples by predicate, and the typed tables that the queries read.
+        """Write the triples by predicate, the typed tables that the queries read, and the index of names.
 
-        The triples are written first and the tables derived from the files. Observations are ordered by place, so
-        that a search around a point skips most row groups; species are ordered by family.
+        The triples are written first and the tables derived from the files. Observations lie in a folder
+        per month, so that the newest are read alone, and are ordered along a curve through the places, so that a
+        search around a point skips row groups on both axes; taxa in the order of their intervals; species and names
+        by bucket, which is what a name search looks up.
         """
+        spark = self.triples.sparkSession
         graph_files.write_graph(self.triples, f"{path}/triples")
-        stored = KnowledgeGraph(graph_files.read_graph(self.triples.sparkSession, f"{path}/triples"), self.vocab)
-        order = {"observations": ["lat", "lon", "obs_id"], "species": ["family", "species"], "names": ["species", "kind", "name"]}
-        for name in TABLES:
+        stored = KnowledgeGraph(graph_files.read_graph(spark, f"{path}/triples"), self.vocab)
+        buckets = trigrams.write_index(stored.table("names"), path)
+        trigrams.write_by_bucket(stored.table("species"), buckets, ["family", "species"], f"{path}/species")
+        recency.write_by_month(
+            stored.table("observations").withColumn("cell", curve.z_key(F.col("lat"), F.col("lon"))), ["cell", "obs_id"], path)
+        for name in TABLES.keys() - {"names", "species", "observations"}:
             table = stored.table(name)
-            table = table.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else table
+            table = table.repartitionByRange("lo").sortWithinPartitions("lo") if name == "taxa" else table
             table.write.parquet(f"{path}/{name}")
 
     def table(self, name: str) -> DataFrame:
-        """A typed table, stored or derived: species, observations, names, ranks, habitats or months."""
+        """A typed table, stored or derived: species, observations, names, ranks, habitats, months or taxa."""
         return self.tables[name] if name in self.tables else TABLES[name](self.triples, self.vocab)
 
     def add(self, *graphs: DataFrame) -> KnowledgeGraph:
@@ -193,14 +217,20 @@ class KnowledgeGraph:
     def species(self, *columns: str) -> DataFrame:
         """Species with the given attributes, or all."""
         if "species" in self.tables or not columns:
-            return self.table("species").select(*(["species", *columns] if columns else ["*"]))
+            table = self.table("species").drop("bucket")
+            return table.select("species", *columns) if columns else table
         return species_table(self.triples, self.vocab, list(columns))
 
     def observations(self) -> DataFrame:
         return self.table("observations")
 
     def find_species_by_name(self, name: str, fold: str = "compat", limit: int | None = None) -> DataFrame:
-        return queries.find_species_by_name(self.species(), self.table("habitats"), name, fold, limit, self.table("names"))
+        return queries.find_species_by_name(
+            self.table("species"), self.table("habitats"), name, fold, limit, self.table("names"), self._found(name, fold))
+
+    def _found(self, name: str | None, fold: str = "compat", kinds: list[str] | None = None) -> trigrams.Found | None:
+        """What the stored index finds for a name; None without an index."""
+        return self.index.find(name, fold, kinds) if self.index is not None and name else None
 
     def list_observed_species(self) -> DataFrame:
         links = pattern(self.triples, "species", self.vocab.has_observation, "obs_id")
@@ -221,8 +251,18 @@ class KnowledgeGraph:
         return queries.species_by_order(found, order)
 
     def recent_observations(self, name: str | None = None, fold: str = "compat", limit: int | None = None) -> DataFrame:
-        return queries.recent_observations(
-            self.species(*queries.NAMES), self.observations(), name, fold, limit, self.vocab, self.table("names"))
+        """The newest observations; with a limit and stored months, of as many of the newest months as it takes."""
+        species, found = self.species(*queries.NAMES), self._found(name, fold)
+
+        def newest(observations: DataFrame) -> DataFrame:
+            return queries.recent_observations(
+                species, observations, name, fold, limit, self.vocab, self.table("names"), found)
+
+        if limit is None or not self.months:
+            return newest(self.observations())
+        wanted = recency.months_needed(
+            self.months, limit, lambda months: newest(recency.of_months(self.observations(), months)).count())
+        return newest(recency.of_months(self.observations(), wanted))
 
     recent_danish_observations = recent_observations
 
@@ -243,7 +283,8 @@ class KnowledgeGraph:
             if part:
                 species = with_rank(species, self.table("ranks"), rank, part)
         return queries.observations_for_map(
-            species, self.observations(), species_filter, vocab=self.vocab, ordered=ordered, names=self.table("names"))
+            species, self.observations(), species_filter, vocab=self.vocab, ordered=ordered, names=self.table("names"),
+            found=self._found(species_filter, "full", queries.MAP_NAMES))
 
     def taxonomy_summary(self) -> DataFrame:
         types = scan(self.triples, p=v.TYPE).select("s", F.col("o").alias("class"))
@@ -257,6 +298,21 @@ class KnowledgeGraph:
         edges = extracts.network_edges_of(self.triples, kept, self.vocab)
         return extracts.taxonomy_nodes(kept, edges, self.triples, self.vocab), edges
 
+    def taxa_below(self, taxon: str) -> DataFrame:
+        """Everything below a taxon, by one range filter on the stored intervals."""
+        taxa = self.table("taxa")
+        return intervals.below(taxa, intervals.interval_of(taxa, taxon))
+
+    def ancestors(self, taxon: str) -> DataFrame:
+        """What a taxon belongs to, the highest first."""
+        taxa = self.table("taxa")
+        return intervals.above(taxa, intervals.interval_of(taxa, taxon)).orderBy("depth")
+
+    def observed_below(self) -> DataFrame:
+        """Taxa with the number of observed species at or below each (``n_below``)."""
+        links = pattern(self.triples, "node", self.vocab.has_observation, "obs_id")
+        return intervals.counts_below(self.table("taxa"), links)
+
     def capped(self, rows: DataFrame, order: list[Column], limit: int = extracts.RESULT_LIMIT) -> DataFrame:
         return extracts.result_text(extracts.result_cap(rows, order, limit))
 
@@ -269,4 +325,5 @@ TABLES = {
     "ranks": rank_table,
     "habitats": habitat_table,
     "months": month_table,
+    "taxa": taxon_table,
 }

@@ -15,16 +15,16 @@ from fieldlark.sources.graph_files import read_graph, write_graph
 class Reasoned(NamedTuple):
     triples: DataFrame
     added: DataFrame  # (step, rule, n) per rule
+    parts: list[DataFrame]  # the asserted triples, then what each rule added
+
+
+RULE_NAMES = ["transitive_parents", "subclass_types", "domain_types", "same_as", "migration"]
 
 
 def rules(vocab: Vocab = DEFAULT):
-    return [
-        ("transitive_parents", lambda g: inference.transitive_parents(g, vocab)),
-        ("subclass_types", inference.subclass_types),
-        ("domain_types", inference.domain_types),
-        ("same_as", inference.same_as_one_hop),
-        ("migration", lambda g: inference.migration_rule(g, vocab)),
-    ]
+    return list(zip(RULE_NAMES, [
+        lambda g: inference.transitive_parents(g, vocab), inference.subclass_types, inference.domain_types,
+        inference.same_as_one_hop, lambda g: inference.migration_rule(g, vocab)]))
 
 
 def _store(triples: DataFrame, label: str, distinct: bool) -> DataFrame:
@@ -43,13 +43,14 @@ def run_reasoner(triples: DataFrame, vocab: Vocab = DEFAULT, is_stored: bool = F
     read from distinct files by predicate already and need not be written first.
     """
     graph = triples if is_stored else _store(triples, "asserted", False)
-    counts = []
+    counts, parts = [], [graph]
     for step, (name, rule) in enumerate(rules(vocab), start=1):
         new = _store(rule(graph), name, True)
         graph = graph.unionByName(new)
+        parts.append(new)
         counts.append(new.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(step).alias("step"), F.lit(name).alias("rule"), "n"))
     added = counts[0]
     for more in counts[1:]:
         added = added.unionByName(more)
-    return Reasoned(graph, added)
+    return Reasoned(graph, added, parts)

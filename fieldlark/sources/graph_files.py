@@ -13,6 +13,10 @@ _LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*+)>)?'
 LINE = rf"^\s*+{_NODE}\s*+<([^>]*+)>\s*+(?:{_NODE}|{_LITERAL})\s*+\.\s*+(?:#.*)?$"
 SKIPPED = r"^\s*(#.*)?$"
 _CUT = "\x00"
+# fixed values of the N-Triples grammar: what an IRI may not hold, labels of blank nodes, language tags
+_NOT_IN_IRIS = "".join(map(chr, range(0x21))) + '<>"{}|^`\\'
+_PLAIN_LABEL = r"^_:[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_-])?\z"
+_LANGUAGE = r"^[A-Za-z0-9-]+\z"
 
 
 def write_graph(triples: DataFrame, path: str, distinct: bool = False) -> None:
@@ -99,21 +103,37 @@ def ntriples_report(spark: SparkSession, path: str) -> DataFrame:
         F.count_if(~bad).alias("n_triples"), F.count_if(bad).alias("n_bad"))
 
 
+def _escaped_iri(text: Column) -> Column:
+    r"""An IRI with what may not stand in one as \uXXXX: blanks, control characters and a few signs."""
+    shown = F.replace(text, F.lit("\\"), F.lit("\\u005C"))
+    for sign in _NOT_IN_IRIS.replace("\\", ""):
+        shown = F.replace(shown, F.lit(sign), F.lit(f"\\u{ord(sign):04X}"))
+    return F.when(text.rlike("[" + "".join(f"\\x{ord(sign):02x}" for sign in _NOT_IN_IRIS) + "]"), shown).otherwise(text)
+
+
 def ntriples_lines(triples: DataFrame) -> DataFrame:
-    """One N-Triples line per triple, as ``value``."""
+    """One N-Triples line per triple, as ``value``. Any text may stand in a node; a language tag must be one.
+
+    A blank node whose label N-Triples does not allow is written between angle brackets, and is read as it was.
+    """
+    def iri(text: Column) -> Column:
+        return F.concat(F.lit("<"), _escaped_iri(text), F.lit(">"))
+
     def node(text: Column) -> Column:
-        return F.when(text.startswith("_:"), text).otherwise(F.concat(F.lit("<"), text, F.lit(">")))
+        return F.when(text.rlike(_PLAIN_LABEL), text).otherwise(iri(text))
 
     escaped = F.col("o")
     for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
+    tag = F.when(F.col("o_lang").rlike(_LANGUAGE), F.col("o_lang")).otherwise(
+        F.raise_error(F.concat(F.lit("not a language tag: "), "o_lang")).cast("string"))
     suffix = (
-        F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang"))
-        .when(F.col("o_datatype") != "", F.concat(F.lit("^^<"), "o_datatype", F.lit(">"))).otherwise(""))
+        F.when(F.col("o_lang") != "", F.concat(F.lit("@"), tag))
+        .when(F.col("o_datatype") != "", F.concat(F.lit("^^"), iri(F.col("o_datatype")))).otherwise(""))
     literal = F.concat(F.lit('"'), escaped, F.lit('"'), suffix)
     obj = F.when(F.col("o_kind") == "iri", node(F.col("o"))).otherwise(literal)
     return triples.select(
-        F.concat(node(F.col("s")), F.lit(" <"), "p", F.lit("> "), obj, F.lit(" .")).alias("value"))
+        F.concat(node(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), obj, F.lit(" .")).alias("value"))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:

@@ -2,12 +2,17 @@
 
 Downloads are not done here; jobs read what a downloader has written. Records
 carry ``seq``, their position in the download, where first or last wins matters.
-Malformed lines are kept aside in ``_corrupt_record`` and counted, not fatal.
+A line that does not parse is left out, as a batch of bindings that does not parse is.
+Every reader can be told to fail on one instead (``strict``), or to count what it reads and
+leaves out while the job runs (``counts``, an Observation whose ``get`` has ``n_read`` and
+``n_bad`` afterwards); ``reader_report`` counts without reading on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from fieldlark.model import types
@@ -28,12 +33,22 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, multi_line:
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line)
 
 
-def valid(records: DataFrame) -> DataFrame:
-    """Records that parsed. The test also looks at a field of the data, because Spark refuses to read the column of
-    corrupt lines alone, which is all that a count would need."""
+def _is_bad(records: DataFrame) -> Column:
+    """Whether a record did not parse. The test also looks at a field of the data, because Spark refuses to read the
+    column of corrupt lines alone, which is all that a count would need."""
     first = next(c for c in records.columns if c != CORRUPT)
-    parsed = F.coalesce(F.length(CORRUPT), F.lit(-1) - F.col(f"`{first}`").isNull().cast("int")) < 0
-    return records.where(parsed).drop(CORRUPT)
+    return F.coalesce(F.length(CORRUPT), F.lit(-1) - F.col(f"`{first}`").isNull().cast("int")) >= 0
+
+
+def valid(records: DataFrame, strict: bool = False, counts: Observation | None = None) -> DataFrame:
+    """Records that parsed. With *strict* one that did not fails the job; *counts* counts both as they are read."""
+    bad = _is_bad(records)
+    if counts is not None:
+        records = records.observe(counts, F.count(F.lit(1)).alias("n_read"), F.count_if(bad).alias("n_bad"))
+    if strict:
+        shown = F.concat(F.lit("does not parse: "), F.substring(CORRUPT, 1, 200))
+        bad = F.when(bad, F.raise_error(shown).cast("boolean")).otherwise(F.lit(False))
+    return records.where(~bad).drop(CORRUPT)
 
 
 def _json_counts(schema: T.StructType) -> T.StructType:
@@ -59,22 +74,25 @@ def input_report(records: DataFrame) -> DataFrame:
         F.count_if(good & filled.isNull()).alias("n_empty"))
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    return valid(read_json(spark, path, types.TAXONOMY_RECORD))
+def read_taxonomy(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
+    return valid(read_json(spark, path, types.TAXONOMY_RECORD), strict, counts)
 
 
-def read_localized_names(spark: SparkSession, path: str) -> DataFrame:
+def read_localized_names(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
     """Name records; the locale is the directory partition ``locale=..``."""
     return valid(read_json(spark, path, T.StructType([
-        *types.LOCALIZED_NAME_RECORD.fields, T.StructField("locale", T.StringType())])))
+        *types.LOCALIZED_NAME_RECORD.fields, T.StructField("locale", T.StringType())])), strict, counts)
 
 
 def read_occurrences(
     spark: SparkSession, path: str, dataset_key: str | None = DATASET_KEY,
     basis: str | None = BASIS_OF_RECORD, years: tuple[int, int] | None = None,
+    strict: bool = False, counts: Observation | None = None,
 ) -> DataFrame:
     """Occurrence records of one dataset and basis; a year range prunes ``year=..`` partitions."""
-    rows = _counts_as_text(valid(read_json(spark, path, _json_counts(types.OCCURRENCE_RECORD))))
+    rows = _counts_as_text(valid(read_json(spark, path, _json_counts(types.OCCURRENCE_RECORD)), strict, counts))
     if dataset_key is not None:
         rows = rows.where(F.col("datasetKey") == dataset_key)
     if basis is not None:
@@ -84,48 +102,80 @@ def read_occurrences(
     return rows
 
 
-def read_occurrence_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_occurrence_pages(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
     """Records of saved result pages, one page per line."""
     schema = T.StructType([
         T.StructField("results", T.ArrayType(_json_counts(types.OCCURRENCE_RECORD))), types.OCCURRENCE_PAGE["endOfRecords"]])
-    pages = valid(read_json(spark, path, schema))
+    pages = valid(read_json(spark, path, schema), strict, counts)
     return _counts_as_text(pages.select(F.explode("results").alias("r")).select("r.*"))
 
 
-def read_bindings(spark: SparkSession, path: str) -> DataFrame:
+def read_bindings(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
     """Query results in SPARQL JSON, one file per batch, as rows (seq, b).
 
-    ``seq`` is (file, position). A file that does not parse is skipped, the rest continue.
+    ``seq`` is (file, position). A file that does not parse is skipped, and counted as one that is bad; the rest continue.
     """
     files = read_json(spark, path, types.BINDINGS, multi_line=True).withColumn("_file", F.col("_metadata.file_path"))
-    rows = valid(files).select("_file", F.posexplode("results.bindings").alias("_pos", "b"))
+    rows = valid(files, strict, counts).select("_file", F.posexplode("results.bindings").alias("_pos", "b"))
     return rows.select(F.struct("_file", "_pos").alias("seq"), "b")
 
 
-def read_trait_bindings(spark: SparkSession, path: str) -> DataFrame:
-    return binding_columns(read_bindings(spark, path), TRAIT_VARIABLES)
+def read_trait_bindings(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
+    return binding_columns(read_bindings(spark, path, strict, counts), TRAIT_VARIABLES)
 
 
-def read_picture_bindings(spark: SparkSession, path: str) -> DataFrame:
-    return binding_columns(read_bindings(spark, path), PICTURE_VARIABLES)
+def read_picture_bindings(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
+    return binding_columns(read_bindings(spark, path, strict, counts), PICTURE_VARIABLES)
 
 
-def read_iucn_lookups(spark: SparkSession, path: str) -> DataFrame:
+def read_iucn_lookups(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
     """Name lookups as (name, assessments)."""
-    return valid(read_json(spark, path, types.IUCN_LOOKUP)).select(
+    return valid(read_json(spark, path, types.IUCN_LOOKUP), strict, counts).select(
         F.col("taxon.scientific_name").alias("name"), "assessments")
 
 
-def read_iucn_assessments(spark: SparkSession, path: str) -> DataFrame:
-    return valid(read_json(spark, path, types.IUCN_ASSESSMENT))
+def read_iucn_assessments(
+    spark: SparkSession, path: str, strict: bool = False, counts: Observation | None = None) -> DataFrame:
+    return valid(read_json(spark, path, types.IUCN_ASSESSMENT), strict, counts)
 
 
-def read_sightings(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
+def read_sightings(
+    spark: SparkSession, path: str, days: int | None = None, strict: bool = False, counts: Observation | None = None) -> DataFrame:
     """Live sightings, optionally only those of the last *days* days."""
-    rows = valid(read_json(spark, path, types.SIGHTING_RECORD))
+    rows = valid(read_json(spark, path, types.SIGHTING_RECORD), strict, counts)
     return rows if days is None else recent_sightings(rows, F.current_date(), days)
 
 
+# schema of each kind of landed file, and whether a file is one record
+KINDS = {
+    "taxonomy": (types.TAXONOMY_RECORD, False), "localized_names": (types.LOCALIZED_NAME_RECORD, False),
+    "occurrences": (_json_counts(types.OCCURRENCE_RECORD), False), "occurrence_pages": (types.OCCURRENCE_PAGE, False),
+    "bindings": (types.BINDINGS, True), "iucn_lookups": (types.IUCN_LOOKUP, False),
+    "iucn_assessments": (types.IUCN_ASSESSMENT, False), "sightings": (types.SIGHTING_RECORD, False),
+}
+
+
+def reader_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One row per kind of file in *paths* (see KINDS): kind, n_valid, n_bad, n_empty and n_bad_files.
+
+    Records are lines, or whole files of bindings. An empty record parses but holds no field.
+    """
+    reports = []
+    for kind, path in paths.items():
+        records = read_json(spark, path, *KINDS[kind]).withColumn("_file", F.col("_metadata.file_path"))
+        data = [F.col(f"`{c}`").isNotNull() for c in records.columns if c not in (CORRUPT, "_file")]
+        filled, bad = reduce(lambda a, b: a | b, data), _is_bad(records)
+        reports.append(records.agg(
+            F.lit(kind).alias("kind"), F.count_if(~bad).alias("n_valid"), F.count_if(bad).alias("n_bad"),
+            F.count_if(~bad & ~filled).alias("n_empty"), F.count_distinct(F.when(bad, F.col("_file"))).alias("n_bad_files")))
+    return reduce(lambda a, b: a.unionByName(b), reports)
+
+
 def stream_sightings(spark: SparkSession, path: str) -> DataFrame:
     """Live sightings as files arrive in *path*; lines that do not parse are left out."""
     with_bad = T.StructType([*types.SIGHTING_RECORD.fields, T.StructField(CORRUPT, T.StringType())])

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from fieldlark import KnowledgeGraph
 from fieldlark.model import ontology, types, vocab as v
@@ -163,3 +163,50 @@ def test_stream_leaves_malformed_lines_out(spark, tmp_path):
     (tmp_path / "in" / "s.json").write_text('{"speciesCode": "robi"}\n{oops\n')
     seen = live.run_available(landed.stream_sightings(spark, str(tmp_path / "in")), "sightings")
     assert rows(seen, "speciesCode") == ["robi"]
+
+
+ODD = "".join(map(chr, range(1, 128)))
+
+
+def test_any_iri_is_written_so_that_it_is_read_back(spark, triples, tmp_path):
+    names = [f"http://x/a{sign}b" for sign in ODD] + ["", "_:b1", "_:b 1", "_:", "_:a.", "_:\nx", "http://x/é🐦 ", "http://x/\x00"]
+    facts = [(s, p, o, "iri", "", "") for s, p, o in zip(names, names[1:] + names[:1], names[2:] + names[:2])]
+    facts += [("s", "p", f"text{sign}", "literal", "", f"http://t/{sign}") for sign in ODD] + [("s", "p", "\x00 a", "literal", "da-DK", "")]
+    graph_files.write_ntriples(triples(facts), str(tmp_path / "nt"))
+    assert rows(graph_files.read_ntriples(spark, str(tmp_path / "nt"))) == sorted(set(facts), key=repr)
+
+
+def test_a_language_tag_that_is_none_is_not_written(triples, tmp_path):
+    with pytest.raises(Exception, match="not a language tag: da DK"):
+        graph_files.write_ntriples(triples([("s", "p", "o", "literal", "da DK", "")]), str(tmp_path / "nt"))
+
+
+READERS = {
+    "taxonomy": landed.read_taxonomy, "sightings": landed.read_sightings, "iucn_assessments": landed.read_iucn_assessments,
+    "iucn_lookups": landed.read_iucn_lookups, "occurrence_pages": landed.read_occurrence_pages,
+}
+
+
+@pytest.mark.parametrize("kind", READERS)
+def test_readers_count_or_refuse_what_does_not_parse(spark, tmp_path, kind):
+    first = landed.KINDS[kind][0].names[0]
+    (tmp_path / "x.json").write_text("\n".join(['{"' + first + '": null}', "{oops", '{"none": 1}', "[}"]))
+    counts = Observation("counts")
+    assert READERS[kind](spark, str(tmp_path), counts=counts).count() in (2, 0)  # pages without results have no rows
+    assert counts.get == {"n_read": 4, "n_bad": 2}
+    with pytest.raises(Exception, match=r"does not parse: (\{oops|\[\})"):
+        READERS[kind](spark, str(tmp_path), strict=True).collect()
+    report = landed.reader_report(spark, {kind: str(tmp_path)}).first()
+    assert tuple(report) == (kind, 2, 2, 2, 1)
+
+
+def test_bindings_files_are_counted(spark, tmp_path):
+    good = {"results": {"bindings": [{"item": {"type": "uri", "value": "a"}}] * 2}}
+    (tmp_path / "1.json").write_text(json.dumps(good, indent=1))
+    (tmp_path / "2.json").write_text('{"results": {')
+    counts = Observation("files")
+    assert landed.read_bindings(spark, str(tmp_path), counts=counts).count() == 2
+    assert counts.get == {"n_read": 2, "n_bad": 1}
+    with pytest.raises(Exception, match="does not parse"):
+        landed.read_picture_bindings(spark, str(tmp_path), strict=True).collect()
+    assert tuple(landed.reader_report(spark, {"bindings": str(tmp_path)}).first()) == ("bindings", 1, 1, 0, 1)
