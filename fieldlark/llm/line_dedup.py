@@ -13,7 +13,11 @@ execution can split a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from fieldlark.llm.bloom import bitmap, marked
 from fieldlark.operators.joins import spread_join
@@ -67,13 +71,14 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def without_lines(lines: Column, dropped: Column) -> Column:
-    """The text of the lines whose positions are not in *dropped* (ascending): the runs between them, end to end."""
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines)))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(dropped) + 1),
-        lambda i: F.slice(lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1))
-    return F.array_join(F.flatten(runs), "\n")
+def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``__kept``: the lines of ``__text`` whose positions are not in ``__dropped``, put together again."""
+    for batch in batches:
+        kept = []
+        for text, dropped in zip(batch.column("__text").to_pylist(), batch.column("__dropped").to_pylist()):
+            gone = set(dropped or ())
+            kept.append("\n".join(line for i, line in enumerate((text or "").split("\n")) if i not in gone))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "__kept"])
 
 
 def drop_repeated_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -99,13 +104,17 @@ def drop_repeated_lines(df: DataFrame, id_column: str = "doc_id", text_column: s
 
     flagged = marked(docs, "__k1", bitmap(dropped, "__k1"), "__touched")
     touched = spread_join(flagged.where("__touched"), dropped, ROW, "left")
-    whole = flagged.where("not __touched").withColumn("__dropped", F.lit(None).cast("array<int>"))
-    every = lines_of(F.col(f"`{text_column}`"))
-    gone = F.coalesce("__dropped", F.array().cast("array<int>"))
-    columns = [F.col(f"`{c}`") for c in (*docs.columns, "__dropped")]
-    both = touched.select(columns).unionByName(whole.select(columns))
-    return both.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.when(F.size(gone) == 0, F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
-        .otherwise(without_lines(every, gone)).alias("kept_text"),
-        F.size(every).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
+    columns = [F.col(f"`{c}`") for c in names]
+    # under plain names: rows do not go to Python with a dot in the name of a column
+    both = touched.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_column}`").alias("__text"), "__dropped")
+    put = both.mapInArrow(without_lines, T.StructType([*both.schema.fields, T.StructField("__kept", T.StringType())]))
+    put = put.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "__dropped", "__kept")
+
+    def result(rows: DataFrame, kept: Column, n_dropped: Column) -> DataFrame:
+        return rows.select(
+            *columns, kept.alias("kept_text"), F.size(lines_of(F.col(f"`{text_column}`"))).cast("long").alias("n_lines"),
+            n_dropped.cast("long").alias("n_dropped"))
+
+    gone = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped"))
+    return result(put, F.col("__kept"), gone).unionByName(result(
+        flagged.where("not __touched"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")), F.lit(0)))
