@@ -67,17 +67,16 @@ def _jump(links: DataFrame, rests: Column, label: str) -> DataFrame:
     """(id, next, weight) where every link has been followed until it rests, with the weights on the way added.
 
     A link is joined with the state of what it leads to, so the length it spans doubles each round. Links that rest
-    take no part in later rounds.
+    are only looked up.
     """
-    state = links.withColumn("rests", rests)
-    resting, active = cut_lineage(state.where("rests"), label), cut_lineage(state.where("not rests"), label)
-    while not active.isEmpty():
-        target = resting.unionByName(active).select(
+    state = cut_lineage(links.withColumn("rests", rests), label)
+    while not state.where("not rests").isEmpty():
+        target = state.select(
             F.col("id").alias("next"), F.col("next").alias("then"), F.col("weight").alias("more"), F.col("rests").alias("last"))
-        moved = cut_lineage(spread_join(active, target, "next").select(
-            "id", F.col("then").alias("next"), (F.col("weight") + F.col("more")).alias("weight"), F.col("last").alias("rests")), label)
-        resting, active = resting.unionByName(moved.where("rests")), moved.where("not rests")
-    return resting.drop("rests")
+        moved = spread_join(state.where("not rests"), target, "next").select(
+            "id", F.col("then").alias("next"), (F.col("weight") + F.col("more")).alias("weight"), F.col("last").alias("rests"))
+        state = cut_lineage(state.where("rests").unionByName(moved), label)
+    return state.drop("rests")
 
 
 def list_ranks(links: DataFrame, label: str) -> DataFrame:
@@ -90,10 +89,9 @@ def list_ranks(links: DataFrame, label: str) -> DataFrame:
     def is_stop(element: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(label), F.col(element)), F.lit(STOPS)) == 0
 
-    links = cut_lineage(links.select("id", "next", "weight"), label)
     end = F.col("next").isNull()
-    near = cut_lineage(_jump(links, end | is_stop("next"), label), label)
-    stops = cut_lineage(_jump(near.where(is_stop("id")), end, label), label)
+    near = _jump(links.select("id", "next", "weight"), end | is_stop("next"), label)
+    stops = _jump(near.where(is_stop("id")), end, label)
     rest = stops.select(F.col("id").alias("next"), F.col("weight").alias("rest"))
     return spread_join(near, rest, "next", "left").select(
         "id", (F.col("weight") + F.coalesce("rest", F.lit(0))).alias("rank"))

@@ -12,6 +12,7 @@ searched text, and the numbers of the buckets of the candidates.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -33,13 +34,20 @@ COUNT_SCHEMA = "gram string, n long"
 FORMS = ["lower", *[f"folded_{kind}" for kind in text.FOLDS]]
 
 
-def grams(value: Column) -> Column:
-    """The different runs of three code points of a text; none for a shorter or a null one."""
-    letters = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+def letters(value: Column) -> Column:
+    """The code points of a text."""
+    return F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+
+
+def grams(letters: Column) -> Column:
+    """The runs of three of an array of letters, repeated ones too; none for fewer or for null.
+
+    *letters* should be a column and not an expression, which would be computed for every run.
+    """
     runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(letters) - LENGTH + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(letters, i, LENGTH), ""))
-    return F.when(F.size(letters) >= LENGTH, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+        F.sequence(F.lit(0), F.greatest(F.size(letters) - LENGTH, F.lit(0))),
+        lambda i: F.concat(*[F.get(letters, i + k) for k in range(LENGTH)]))
+    return F.when(F.size(letters) >= LENGTH, runs).otherwise(F.array().cast("array<string>"))
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -57,11 +65,11 @@ def posting_table(names: DataFrame, buckets: int) -> DataFrame:
     *names* holds the compared forms (see ``queries.name_table``); *forms* has bit i set where the trigram stands in
     form i. Rows of a frequent trigram stay rows, no list of them is ever gathered.
     """
-    def of_form(number: int, form: str) -> Column:
-        return F.transform(grams(F.col(form)), lambda g: F.struct(g.alias("gram"), F.lit(1 << number).alias("form")))
+    def of_form(number: int, form: str) -> DataFrame:
+        spelt = names.where(F.col(form).isNotNull()).select("species", letters(F.col(form)).alias("letters"))
+        return spelt.select("species", F.explode(grams(F.col("letters"))).alias("gram"), F.lit(1 << number).alias("form"))
 
-    one = F.explode(F.concat(*[of_form(i, form) for i, form in enumerate(FORMS)]))
-    rows = names.select("species", one.alias("t")).select("species", "t.gram", "t.form")
+    rows = reduce(lambda a, b: a.unionByName(b), [of_form(i, form) for i, form in enumerate(FORMS)])
     return rows.groupBy("gram", "species").agg(F.bit_or("form").alias("forms")).select(
         "gram", "forms", bucket_of(F.col("species"), buckets).alias("bucket"), "species")
 
@@ -119,11 +127,10 @@ class TrigramIndex(NamedTuple):
 
         Null where the index cannot tell, because *part* has no trigram.
         """
-        spark = self.names.sparkSession
-        wanted = spark.range(1).select(grams(F.lit(part)).alias("g")).first().g
+        wanted = {part[i:i + LENGTH] for i in range(len(part) - LENGTH + 1)}
         if not wanted:
             return None
-        counts = {r.gram: r.n for r in self.grams.where(F.col("gram").isin(wanted)).collect()}
+        counts = {r.gram: r.n for r in self.grams.where(F.col("gram").isin(sorted(wanted))).collect()}
         if len(counts) < len(wanted):
             return self.postings.select("bucket", "species").limit(0)
         bit = 1 << FORMS.index(form)
