@@ -37,8 +37,8 @@ def _(t):
 
 
 # slots that the first stream has closed, and what they say of its end to the second
-SLOTS = """slot as (select user_id, floor(epoch_us(ts) / 7200000000) as at, min(ts) as lo from {events} where ts is not null group by all),
-    closed as (select * from slot where make_timestamp(cast((at + 1) * 7200000000 as bigint))
+SLOTS = """slot as (select user_id, floor(epoch_us(ts) / 7200000000) as k, min(ts) as lo from {events} where ts is not null group by all),
+    closed as (select * from slot where make_timestamp(cast((k + 1) * 7200000000 as bigint))
       <= date_trunc('millisecond', (select max(ts) from {events})) - interval 2 hour)"""
 
 
@@ -80,8 +80,9 @@ def _(t):
 
 
 @query("stream_arrivals_by_period", """
-    select event_type, cast(floor(epoch_us(ts) / 604800000000) as bigint) as period, min(ts) as ts
-    from {events} group by all having period is not null""")
+    select event_type, period, min(at_time) as ts
+    from (select event_type, cast(floor(epoch_us(ts) / 604800000000) as bigint) as period, ts as at_time from {events}) x
+    where period is not null group by event_type, period""")
 def _(t):
     """Few keys with many events each: one row per key and week."""
     folder = scratch_path(t.spark, "arrivals")

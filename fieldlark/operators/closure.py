@@ -105,7 +105,8 @@ def merge_components(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
         .select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
     )
     renamed = cut_lineage(
-        components(contracted).where("node <> component").withColumnsRenamed({"node": "component", "component": "_to"}), "renamed")
+        components(contracted).where("node <> component").select(
+            F.col("node").alias("component"), F.col("component").alias("_to")), "renamed")
     moved = spread_join(members, renamed, "component").select("node", F.col("_to").alias("component"))
     arrived = named.where("is_new").select("node", "component").join(renamed, "component", "left").select(
         "node", F.coalesce("_to", "component").alias("component"))

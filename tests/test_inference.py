@@ -169,3 +169,20 @@ def test_ancestor_report(triples):
     closed = union_graphs(graph, inference.transitive_parents(graph))
     report = inference.ancestor_report(closed, V.taxon("species/robi"))
     assert rows(report, "type", "name") == [("Family", "Muscicapidae"), ("Order", "Passeriformes")]
+
+
+def test_merged_components_equal_a_full_run(spark):
+    from fieldlark.operators import closure
+
+    batches = [[("a", "b"), ("c", "d"), ("e", "e")], [("b", "c"), ("f", "g"), ("h", None)], [("g", "a"), ("y", "x"), ("x", "z"), ("0", "z")], []]
+    members, every = None, []
+    for batch in batches:
+        every += batch
+        edges = spark.createDataFrame(batch, "a string, b string")
+        before = {} if members is None else {r.node: r.component for r in members.collect()}
+        members, changed = (closure.components(edges), None) if members is None else closure.merge_components(members, edges)
+        now = {r.node: r.component for r in members.collect()}
+        whole = closure.components(spark.createDataFrame([e for e in every if None not in e], "a string, b string"))
+        assert now == {r.node: r.component for r in whole.collect()}
+        if changed is not None:
+            assert {r.node: r.component for r in changed.collect()} == {n: c for n, c in now.items() if before.get(n) != c}
