@@ -46,8 +46,11 @@ def valid(records: DataFrame, strict: bool = False, counts: Observation | None =
     if counts is not None:
         records = records.observe(counts, F.count(F.lit(1)).alias("n_read"), F.count_if(bad).alias("n_bad"))
     if strict:
-        shown = F.concat(F.lit("does not parse: "), F.substring(CORRUPT, 1, 200))
-        bad = F.when(bad, F.raise_error(shown).cast("boolean")).otherwise(F.lit(False))
+        refused = F.raise_error(F.concat(F.lit("does not parse: "), F.substring(CORRUPT, 1, 200)))
+        # in the data too: a filter that follows may drop the record before this one sees it
+        first = next(f for f in records.schema.fields if f.name != CORRUPT)
+        records = records.withColumn(first.name, F.when(bad, refused.cast(first.dataType)).otherwise(F.col(f"`{first.name}`")))
+        bad = F.when(F.col(CORRUPT).isNotNull(), refused.cast("boolean")).otherwise(F.lit(False))
     return records.where(~bad).drop(CORRUPT)
 
 
