@@ -13,6 +13,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import html
 import lzma
 import re
 import zlib
@@ -37,11 +38,12 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+    r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+    r"|&[A-Za-z][A-Za-z0-9]{1,31};")
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})(?:={1,2}|(?:%3[Dd]){1,2})?")
 _NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+)((?:={1,2}|(?:%3[Dd]){1,2})?)")
 # what a layer must hold to be of use: a part of a secret, or of something that can be unwrapped
-_WORTH = re.compile(rb"passw|secret|token|api|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_-]{16}", re.I)
+_WORTH = re.compile(rb"passw|secret|token|api|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux]|&[#a-z]|[a-z0-9+/_-]{16}", re.I)
 _UNCLEAN = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 _PLAIN = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]*")
 
@@ -280,6 +282,9 @@ def decode_escapes(run: str):
         if run.startswith("&#"):
             code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
             return None if 0xD800 <= code < 0xE000 else (chr(code), ([0], [len(run)]))
+        if run.startswith("&"):
+            text = html.unescape(run)
+            return None if text == run else (text, ([0] * len(text), [len(run)] * len(text)))
         if run.startswith("\\u"):
             units = [int(x, 16) for x in run.split("\\u")[1:]]
             text = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "surrogatepass")
@@ -386,7 +391,7 @@ def unwrapped(layer: Layer, oversize: list[tuple[int, int]]) -> Iterator[Layer]:
                 yield Layer(text, None, None, layer.place(a, b), layer.ancestors)
 
     for pattern, decode, sign in ((_PERCENT, decode_percent, "%"), (_ESCAPES, decode_escapes, None)):
-        if sign and sign not in layer.text or not sign and "\\" not in layer.text and "&#" not in layer.text:
+        if sign and sign not in layer.text or not sign and "\\" not in layer.text and "&" not in layer.text:
             continue
         inner, parts = rewritten(layer, pattern, decode)
         if inner is not None:
@@ -424,9 +429,10 @@ def all_spans(text: str, base: list[Span] | None = None) -> tuple[list[Span], li
             work.pop()
             continue
         own, inside = digest(inner.text), layer.ancestors or frozenset((digest(text),))
-        if own in inside or (inner.span, own) in seen:
+        where = inner.place(0, len(inner.text)) if inner.text else inner.span
+        if own in inside or (where, own) in seen:
             continue
-        seen.add((inner.span, own))
+        seen.add((where, own))
         inner.ancestors = inside | {own}
         for kind, a, b in base_spans(inner.text):
             a, b = inner.place(a, b)

@@ -142,3 +142,34 @@ def test_lines_of_tokens_keep_their_own_spans():
     text = "\n".join(t.rstrip("=") for t in tokens)
     a = text.index(tokens[1].rstrip("="))
     assert secrets.all_spans(text)[0] == [("assign", a, a + len(tokens[1].rstrip("=")))]
+
+
+@pytest.mark.parametrize("token", [
+    b64(SECRET.encode("utf-16")), b64("Größe, ".encode("latin-1") + SECRET.encode()), b64(SECRET),
+    base64.encodebytes((LONG[:45] + SECRET + " " + LONG * 3).encode()).decode().strip()])
+@pytest.mark.parametrize("between", [" and ", ". Then, once more: "])
+def test_equal_layers_at_several_places_are_all_found(token, between):
+    text = f"a {token}{between}{token} end"
+    second = 2 + len(token) + len(between)
+    spans = secrets.all_spans(text)[0]
+    first_ones = {(k, a - 2, b - 2) for k, a, b in spans if b <= 2 + len(token)}
+    assert first_ones and first_ones == {(k, a - second, b - second) for k, a, b in spans if a >= second}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from(["utf-16", "utf-16-be", "latin-1", "utf-8"]), min_size=1, max_size=4), st.integers(1, 30))
+def test_layers_repeated_at_random_places(encodings, gap):
+    tokens = [b64(("é, " + SECRET).encode(e)) for e in encodings] * 2
+    text, places = "", []
+    for t in tokens:
+        text += "- " * gap
+        places.append((len(text), len(text) + len(t)))
+        text += t + " "
+    spans = secrets.all_spans(text)[0]
+    assert all(any(a <= x and y <= b for _, x, y in spans) for a, b in places)
+
+
+@pytest.mark.parametrize("text", ["password&equals;hunter2hunter2", "password&colon; hunter2hunter2", "&quot;password&quot;&colon;hunter2hunter2"])
+def test_named_references(text):
+    spans = secrets.all_spans(text + " AT&T &nosuch; &amp")[0]
+    assert ("assign", text.index("password"), len(text)) in spans
