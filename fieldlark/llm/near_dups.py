@@ -339,12 +339,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     def one_of_each(batches):
         seen = set()
         for batch in batches:
-            new = [i for i, row in enumerate(batch.column("row").to_pylist()) if row not in seen and not seen.add(row)]
+            own = zip(batch.column("row").to_pylist(), batch.column("text").to_pylist())
+            new = [i for i, (row, text) in enumerate(own) if (key := (row, hash(text))) not in seen and not seen.add(key)]
             yield batch.take(pa.array(new, pa.int64()))
 
-    # copies without an id are equal rows: one of each goes on from a task
-    named = near.where("id is not null").select("row", "text")
-    near = named.unionByName(near.where("id is null").select("row", "text").mapInArrow(one_of_each, named.schema))
+    # equal rows, with an id or without: one of each goes on from a task, and one of all tasks to the verification; dealt by
+    # row alone, the rows already lie as the join needs them
+    near = near.select("row", "text")
+    near = near.mapInArrow(one_of_each, near.schema).repartition("row").dropDuplicates(["row", "text"])
     known = near.join(members, "row").select("component", "text_id", "blocks", "copies", "text", "h1", "h2").mapInArrow(
         sets, "component long, node long, blocks int, copies long, shingles binary")
     pairs = in_block_pairs(

@@ -128,3 +128,15 @@ def test_near_copies_without_an_id_are_linked(spark):
     assert {r[1:3] for r in want} >= {(5, 2), (5, 3)}
     got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in near_dups.classes(df).collect()]
     assert sorted(got, key=repr) == want
+
+
+def test_repeated_rows_reach_the_verification_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 3000 + [(2, text + " more")]
+    df = small_table(spark, rows, "doc_id long, text string").repartition(8)
+    seen = []
+    real = near_dups.in_block_pairs
+    monkeypatch.setattr(near_dups, "in_block_pairs", lambda df, key, *names: seen.append((key, df)) or real(df, key, *names))
+    got = {tuple(r) for r in near_dups.classes(df).collect()}
+    assert got == {(1, 1, 3000, 3000), (2, 1, 3000, 1)}
+    assert [d.count() for key, d in seen if key == "component"] == [2]
