@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlark.llm.words import SpanHasher
+from fieldlark.session import cut_lineage
 
 PASSAGE = 100  # words
 SAMPLE = 6000  # labelled documents to learn from, at most
+PASSAGES = 1 << 18  # passages to learn from, at most, in all of them
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 ACCEPT = 0.7
@@ -148,11 +150,12 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model |
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-        label_column: str = "quality", sample: int = SAMPLE) -> Model | None:
+        label_column: str = "quality", sample: int = SAMPLE, passages_bound: int = PASSAGES) -> Model | None:
     """Learn from the whole texts of at most *sample* labelled documents, drawn by a hash of the id.
 
-    Labels that are null teach nothing; a document labelled more than once has the rounded mean. None without
-    documents of both labels.
+    Labels that are null teach nothing; a document labelled more than once has the rounded mean. Of documents that share
+    an id the one with the least hash of its text is taken. Drawn documents beyond *passages_bound* passages in all, in
+    the order of the draw, teach nothing either. None without documents of both labels.
     """
     spark = docs.sparkSession
     drawn = (
@@ -162,16 +165,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     )
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
 
+    def least_so_far(batches):
+        least: dict = {}
+        for batch in batches:
+            own = []
+            for i, (known, key) in enumerate(zip(batch.column("id").to_pylist(), batch.column("key").to_pylist())):
+                if known not in least or key < least[known]:
+                    least[known] = key
+                    own.append(i)
+            yield batch.take(pa.array(own, pa.int64()))
+
     def encoded(batches):
         hasher = SpanHasher()
         for batch in batches:
-            bags = [passages(hasher, t).tobytes() for t in batch.column("text").to_pylist()]
+            bags = [passages(hasher, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.string()), batch.column("y"), pa.array(bags, pa.binary())],
-                names=["id", "y", "bag"])
-
-    # at most *sample* rows of two numbers
-    seen = texts.join(F.broadcast(drawn), "id").mapInArrow(encoded, "id string, y double, bag binary").collect()
+                [batch.column("id").cast(pa.string()), batch.column("y"), pa.array([len(b) for b in bags], pa.int64()),
+                 pa.array([b.tobytes() for b in bags], pa.binary())], names=["id", "y", "n", "bag"])
+
+    # at most *sample* rows of two numbers go out; a task sends few rows of an id on, however many it has
+    rows = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(drawn), "id")
+    rows = rows.mapInArrow(least_so_far, rows.schema).groupBy("id").agg(F.min(F.struct("key", "text", "y")).alias("r"))
+    bags = cut_lineage(
+        rows.select("id", "r.text", "r.y").mapInArrow(encoded, "id string, y double, n long, bag binary"), "quality-sample")
+    taken, total = [], 0
+    for known, n in bags.orderBy(F.xxhash64("id"), "id").select("id", "n").collect():
+        if total + n <= passages_bound:
+            taken.append(known)
+            total += n
+    seen = bags.where(F.col("id").isin(taken)).collect()
     seen.sort(key=lambda r: (r.id, r.bag))
     return train([np.frombuffer(bytes(r.bag), np.float32).reshape(-1, WIDTH) for r in seen], np.array([r.y for r in seen]))
 

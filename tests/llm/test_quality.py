@@ -77,3 +77,17 @@ def test_defined_results_of_odd_rows(spark):
     assert quality.score(odd.limit(0), model).collect() == []
     assert quality.fit(df, labels.where("quality = 1")) is None and quality.fit(df, labels.limit(0)) is None
     assert {r.score for r in quality.score(odd, None).collect()} == {0.5}
+
+
+def test_repeated_ids_and_long_texts_keep_the_sample_bounded(spark, monkeypatch):
+    docs = [(i, ("fine words in a row " if i % 2 else "### $$$ x ") * 30) for i in range(40)]
+    docs += [(7, f"fine words {k} " * 20) for k in range(2000)] + [(8, "x y " * 50000)]
+    labels = [(i, i % 2) for i in range(40)]
+    seen = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda bags, y: seen.append([len(b) for b in bags]) or real(bags, y))
+    df, y = small_table(spark, docs, "doc_id long, text string"), small_table(spark, labels, "doc_id long, quality int")
+    assert quality.fit(df, y, passages_bound=100) is not None
+    assert 38 <= len(seen[0]) <= 40 and sum(seen[0]) <= 100
+    quality.fit(df, y, sample=10)
+    assert len(seen[1]) == 10
