@@ -181,8 +181,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_
     """
     items = benchmark.select(
         F.coalesce(F.col(f"`{item_column}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first().n or 0
-    n_blocks = max(1, math.ceil(max(words, 0) / block_words))
+    items = items.distinct()
+    # words by their pattern: what is left where each run of other characters is one blank
+    plain = F.trim(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    words = items.agg(F.sum(F.when(plain != "", F.size(F.split(plain, " "))).otherwise(0)).alias("n")).first().n or 0
+    n_blocks = max(1, math.ceil(words / block_words))
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ADDED]
     state = docs.select(

@@ -72,3 +72,14 @@ def test_empty_tables(spark):
     assert contamination.find(docs.limit(0), bench).collect() == []
     assert contamination.find(docs, bench.limit(0)).collect()[0].n_hit == 0
     assert contamination.find(docs, bench).collect()[0].n_hit == 2
+
+
+def test_blocks_are_counted_in_words_not_in_blanks(spark, monkeypatch):
+    sent = []
+    real = contamination.test_set
+    monkeypatch.setattr(contamination, "test_set", lambda block, window: sent.append(len(block)) or real(block, window))
+    items = [(f"i{k}", "\n-".join(f"w{k}x{j}" for j in range(100))) for k in range(40)] + [("same", "a-b-c")] * 500
+    df = small_table(spark, [(1, "so " + " ".join(f"w3x{j}" for j in range(50))), (2, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination.find(df, small_table(spark, items, "item_id string, text string"), block_words=1000).collect()}
+    assert (got[1].n_hit, got[1]["items"], got[2].n_hit, got[2]["items"]) == (50, ["i3"], 3, ["same"])
+    assert len(sent) == 5 and sum(sent) == 41
