@@ -1,4 +1,7 @@
+import base64
 import itertools
+import random
+import string
 
 import numpy as np
 import pytest
@@ -105,3 +108,28 @@ def test_a_corpus_without_labels_stays(spark):
 
     docs = small_table(spark, [(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
+PROSE = {
+    "russian": "В начале июля, в чрезвычайно жаркое время, под вечер, один молодой человек вышел из своей каморки. " * 2,
+    "chinese": "道可道非常道名可名非常名无名天地之始有名万物之母故常无欲以观其妙常有欲以观其徼",
+    "finnish": "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, "
+               "lajivirttä laulamahan. Sanat suussani sulavat, puhe'et putoelevat, kielelleni kerkiävät.",
+    "one letter": "x"}
+
+
+def junk():
+    draw = random.Random(1)
+    words = lambda letters: " ".join("".join(draw.choices(letters, k=6)) for _ in range(150))
+    return {"letters": words(string.ascii_lowercase), "base64": base64.b64encode(draw.randbytes(600)).decode(),
+            "consonants": words("bcdfghjklmnpqrstvwxz"), "hex": draw.randbytes(500).hex(), "repeated": "a" * 500}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_junk_goes_and_languages_without_labels_stay_at_every_scale(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    model = langid.fit(docs.where(fold(5) != 0))
+    mixed = small_table(spark, [(k, t) for k, t in {**PROSE, **junk()}.items()], "doc_id string, text string")
+    assert {r.doc_id for r in langid.with_language(mixed, model).collect()} == set(PROSE)
+    with_letter = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert langid.with_language(docs, model).count() == with_letter
