@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ WINDOW = 3  # lines in a window
 SURGE = 80  # characters in a window that start a text on a page that marks no article
 
 # fixed values: elements by their role in HTML
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|noframes|title"
+RAW = "script|style|noscript|template|textarea|iframe|svg|object|canvas|noframes|title"
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search "
@@ -46,6 +47,11 @@ TOPICS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXT_PARTS = HEADINGS | frozenset(
     "section p blockquote pre figure figcaption dt dd table tr td th details summary".split())
+# words that follow such a word where it names a part of the layout, not a subject
+PLACES = frozenset(
+    "area bar block body bottom box button buttons card cards center col column container content feed form group header "
+    "footer icon icons inner item items layer left link links list main module outer panel position posts right row section "
+    "slot space strip tab tabs title top unit wrap wrapper zone".split())
 NOT_AN_ARTICLE = frozenset("comment comments reply replies teaser teasers".split())
 NOT_CONTENT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -55,6 +61,8 @@ _PIECE = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*+>|<[!?][^>]*+>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _LAYOUT = re.compile(r"\b(?:has|with|no|without|is|js)[-_]\w+", re.I)  # words about the layout, not the element
 _TAXONOMY = re.compile(r"(?:category|tag|post_tag|topic|author)[-_].+|comments?[-_](?:open|closed|on|off|status.*)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -63,9 +71,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 def says_not_content(name: str, key: str, value: str, inside: bool) -> bool:
     """Whether a class or an id says that an element holds no main text.
 
-    A token counts by the word it begins with, outside articles also by the one it ends with; tokens that tell what a
-    text is about (category-*, tag-*) do not count. The id of a heading never counts, that of another text element not
-    inside an article, and elsewhere only as a whole. An article goes only if it says that it is a comment or a teaser.
+    A token counts as a whole: where all its words after a word of the list name places (nav-bar, comment-list-item) or
+    are of the list too, and where it ends with such a word (site-footer, post-ad). One that goes on to something else
+    is a subject (cookie-recipe), as are the tokens of a taxonomy (category-*, tag-*). Within an article words that
+    may be a subject count at the end of a token only alone or after another word of the list, and on its text
+    elements never; the id of a heading never counts, that of another text element not inside an article. An article
+    goes only if it says that it is a comment or a teaser.
     """
     if key == "id" and (name in HEADINGS or inside and name in TEXT_PARTS):
         return False
@@ -78,13 +89,12 @@ def says_not_content(name: str, key: str, value: str, inside: bool) -> bool:
                     words[0] in NOT_CONTENT and words[0] not in TOPICS):
                 return True
             continue
-        if key == "id" and name in TEXT_PARTS:
-            told = words if len(words) == 1 else []
-        elif inside:
-            told = [w for w in words[:1] if name not in TEXT_PARTS or w not in TOPICS]
-        else:
-            told = [words[0], words[-1]]
-        if any(w in NOT_CONTENT for w in told):
+        if key == "id" and name in TEXT_PARTS and len(words) > 1:
+            continue
+        listed = NOT_CONTENT - TOPICS if inside and name in TEXT_PARTS else NOT_CONTENT
+        if words[0] in listed and all(w in PLACES or w in NOT_CONTENT for w in words[1:]):
+            return True
+        if words[-1] in (NOT_CONTENT - TOPICS if inside else NOT_CONTENT):
             return True
     return False
 
@@ -110,27 +120,50 @@ def is_left_out(name: str, attrs: str, inside: bool = False) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """Lines of a page in order: text, whether it is left out, whether it lies in a marked article, its link text length."""
-    lines: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, with whether they are left out
-    out = inside = links = linked = 0
+class Line(NamedTuple):
+    text: str
+    left: bool  # left out
+    inside: bool  # in a marked article
+    linked: int  # length of its link text
+    holder: int  # number of the element that its block lies in
+
+
+def lines_of(page: str) -> list[Line]:
+    """Lines of a page in order."""
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether it is left out, its number
+    open_at: dict[str, list[int]] = {}  # by name, where in the stack
+    out = inside = linked = number = 0
+    link: int | None = None  # the open elements around an open link
     text: list[str] = []
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            lines.append((joined, out > 0, inside > 0, linked))
+            lines.append(Line(joined, out > 0, inside > 0, linked, stack[-2][2] if len(stack) > 1 else 0))
         text.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        nonlocal out, inside
-        for name, left in stack[i:]:
+    def start(name: str, left: bool) -> None:
+        nonlocal out, inside, number
+        number += 1
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append((name, left, number))
+        out += left
+        inside += name in MAIN and not left
+
+    def close(name: str) -> None:
+        """Closes the innermost open element of this name, with all in it."""
+        nonlocal out, inside, link
+        at = open_at[name][-1]
+        while len(stack) > at:
+            own, left, _ = stack.pop()
+            open_at[own].pop()
             out -= left
-            inside -= name in MAIN and not left
-        del stack[i:]
+            inside -= own in MAIN and not left
+        if link is not None and link > len(stack):  # what it was opened in is closed
+            link = None
 
     at = 0
     for m in _PIECE.finditer(page):
@@ -138,47 +171,41 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         at = m.end()
         if piece:
             text.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if link is not None else 0
         name = (m["name"] or "").lower()
         if not name:
             continue
         if name == "a":
-            links = 0 if m["end"] else 1
+            link = len(stack) if not m["end"] and _HREF.search(m["attrs"]) else None
             continue
         if name not in BLOCKS and name not in LEFT_OUT:
             if not m["end"] and name not in VOID and not m["attrs"].endswith("/") and is_left_out(
                     name, m["attrs"], inside > 0):
                 flush()
-                stack.append((name, True))
-                out += 1
-            elif m["end"] and any(n == name for n, _ in stack):
+                start(name, True)
+            elif m["end"] and open_at.get(name):
                 flush()
-                close(max(i for i, (n, _) in enumerate(stack) if n == name))
-            elif not m["end"] and any(n == name and left for n, left in stack[-1:]):
-                stack.append((name, False))
+                close(name)
+            elif not m["end"] and stack and stack[-1][:2] == (name, True):
+                start(name, False)
             continue
         flush()
         if name in VOID:
             continue
         if m["end"]:
-            where = [i for i, (n, _) in enumerate(stack) if n == name]
-            if where:
-                close(where[-1])
+            if open_at.get(name):
+                close(name)
             continue
-        if name == "body":
-            where = [i for i, (n, _) in enumerate(stack) if n == "head"]
-            if where:
-                close(where[0])
+        if name == "body" and open_at.get("head"):
+            close("head")
         if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-            close(len(stack) - 1)
+            close(stack[-1][0])
         if stack and stack[-1][0] in SIBLINGS.get(name, ()):
-            close(len(stack) - 1)
-        left = is_left_out(name, m["attrs"], inside > 0)
-        stack.append((name, left))
-        out += left
-        inside += name in MAIN and not left
+            close(stack[-1][0])
+        start(name, is_left_out(name, m["attrs"], inside > 0))
     if at < len(page):
         text.append(page[at:])
+        linked += len(page) - at if link is not None else 0
     flush()
     return lines
 
@@ -210,15 +237,18 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(inside and not left for _, left, inside, _ in lines)
+    marked = any(x.inside and not x.left for x in lines)
     weights = np.array([
-        0 if left or (marked and not inside) else len(t) if marked else max(len(t) - 2 * linked, 0)
-        for t, left, inside, linked in lines], np.int64)
+        0 if x.left or (marked and not x.inside) else len(x.text) if marked else max(len(x.text) - 2 * x.linked, 0)
+        for x in lines], np.int64)
     kept = between(weights, window, 1 if marked else surge)
     if not kept.any():  # a page of a few short lines has no surge but its first line
         kept = between(weights, window, 1)
-    return " ".join(
-        t for (t, left, inside, _), keep in zip(lines, kept) if keep and not left and (inside or not marked))
+    # sentences that stand beside kept text go on with it, also behind a dive
+    holders = {x.holder for x, keep, w in zip(lines, kept, weights) if keep and w and _SENTENCE.search(x.text[-12:])}
+    kept |= np.array([bool(w) and x.holder in holders and _SENTENCE.search(x.text[-12:]) is not None
+                      for x, w in zip(lines, weights)], bool)
+    return " ".join(x.text for x, keep in zip(lines, kept) if keep and not x.left and (x.inside or not marked))
 
 
 def extract(df: DataFrame, html_column: str = "html", text_column: str = "text", window: int = WINDOW,

@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -89,3 +92,85 @@ def test_table(spark):
     got = sorted((r.page_id or 0, len(r.text)) for r in out.collect())
     assert got == [(0, 99999), (1, len(TEXT)), (1, len(TEXT)), (2, 0), (3, 0)]
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='cookie-recipe'>Kept</div>", "<div class='widget-theory'><p>Kept</p></div>", "<div id='related-work'>Kept</div>",
+    "<p>Kept</p>", "<p><math><mi>Kept</mi></math></p>", "<div class='ad-hoc-networks'>Kept</div>"])
+def test_subjects_of_an_article_stay(part):
+    assert html_text.main_text(page(inside=ARTICLE.replace("</p><p>", "</p>" + part + "<p>"))) == TEXT.replace("S. Last", "Kept S. Last")
+
+
+@pytest.mark.parametrize("noise", [
+    "<section class='article-comments'><p>I agree</p></section>", "<div class='post-ad'>Buy</div>", "<div class='ad-slot-top'>Buy</div>",
+    "<div id='comments'><p>I agree</p></div>", "<ol class='comment-list'><li>I agree</ol>", "<div class='cookie-notice'>ok</div>"])
+def test_comments_and_adverts_in_an_article_go(noise):
+    assert html_text.main_text(page(inside=ARTICLE.replace("</p><p>", "</p>" + noise + "<p>"))) == TEXT
+
+
+SENTENCES = "".join(f"<p>{'Some sentence of the text. ' * 5}{i}.</p>" for i in range(4))
+LINKS = "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(4))
+
+
+def test_text_behind_a_dive_goes_on():
+    got = html_text.main_text(f"<body><div>{SENTENCES}{LINKS}<p>A last short one.</p></div><div>{LINKS}<div><p>Made by us.</p></div></div></body>")
+    assert got.endswith("3. A last short one.") and "Link" not in got
+
+
+@pytest.mark.parametrize("opening", ["<a name=x>", "<p><a href=/x>Up</p>", "<a id='top'><a name=y>"])
+def test_links_that_are_not_closed(opening):
+    got = html_text.main_text(f"<body><div>{opening}</div><div class='legal-history'>{SENTENCES}</div></body>")
+    assert got.endswith("3.") and got.count("Some sentence") == 20
+
+
+def test_the_window_sums_decide_on_pages_that_mark_nothing(monkeypatch):
+    text = f"<body><div>Home</div><div>About us</div>{LINKS}<div>{SENTENCES}</div>{LINKS}<div>Tel. 12 34</div></body>"
+    got = html_text.main_text(text)
+    assert got.startswith("Some sentence") and got.endswith("3.")
+    monkeypatch.setattr(html_text, "between", lambda weights, window, surge: weights > 0)
+    assert html_text.main_text(text) != got
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        assert html_text.main_text("<div>" * n + "<p>x</p>" + "</div>" * n) == "x"
+        return time.perf_counter() - began
+
+    assert seconds(40000) < 2
+
+
+class Articles(HTMLParser):
+    """The text of the article by the parser of the standard library: every element but those by name left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.depth, self.skipped = [[]], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skipped += tag in ("nav", "footer", "script", "style") or tag == "div" and ("class", "ad") in attrs
+        if tag in html_text.BLOCKS:
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skipped -= tag in ("nav", "footer", "script", "style") or tag == "div" and self.skipped > 0
+        if tag in html_text.BLOCKS:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.depth and not self.skipped:
+            self.blocks[-1].append(data)
+
+    def text(self):
+        return " ".join(t for t in (" ".join("".join(b).split()) for b in self.blocks) if t)
+
+
+def test_given_pages_agree_with_a_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in html_text.extract(pages).select("html", "text").collect():
+        parser = Articles()
+        parser.feed(r.html or "")
+        parser.close()
+        assert r.text == parser.text()
