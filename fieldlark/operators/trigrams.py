@@ -22,6 +22,8 @@ from fieldlark.operators.triples import exists
 from fieldlark.session import cut_lineage
 
 LENGTH = 3
+# a run may start at any letter, but not inside one of two UTF-16 units
+RUN = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
 GRAM_BUCKETS = 64
 MOST_BUCKETS = 4096
 NAMES_A_BUCKET = 100_000
@@ -50,6 +52,11 @@ def grams(letters: Column) -> Column:
     return F.when(F.size(letters) >= LENGTH, runs).otherwise(F.array().cast("array<string>"))
 
 
+def runs(value: Column) -> Column:
+    """The different runs of three code points of a text, in one pass of compiled code; none for fewer."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(RUN), F.lit(1)))
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -65,11 +72,15 @@ def posting_table(names: DataFrame, buckets: int) -> DataFrame:
     *names* holds the compared forms (see ``queries.name_table``); *forms* has bit i set where the trigram stands in
     form i. Rows of a frequent trigram stay rows, no list of them is ever gathered.
     """
-    def of_form(number: int, form: str) -> DataFrame:
-        spelt = names.where(F.col(form).isNotNull()).select("species", letters(F.col(form)).alias("letters"))
-        return spelt.select("species", F.explode(grams(F.col("letters"))).alias("gram"), F.lit(1 << number).alias("form"))
-
-    rows = reduce(lambda a, b: a.unionByName(b), [of_form(i, form) for i, form in enumerate(FORMS)])
+    # forms that are spelt alike are taken apart once
+    spelt = []
+    for number, form in enumerate(FORMS):
+        alike = [F.when(F.col(form).eqNullSafe(F.col(other)), 1 << i).otherwise(0) for i, other in enumerate(FORMS)]
+        is_first = reduce(lambda a, b: a & b, [~F.col(form).eqNullSafe(F.col(other)) for other in FORMS[:number]], F.col(form).isNotNull())
+        spelt.append(F.when(is_first, F.struct(
+            F.col(form).alias("text"), reduce(lambda a, b: a + b, alike).alias("form"))))
+    rows = names.select("species", F.explode(F.array_compact(F.array(*spelt))).alias("spelt")).select(
+        "species", "spelt.form", F.explode(runs(F.col("spelt.text"))).alias("gram"))
     return rows.groupBy("gram", "species").agg(F.bit_or("form").alias("forms")).select(
         "gram", "forms", bucket_of(F.col("species"), buckets).alias("bucket"), "species")
 
@@ -79,15 +90,15 @@ def count_table(postings: DataFrame) -> DataFrame:
     return postings.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def write_index(names: DataFrame, path: str) -> int:
+def write_index(names: DataFrame, path: str, buckets: int | None = None) -> int:
     """Store *names* by bucket, their postings by trigram and the counts, in new folders ``names``, ``postings``, ``grams``.
 
-    Gives the number of buckets, which grows with the names.
+    Gives the number of buckets, which grows with the names unless it is given.
     """
     spark = names.sparkSession
-    names = cut_lineage(names, "names")
-    buckets = bucket_count(names.count())
+    buckets = bucket_count(names.count()) if buckets is None else buckets
     write_by_bucket(names, buckets, ["species", "kind", "name"], f"{path}/names")
+    names = spark.read.schema(NAME_SCHEMA).parquet(f"{path}/names")
     postings = posting_table(names, buckets).withColumn("gram_bucket", bucket_of(F.col("gram"), GRAM_BUCKETS))
     postings.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram", "species").write.partitionBy(
         "gram_bucket").parquet(f"{path}/postings")

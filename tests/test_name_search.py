@@ -81,3 +81,19 @@ def test_no_names(spark, tmp_path):
 
 def test_bucket_count_grows_with_the_names():
     assert [trigrams.bucket_count(n) for n in (0, 99_999, 100_000, 10**7, 10**12)] == [1, 1, 2, 128, trigrams.MOST_BUCKETS]
+
+
+def test_postings_are_those_of_all_runs_and_each_run_of_a_text_is_made_once(spark):
+    texts = ["Épervier à gros  bec", "a𝒳 b𝒴𝒵 c", "ab c\n d e", "nul\x00x yz", "a", "", None, "word word word word", "日本 語 テスト"]
+    names = queries.name_table(spark.createDataFrame([(str(i), "k", x) for i, x in enumerate(texts)], SCHEMA)).cache()
+    want = {}
+    for row in names.collect():
+        for i, form in enumerate(trigrams.FORMS):
+            value = row[form] or ""
+            for at in range(len(value) - 2):
+                key = value[at:at + 3], row.species
+                want[key] = want.get(key, 0) | 1 << i
+    got = trigrams.posting_table(names, 4).collect()
+    assert {(r.gram, r.species): r.forms for r in got} == want and len(got) == len(want)
+    repeated = spark.createDataFrame([("word " * 1000,)], "x string").select(F.size(trigrams.runs(F.col("x"))).alias("n")).first()
+    assert repeated.n == 5
