@@ -27,7 +27,7 @@ NAMES = f"scientific_name, common_name_en, common_name_da, {NONE} as common_name
       {RANK.format('status')} as rank
     from latest l join $species s on s.species = l.species where rn = 1""")
 def _(t):
-    return t.saved.nearby_watch(radius_km=25.0)
+    return t.saved("species", "observations").nearby_watch(radius_km=25.0)
 
 
 @query("kg_find_by_name", f"""
@@ -35,28 +35,28 @@ def _(t):
       {NONE} as habitat, status, migration_status
     from $species where {name_condition(COMPAT, 'fugl 1', 'fugl 1', ['scientific_name', 'common_name_en', 'common_name_da'])}""")
 def _(t):
-    return t.saved.find_species_by_name("FUGL 1")
+    return t.saved("species", "habitats", "names").find_species_by_name("FUGL 1")
 
 
 @query("kg_recent", f"""
     select o.*, {NONE} as locality, {NAMES} from (select * from {OBSERVED} x order by observed_on desc, obs_id limit 1000) o
     join $species s on s.species = o.species""")
 def _(t):
-    return t.saved.recent_observations(limit=1000)
+    return t.saved("species", "observations").recent_observations(limit=1000)
 
 
 @query("kg_species_by_family", f"""
     select species, scientific_name, common_name_en, common_name_da, ebird_code, {NONE} as thumbnail
     from $species where contains(lower(family), 'family1')""")
 def _(t):
-    return t.saved.species_by_family("FAMILY1")
+    return t.saved("species", "ranks").species_by_family("FAMILY1")
 
 
 @query("kg_map", f"""
     select o.*, {NONE} as locality, {NAMES}, status from {OBSERVED} o join $species s on s.species = o.species
     where contains(lower(order_name), 'order2')""")
 def _(t):
-    return t.saved.observations_for_map(order_filter="ORDER2", ordered=False)
+    return t.saved("species", "ranks", "observations").observations_for_map(order_filter="ORDER2", ordered=False)
 
 
 @query("kg_present_in_month", f"""
@@ -70,13 +70,13 @@ def _(t):
 @query("kg_species_by_order", """
     select species, scientific_name, common_name_en, family from $species where contains(lower(order_name), 'order2')""")
 def _(t):
-    return t.saved.species_by_order("Order2")
+    return t.saved("species", "ranks").species_by_order("Order2")
 
 
 @query("kg_observed_species", f"""
     select species, {NAMES} from $species where species in (select species from $observation)""")
 def _(t):
-    return t.saved.list_observed_species()
+    return t.saved("species").list_observed_species()
 
 
 @query("kg_recent_named", f"""
@@ -86,19 +86,19 @@ def _(t):
     join $species s on s.species = o.species""")
 def _(t):
     """The index finds the species, and months are read until forty of their observations are found."""
-    return t.saved.recent_observations("FUGL 1", fold="full", limit=40)
+    return t.saved("species", "names", "observations").recent_observations("FUGL 1", fold="full", limit=40)
 
 
 @query("kg_map_named", f"""
     select o.*, {NONE} as locality, {NAMES}, status from {OBSERVED} o join $species s on s.species = o.species
     where {name_condition(FULL, 'genus1 sp', 'genus1 sp', ['scientific_name', 'common_name_en', 'common_name_da'])}""")
 def _(t):
-    return t.saved.observations_for_map("Genus1 SP", ordered=False)
+    return t.saved("species", "names", "observations").observations_for_map("Genus1 SP", ordered=False)
 
 
 @query("kg_summary", SUMMARY)
 def _(t):
-    return t.saved.taxonomy_summary()
+    return t.saved().taxonomy_summary()
 
 
 @query("kg_network_edges", f"""
@@ -107,7 +107,7 @@ def _(t):
       union select e.child, e.parent from up join $taxon_edge e on e.child = up.parent)
     select child, parent from up""")
 def _(t):
-    return t.saved.taxonomy_network(order_filter="ORDER1")[1]
+    return t.saved("species").taxonomy_network(order_filter="ORDER1")[1]
 
 
 @query("kg_network_nodes", f"""
@@ -120,7 +120,7 @@ def _(t):
     from (select distinct parent as node from up) a
     left join (select s, o from $graph where p = '@DWC@scientificName') g on g.s = node""")
 def _(t):
-    return t.saved.taxonomy_network(order_filter="ORDER1")[0]
+    return t.saved("species").taxonomy_network(order_filter="ORDER1")[0]
 
 
 @query("kg_present_stored", f"""
@@ -129,8 +129,8 @@ def _(t):
 def _(t):
     """The same from months and status that were stored with the graph."""
     path = scratch_path(t.spark, "present")
-    KnowledgeGraph(union_graphs(t.graph, migration_rule(t.graph, V)), V).save(path)
-    return KnowledgeGraph.load(t.spark, path, V).currently_present(6)
+    KnowledgeGraph(union_graphs(t.graph, migration_rule(t.graph, V)), V).save(path, ["species", "months"])
+    return KnowledgeGraph.load(t.spark, path, V, tables=["species", "months"]).currently_present(6)
 
 
 @query("indexed_find_by_name", find_sql(COMPAT, "réê", "ree"))

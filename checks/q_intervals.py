@@ -27,13 +27,13 @@ def _(t):
 @query("below_family", f"""
     with recursive {PAIRS} select node from pairs where ancestor = '@FAM@7' and node <> ancestor""")
 def _(t):
-    return t.saved.taxa_below(V.taxon("family/7")).select("node")
+    return t.saved("taxa").taxa_below(V.taxon("family/7")).select("node")
 
 
 @query("ancestors_of_species", f"""
     with recursive {PAIRS} select ancestor from pairs where node = '@SP@c7'""")
 def _(t):
-    return t.saved.ancestors(V.taxon("species/c7")).select(F.col("node").alias("ancestor"))
+    return t.saved("taxa").ancestors(V.taxon("species/c7")).select(F.col("node").alias("ancestor"))
 
 
 @query("observed_below", f"""
@@ -41,7 +41,7 @@ def _(t):
       every as (select node, node as ancestor from pairs union select ancestor, ancestor from pairs union select node, ancestor from pairs)
     select ancestor as node, count(distinct seen.node) as n_below from every left join seen on seen.node = every.node group by ancestor""")
 def _(t):
-    return t.saved.observed_below().select("node", "n_below")
+    return t.saved("taxa").observed_below().select("node", "n_below")
 
 
 @query("cyclic_taxa", """

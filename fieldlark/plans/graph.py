@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -165,45 +166,69 @@ class KnowledgeGraph:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     index: trigrams.TrigramIndex | None = None
     months: dict[int, int] = field(default_factory=dict)  # stored observations of each month
+    is_distinct: bool = False  # no triple is there twice, so that saving need not look for copies
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, vocab: Vocab = DEFAULT, form: str = "saved", strict: bool = True) -> KnowledgeGraph:
+    def load(
+        cls, spark: SparkSession, path: str, vocab: Vocab = DEFAULT, form: str = "saved", strict: bool = True,
+        tables: Iterable[str] | None = None,
+    ) -> KnowledgeGraph:
         """Graph of a folder. *form* says what the folder holds: ``saved`` (by ``save``), ``parquet`` (triples by
-        predicate, by ``write_graph``) or ``ntriples``; lines that do not parse are an error unless *strict* is off."""
+        predicate, by ``write_graph``) or ``ntriples``; lines that do not parse are an error unless *strict* is off.
+        *tables* are the typed tables that were saved, if not all were; others are derived from the triples."""
         if form == "ntriples":
-            return cls(graph_files.read_ntriples(spark, path, strict), vocab)
+            return cls(graph_files.read_ntriples(spark, path, strict), vocab, is_distinct=True)
         if form == "parquet":
             return cls(graph_files.read_graph(spark, path), vocab)
         if form != "saved":
             raise ValueError(f"no such form of a graph: {form}")
-        triples, index = graph_files.read_graph(spark, f"{path}/triples"), trigrams.TrigramIndex.load(spark, path)
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES.keys() - {"names", "species", "observations"}}
+        wanted = _known(tables)
+        triples = graph_files.read_graph(spark, f"{path}/triples")
+        index = trigrams.TrigramIndex.load(spark, path) if "names" in wanted else None
+        opened = {name: spark.read.parquet(f"{path}/{name}") for name in wanted - {"names", "species", "observations"}}
         # a table by bucket or month may have no file to read the schema from
         by_bucket = T.StructType([*species_table(triples, vocab).schema.fields, T.StructField("bucket", T.IntegerType())])
         by_month = T.StructType([*observation_table(triples, vocab).schema.fields, T.StructField("cell", T.LongType()),
                                  T.StructField("month", T.IntegerType())])
-        tables |= {"names": index.names, "species": spark.read.schema(by_bucket).parquet(f"{path}/species"),
-                   "observations": spark.read.schema(by_month).parquet(f"{path}/observations")}
-        months = {r.month: r.n for r in recency.read_counts(spark, path).collect()}  # one number a month
-        return cls(triples, vocab, tables, index, months)
-
-    def save(self, path: str) -> None:
+        months: dict[int, int] = {}
+        if index is not None:
+            opened["names"] = index.names
+        if "species" in wanted:
+            opened["species"] = spark.read.schema(by_bucket).parquet(f"{path}/species")
+        if "observations" in wanted:
+            opened["observations"] = spark.read.schema(by_month).parquet(f"{path}/observations")
+            months = {r.month: r.n for r in recency.read_counts(spark, path).collect()}  # one number a month
+        return cls(triples, vocab, opened, index, months, is_distinct=True)
+
+    def save(self, path: str, tables: Iterable[str] | None = None) -> None:
         """Write the triples by predicate, the typed tables that the queries read, and the index of names.
 
-        The triples are written first and the tables derived from the files. Observations lie in a folder
-        per month, so that the newest are read alone, and are ordered along a curve through the places, so that a
-        search around a point skips row groups on both axes; taxa in the order of their intervals; species and names
-        by bucket, which is what a name search looks up.
+        The triples are written first and the tables derived from the files; *tables* names those to write, else all.
+        """
+        graph_files.write_graph(self.triples, f"{path}/triples", self.is_distinct)
+        stored = graph_files.read_graph(self.triples.sparkSession, f"{path}/triples")
+        KnowledgeGraph(stored, self.vocab).save_tables(path, tables)
+
+    def save_tables(self, path: str, tables: Iterable[str] | None = None) -> None:
+        """Write typed tables, all or these, to new folders beside the triples.
+
+        Observations lie in a folder per month, so that the newest are read alone, and are ordered along a curve
+        through the places, so that a search around a point skips row groups on both axes; taxa in the order of their
+        intervals; species and names by bucket, which is what a name search looks up.
         """
-        spark = self.triples.sparkSession
-        graph_files.write_graph(self.triples, f"{path}/triples")
-        stored = KnowledgeGraph(graph_files.read_graph(spark, f"{path}/triples"), self.vocab)
-        buckets = trigrams.write_index(stored.table("names"), path)
-        trigrams.write_by_bucket(stored.table("species"), buckets, ["family", "species"], f"{path}/species")
-        recency.write_by_month(
-            stored.table("observations").withColumn("cell", curve.z_key(F.col("lat"), F.col("lon"))), ["cell", "obs_id"], path)
-        for name in TABLES.keys() - {"names", "species", "observations"}:
-            table = stored.table(name)
+        wanted = _known(tables)
+        if wanted & {"names", "species"}:  # both by the same buckets, whichever is written first
+            species = instances(self.triples, self.vocab.term("Species"), "species").count()
+            buckets = trigrams.bucket_count(len(queries.NAMES) * species)
+        if "names" in wanted:
+            trigrams.write_index(self.table("names"), path, buckets)
+        if "species" in wanted:
+            trigrams.write_by_bucket(self.table("species"), buckets, ["family", "species"], f"{path}/species")
+        if "observations" in wanted:
+            recency.write_by_month(
+                self.table("observations").withColumn("cell", curve.z_key(F.col("lat"), F.col("lon"))), ["cell", "obs_id"], path)
+        for name in wanted - {"names", "species", "observations"}:
+            table = self.table(name)
             table = table.repartitionByRange("lo").sortWithinPartitions("lo") if name == "taxa" else table
             table.write.parquet(f"{path}/{name}")
 
@@ -327,3 +352,11 @@ TABLES = {
     "months": month_table,
     "taxa": taxon_table,
 }
+
+
+def _known(tables: Iterable[str] | None) -> set[str]:
+    """These tables, or all; an error for a name that no table has."""
+    wanted = set(TABLES if tables is None else tables)
+    if wanted - TABLES.keys():
+        raise ValueError(f"no such tables: {sorted(wanted - TABLES.keys())}")
+    return wanted

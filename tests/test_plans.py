@@ -14,6 +14,7 @@ from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import inference, occurrences, queries
 from fieldlark.operators.triples import scan
 from fieldlark.sources import graph_files
+from tests.conftest import rows, two_species
 
 ROOT = Path(__file__).resolve().parent.parent
 FOLDER = "/root/testdata/sf0.001"
@@ -132,3 +133,18 @@ def test_facade_reads_stored_tables(spark, tmp_path):
         assert sorted(map(str, ask(kg).collect())) == sorted(map(str, ask(derived).collect()))
     text = plan(derived.species_by_family("family1"))
     assert "wingspanMm" not in text and "massGrams" not in text
+
+
+def test_only_the_named_tables_are_saved_and_the_others_are_derived(spark, triples, tmp_path):
+    graph = KnowledgeGraph(triples(two_species()), V)
+    path = str(tmp_path / "graph")
+    graph.save(path, ["taxa"])
+    assert sorted(p.name for p in (tmp_path / "graph").iterdir()) == ["taxa", "triples"]
+    loaded = KnowledgeGraph.load(spark, path, V, tables=["taxa"])
+    assert set(loaded.tables) == {"taxa"} and loaded.is_distinct
+    assert rows(loaded.taxa_below(V.taxon("family/Picidae")), "node") == [V.taxon("species/euwoo1")]
+    loaded.save_tables(path, ["species"])
+    again = KnowledgeGraph.load(spark, path, V, tables=["taxa", "species"])
+    assert rows(again.species("scientific_name"), "scientific_name") == rows(graph.species("scientific_name"), "scientific_name")
+    with pytest.raises(ValueError):
+        graph.save(path + "2", ["nests"])
