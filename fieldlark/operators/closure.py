@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlark.operators.joins import spread_join
+from fieldlark.operators.joins import sized, spread_join
 from fieldlark.session import cut_lineage
 
 
@@ -23,12 +23,13 @@ def transitive_pairs(edges: DataFrame) -> DataFrame:
         edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "pairs")
     frontier = known
     while True:
+        sided = sized(known)
         longer = (
             spread_join(
-                frontier.withColumnRenamed("ancestor", "via"), known.withColumnRenamed("node", "via"), "via")
+                frontier.withColumnRenamed("ancestor", "via"), sided.withColumnRenamed("node", "via"), "via")
             .select("node", "ancestor")
             .distinct()
-            .join(known, ["node", "ancestor"], "left_anti")
+            .join(sided, ["node", "ancestor"], "left_anti")
         )
         frontier = cut_lineage(longer, "pairs")
         if frontier.isEmpty():

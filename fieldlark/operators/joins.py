@@ -11,10 +11,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # rows with a NULL key go to this many groups
 NULL_GROUPS = 4096
+# a table of at most this many rows is sent to every task. The optimizer goes by the size of files, and rows of IRIs
+# that are much alike take some forty times the room in memory
+SENT_ROWS = 1 << 16
+# 64-bit words of the filter that stands for a table of more rows
+FILTER_WORDS = 1 << 18
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -35,3 +40,44 @@ def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
         left.withColumn("_spread", F.when(unmatched, group).otherwise(zero))
         .join(right.withColumn("_spread", zero), [*on, "_spread"], how).drop("_spread")
     )
+
+
+def _slot(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in on]), F.lit(64 * FILTER_WORDS))
+
+
+def _filtered(large: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of *large* with ``_may``: whether their key may be among *keys*. Only a bitmap of bounded size is sent."""
+    slots = keys.select(_slot(on).alias("_slot"))
+    words = slots.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
+    bit = F.getbit(F.col("_bits"), (_slot(on) % 64).cast("int"))
+    return (
+        large.withColumn("_word", F.shiftright(_slot(on), 6)).join(F.broadcast(words), "_word", "left")
+        .withColumn("_may", F.coalesce(bit, F.lit(0)) == 1).drop("_word", "_bits")
+    )
+
+
+def has_few_rows(rows: DataFrame) -> bool:
+    return rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+
+
+def join_written(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of *large* with *small*, which is read from files; how is inner, left_semi or left_anti.
+
+    A *small* of few rows, by count, is broadcast. Of a larger one only a bitmap of its keys is: rows that may match
+    are shuffled with it, all others are dropped, or kept by left_anti, where they are read.
+    """
+    on = [on] if isinstance(on, str) else on
+    if how != "inner":
+        small = small.select(*on)
+    if has_few_rows(small):
+        return large.join(F.broadcast(small if how == "inner" else small.distinct()), on, how)
+    marked = _filtered(large, small, on)
+    met = spread_join(marked.where("_may").drop("_may"), (small if how == "inner" else small.distinct()).hint("merge"), on, how)
+    return met.unionByName(marked.where("not _may").drop("_may")) if how == "left_anti" else met
+
+
+def sized(written: DataFrame) -> DataFrame:
+    """A table that is read from files, for a join: broadcast if its rows are few, else always shuffled."""
+    return F.broadcast(written) if has_few_rows(written) else written.hint("merge")

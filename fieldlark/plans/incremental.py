@@ -7,8 +7,9 @@ triple that went (over-deletion), keeps those of them that other triples still y
 changed in a part is the change that the next rule sees.
 
 Whatever is as large as the graph is only read through a join with a small written
-table of changed keys, so it is filtered where it is scanned; the optimizer broadcasts
-the small side by its size and shuffles when a change is large.
+table of changed keys, so it is filtered where it is scanned: by the keys themselves,
+where they are few, else by a bitmap of bounded size, behind which the rows that are
+left are shuffled (``join_written``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from fieldlark.model.types import TRIPLE, TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure, inference
 from fieldlark.operators.inference import iri_rows
+from fieldlark.operators.joins import join_written
 from fieldlark.operators.triples import pattern, scan
 from fieldlark.plans.reasoning import RULE_NAMES
 from fieldlark.session import cut_lineage
@@ -58,16 +60,17 @@ def union(graphs: list[DataFrame]) -> DataFrame:
 
 def within(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """Rows of *large* whose key is in *small*."""
-    return large.join(small.select(*on).distinct(), on, "left_semi")
+    return join_written(large, small, on, "left_semi")
 
 
 def minus(rows: DataFrame, other: DataFrame) -> DataFrame:
-    return rows.join(other, TRIPLE_COLUMNS, "left_anti")
+    return join_written(rows, other, TRIPLE_COLUMNS, "left_anti")
 
 
 def absent_from(large: DataFrame, rows: DataFrame) -> DataFrame:
-    """The *rows* that *large* does not hold; *large* is first cut down to them."""
-    return minus(rows, within(large, rows, TRIPLE_COLUMNS))
+    """The *rows* that *large* does not hold; *large* is first cut down to them, and to their predicates."""
+    named = [r.p for r in rows.select("p").distinct().collect()]
+    return minus(rows, cut_lineage(within(large.where(F.col("p").isin(named)), rows, TRIPLE_COLUMNS), "held"))
 
 
 def _written(rows: DataFrame, label: str) -> DataFrame:
@@ -78,18 +81,18 @@ def _written(rows: DataFrame, label: str) -> DataFrame:
 
 def _through(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, ancestor) pairs of which some path uses one of the *edges* (node, ancestor), with *pairs* closed."""
-    up = edges.withColumnRenamed("node", "via").join(pairs.withColumnRenamed("ancestor", "via"), "via").select("node", "ancestor")
+    up = join_written(pairs.withColumnRenamed("ancestor", "via"), edges.withColumnRenamed("node", "via"), "via").select("node", "ancestor")
     upto = cut_lineage(edges.unionByName(up).distinct(), "through")
-    on = upto.withColumnRenamed("ancestor", "via").join(pairs.withColumnRenamed("node", "via"), "via").select("node", "ancestor")
+    on = join_written(pairs.withColumnRenamed("node", "via"), upto.withColumnRenamed("ancestor", "via"), "via").select("node", "ancestor")
     return cut_lineage(upto.unionByName(on).distinct(), "through")
 
 
 def _closed_over(found: DataFrame) -> DataFrame:
     """*found* with all chains of its pairs."""
     while True:
-        chains = found.withColumnRenamed("ancestor", "via").join(found.withColumnRenamed("node", "via"), "via")
+        chains = join_written(found.withColumnRenamed("ancestor", "via"), found.withColumnRenamed("node", "via"), "via")
         more = cut_lineage(
-            chains.select("node", "ancestor").distinct().join(found, ["node", "ancestor"], "left_anti"), "through")
+            join_written(chains.select("node", "ancestor").distinct(), found, ["node", "ancestor"], "left_anti"), "through")
         if more.isEmpty():
             return found
         found = found.unionByName(more)
@@ -113,10 +116,10 @@ def revise_parents(old: DataFrame, fresh: DataFrame, known: DataFrame, change: C
         # what is above the nodes in doubt, and the links that are left there
         nodes = doubtful.select("node").distinct()
         region = cut_lineage(within(closed, nodes, ["node"]).select(F.col("ancestor").alias("node")).unionByName(nodes).distinct(), "region")
-        left = within(pairs(old), region, ["node"]).join(gone, ["node", "ancestor"], "left_anti")
+        left = join_written(within(pairs(old), region, ["node"]), gone, ["node", "ancestor"], "left_anti")
         around = closure.transitive_pairs(left.withColumnsRenamed({"node": "child", "ancestor": "parent"}))
         kept = cut_lineage(within(around, doubtful, ["node", "ancestor"]), "kept")
-        intact = closed.join(doubtful, ["node", "ancestor"], "left_anti").unionByName(kept)
+        intact = join_written(closed, doubtful, ["node", "ancestor"], "left_anti").unionByName(kept)
     found = new if new.isEmpty() else _closed_over(_through(new, intact))
     return Revision(rows(doubtful), rows(kept.unionByName(found)))
 
@@ -178,14 +181,19 @@ def revise_same_as(old: DataFrame, fresh: DataFrame, known: DataFrame, change: C
         return graph.where(F.col("p") != v.SAME_AS)
 
     def copied(rows, over):
-        return rows.join(over, "s").select(F.col("target").alias("s"), *carried)
+        """*over* are links of the change, or links cut down to it."""
+        return join_written(rows, over, "s").select(F.col("target").alias("s"), *carried)
+
+    def links_from(graph, rows):
+        return cut_lineage(within(links(graph), rows, ["s"]), "links")
 
     went, came = cut_lineage(links(change.gone), "links"), cut_lineage(links(change.new), "links")
-    doubtful = _written(copied(facts(change.gone), links(old)).unionByName(copied(facts(old), went)), "doubtful")
+    doubtful = _written(
+        copied(facts(change.gone), links_from(old, change.gone)).unionByName(copied(facts(old), went)), "doubtful")
     doubt = doubtful.unionByName(facts(change.gone))
     sources = cut_lineage(within(links(fresh), doubt.select(F.col("s").alias("target")), ["target"]), "links")
     kept = within(copied(facts(fresh), sources), doubt, TRIPLE_COLUMNS)
-    found = copied(facts(change.new), links(fresh)).unionByName(copied(facts(fresh), came))
+    found = copied(facts(change.new), links_from(fresh, change.new)).unionByName(copied(facts(fresh), came))
     return Revision(doubtful, kept.unionByName(found))
 
 
@@ -194,7 +202,7 @@ def revise_migration(old: DataFrame, fresh: DataFrame, known: DataFrame, change:
     own = [vocab.has_observation, vocab.term("migrationStatus"), vocab.term("typicallyPresentInMonth")]
     both = change.gone.unionByName(change.new)
     dated = cut_lineage(pattern(both, "obs", vocab.term("observedOn"), "date").select("obs").distinct(), "dated")
-    seen = within(pattern(old.unionByName(change.new), "s", vocab.has_observation, "obs"), dated, ["obs"])
+    seen = cut_lineage(within(pattern(old.unionByName(change.new), "s", vocab.has_observation, "obs"), dated, ["obs"]), "seen")
     species = cut_lineage(
         both.where(F.col("p").isin(own)).select("s").unionByName(scan(both, p=v.TYPE, o=vocab.term("Species")).select("s"))
         .unionByName(seen.select("s")).distinct(), "touched")
@@ -236,8 +244,9 @@ def update(
         doubtful, holding = revise(old, fresh, known, change, vocab)
         doubtful = _written(within(known, cut_lineage(doubtful, "doubtful"), TRIPLE_COLUMNS), "doubtful")
         holding = _written(holding, "holding")
+        underived = _written(absent_from(fresh, holding), "underived")
         less = _written(minus(doubtful, holding).unionByName(within(known, change.new, TRIPLE_COLUMNS)), "less")
-        more = _written(absent_from(known, absent_from(fresh, holding)), "more")
+        more = _written(absent_from(known, underived), "more")
         changed.append(revised(known, less, more))
         change = Change(
             _written(minus(minus(change.gone.unionByName(doubtful), holding), change.new), "gone"),

@@ -10,6 +10,7 @@ from fieldlark.model import vocab as v
 from fieldlark.model.ontology import ontology_triples
 from fieldlark.model.types import TRIPLE, TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT as V
+from fieldlark.operators import joins
 from fieldlark.plans.incremental import load_parts, save_parts, update
 from fieldlark.plans.reasoning import run_reasoner
 from tests.conftest import iri, sighting_facts, text, two_species
@@ -119,3 +120,14 @@ def test_the_graph_is_not_shuffled(spark, base, tmp_path):
     got = update(stored, graph(spark, chain("d", "p")), graph(spark, [same("robi", "http://x/hub")]), V)
     plan = got.triples._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_change_of_many_rows(spark, base, monkeypatch):
+    """With no table few enough to be sent: every join of the change goes by filter and shuffle."""
+    monkeypatch.setattr(joins, "SENT_ROWS", 0)
+    rows, _ = base
+    added, removed = [*chain("d", "p"), same("robi", "http://x/new")], [*chain("a", "b"), same("euwoo1", "http://x/hub")]
+    less = [r for r in rows if r not in set(added)]
+    updated = update(run_reasoner(graph(spark, less), V).parts, graph(spark, added), graph(spark, removed), V)
+    fresh = run_reasoner(graph(spark, [r for r in {*less, *added} if r not in set(removed)]), V)
+    assert sets(updated.parts) == sets(fresh.parts)

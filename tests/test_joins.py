@@ -88,3 +88,16 @@ def test_reads_each_side_once(spark, no_broadcast, tmp_path):
     left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert executed(joins.spread_join(left, right, "k", how)).split("== Initial")[0].count("Scan parquet") == 2
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_written_table_is_sent_by_its_rows(spark, monkeypatch, how, sent):
+    """A table of many rows is not broadcast, however small its files are; a filter of bounded size is."""
+    monkeypatch.setattr(joins, "SENT_ROWS", sent)
+    monkeypatch.setattr(joins, "FILTER_WORDS", 2)  # nearly full, so that rows pass that do not match
+    left, right = sides(spark)
+    joined = joins.join_written(left, right.where("k <> 'hot' or v = 'a'"), "k", how)
+    assert rows(joined.select("k", "i")) == rows(left.join(right.where("k <> 'hot' or v = 'a'"), "k", how).select("k", "i"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (sent == 0)
