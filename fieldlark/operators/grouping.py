@@ -15,6 +15,15 @@ SPREAD = (4096, 64)
 SPREAD_FROM = 1000
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows of a table in which a task meets few copies.
+
+    Rows are shuffled before copies are looked for, so no map task holds all its different rows, as it does for
+    ``distinct``: what a task holds is its share of the shuffle.
+    """
+    return df.repartition(*df.columns).distinct()
+
+
 def pick_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that is least in *order* (ascending, NULL first)."""
     rest = [c for c in df.columns if c not in keys]

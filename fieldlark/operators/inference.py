@@ -10,6 +10,7 @@ from fieldlark.model.ontology import CLASSES
 from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure
+from fieldlark.operators.grouping import distinct_rows
 from fieldlark.operators.joins import spread_join
 from fieldlark.operators.triples import (
     entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan,
@@ -22,6 +23,13 @@ def iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
         F.lit("").alias("o_lang"), F.lit("").alias("o_datatype"))
 
 
+def missing_links(triples: DataFrame, rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
+    """``missing_from`` for the links *p* from column *s* to column *o*: only these two columns are shuffled."""
+    wanted = distinct_rows(rows.select(F.col(s).alias("s"), F.col(o).alias("o")).where("s is not null and o is not null"))
+    there = scan(triples, p=p).where("o_kind = 'iri' and o_lang = '' and o_datatype = ''").select("s", "o")
+    return iri_rows(wanted.join(there.hint("merge"), ["s", "o"], "left_anti"), "s", p, "o")
+
+
 def parent_edges(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     return pattern(triples, "child", vocab.parent_taxon, "parent")
 
@@ -29,7 +37,7 @@ def parent_edges(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 def transitive_parents(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Links to every ancestor that is not linked directly."""
     pairs = closure.transitive_pairs(parent_edges(triples, vocab))
-    return missing_from(triples, iri_rows(pairs, "node", vocab.parent_taxon, "ancestor"))
+    return missing_links(triples, pairs, "node", vocab.parent_taxon, "ancestor")
 
 
 def subclass_types(triples: DataFrame) -> DataFrame:
@@ -37,7 +45,7 @@ def subclass_types(triples: DataFrame) -> DataFrame:
     edges = pattern(triples, "child", v.SUBCLASS_OF, "parent")
     pairs = closure.transitive_pairs(edges).withColumnRenamed("node", "class")
     typed = spread_join(pattern(triples, "s", v.TYPE, "class"), pairs, "class")
-    return missing_from(triples, iri_rows(typed, "s", v.TYPE, "ancestor"))
+    return missing_links(triples, typed, "s", v.TYPE, "ancestor")
 
 
 def domains(triples: DataFrame) -> DataFrame:
@@ -59,8 +67,9 @@ def domain_types(triples: DataFrame, exclude: list[str] | None = None) -> DataFr
     declared = domains(triples)
     if exclude:
         declared = declared.where(~F.col("p").isin(exclude))
-    used = spread_join(triples.select("s", "p"), declared, "p").select("s", "domain").distinct()
-    return missing_from(triples, iri_rows(used, "s", v.TYPE, "domain"))
+    # ontology terms are few, and a shuffle by predicate would move the whole graph to a few tasks
+    used = triples.select("s", "p").join(F.broadcast(declared), "p")
+    return missing_links(triples, used, "s", v.TYPE, "domain")
 
 
 def same_as_pairs(triples: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def migration_rule(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     species = instances(triples, vocab.term("Species"), "species")
     links = pattern(triples, "species", vocab.has_observation, "obs").where(is_canonical(F.col("species"), vocab))
     dates = pattern(triples, "obs", vocab.term("observedOn"), "date")
-    dated = links.join(dates, "obs").select(
+    dated = links.join(dates.hint("merge"), "obs").select(
         "species", F.substring("date", 1, 10).try_cast("date").alias("observed_on"))
     known = pattern(triples, "species", vocab.term("migrationStatus"), "status").select("species")
     classified = exists(migration_facts(dated, known, vocab), species)

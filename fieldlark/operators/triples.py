@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE_COLUMNS
+from fieldlark.operators.grouping import distinct_rows
 from fieldlark.operators.joins import spread_join
 from fieldlark.session import cut_lineage
 
@@ -222,8 +223,9 @@ def numeric_between(value: Column, low: float, high: float) -> Column:
 # -- whole graphs -----------------------------------------------------------
 
 def union_graphs(*graphs: DataFrame) -> DataFrame:
-    """Set union of graphs."""
-    return reduce(lambda a, b: a.unionByName(b), graphs).distinct()
+    """Set union of graphs; a table that is given twice is read once."""
+    once = {id(graph): graph for graph in graphs}.values()
+    return distinct_rows(reduce(lambda a, b: a.unionByName(b), once))
 
 
 def without(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:

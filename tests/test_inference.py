@@ -186,3 +186,31 @@ def test_merged_components_equal_a_full_run(spark):
         assert now == {r.node: r.component for r in whole.collect()}
         if changed is not None:
             assert {r.node: r.component for r in changed.collect()} == {n: c for n, c in now.items() if before.get(n) != c}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_union_looks_for_copies_behind_the_shuffle(triples):
+    """No map task holds its different rows; the same graph given twice is read once."""
+    one, two = triples([iri("a", "p", "b"), iri("a", "p", "c")]), triples([iri("a", "p", "b"), text("a", "p", "b")])
+    union = union_graphs(one, one, two)
+    assert rows(union) == sorted([iri("a", "p", "b"), iri("a", "p", "c"), text("a", "p", "b")], key=repr)
+    plan = plan_of(union_graphs(one, one, two))  # before it ran
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") and plan.count("LocalTableScan") <= 2
+
+
+def test_domain_types_do_not_shuffle_the_graph_by_predicate(triples, spark):
+    """Only a link of the same kind counts as there; the few domains are sent to the rows."""
+    graph = union_graphs(ontology_triples(spark, V), triples([
+        text("x", V.term("latitude"), "1"), text("x", V.term("longitude"), "2"), text("x", v.TYPE, V.term("Location")),
+        text("y", V.term("latitude"), "1"), iri("y", v.TYPE, V.term("Location"))]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = inference.domain_types(graph)
+        assert rows(found) == [iri("x", v.TYPE, V.term("Location"))]
+        assert "BroadcastHashJoin [p" in plan_of(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
