@@ -13,6 +13,7 @@ from fieldlark.model.ontology import ontology_triples
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.functions import curve
 from fieldlark.operators import enrichment, extracts, intervals, queries, recency, trigrams
+from fieldlark.operators.grouping import distinct_rows
 from fieldlark.operators.inference import parent_edges
 from fieldlark.operators.occurrences import capped_newest_first, occurrence_triples
 from fieldlark.operators.taxonomy import localized_name_triples, name_index, species_nodes, taxonomy_facts
@@ -91,15 +92,19 @@ def month_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 def observation_table(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
     """Typed observation rows of a graph, one per (species, observation) link.
 
-    Details and places are gathered with one shuffle each before they are joined.
+    Details and places are gathered with one shuffle each before they are joined. A task reads few of the values of
+    one observation or place, so the values are shuffled as they are: picking some before would only sort them.
     """
-    links = pattern(triples, "species", vocab.has_observation, "obs_id").distinct()
-    details = entity_table(triples, {
+    def gathered(columns: dict[str, str], key: str) -> DataFrame:
+        wanted = triples.where(F.col("p").isin(list(columns.values()))).repartition("s")
+        return entity_table(wanted, columns).withColumnRenamed("s", key)
+
+    links = distinct_rows(pattern(triples, "species", vocab.has_observation, "obs_id"))
+    details = gathered({
         "observed_on": vocab.term("observedOn"), "individual_count": vocab.term("individualCount"),
-        "loc_id": vocab.term("observedAt")}).withColumnRenamed("s", "obs_id")
-    places = entity_table(triples, {
-        "lat": vocab.term("latitude"), "lon": vocab.term("longitude"),
-        "locality": vocab.term("locality")}).withColumnRenamed("s", "loc_id")
+        "loc_id": vocab.term("observedAt")}, "obs_id")
+    places = gathered({
+        "lat": vocab.term("latitude"), "lon": vocab.term("longitude"), "locality": vocab.term("locality")}, "loc_id")
     rows = optional(links, optional(details, places))
     return rows.select(
         "obs_id", "species", F.substring("observed_on", 1, 10).try_cast("date").alias("observed_on"),

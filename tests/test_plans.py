@@ -14,6 +14,7 @@ from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators import inference, occurrences, queries
 from fieldlark.operators.triples import scan
+from fieldlark.plans.graph import observation_table
 from fieldlark.sources import graph_files
 from tests.conftest import rows, two_species
 
@@ -162,3 +163,16 @@ def test_the_given_graph_holds_each_triple_once_and_is_written_without_a_distinc
     monkeypatch.setattr(tables, "STORED", {})
     graph = Tables(spark, FOLDER).graph
     assert flags == [True] and graph.count() == graph.distinct().count()
+
+
+def test_observation_rows_are_gathered_behind_the_shuffle(spark, triples):
+    """No map task sorts or holds the values that it reads."""
+    rows_of = observation_table(triples(two_species()), V)
+    plan = rows_of._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        if "LocalTableScan" in line:
+            up = [x.strip(" +-:*") for x in reversed(lines[:at])]
+            below = up[:next(i for i, x in enumerate(up) if x.startswith("Exchange"))]
+            assert not any("Aggregate" in x or x.startswith("Sort") for x in below), plan
+    assert rows_of.count() == 2
