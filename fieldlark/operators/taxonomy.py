@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlark.functions import text
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT, Vocab
-from fieldlark.operators.grouping import pick_first
+from fieldlark.operators.grouping import distinct_rows, pick_first
 from fieldlark.operators.triples import Fact, has_type, link, to_triples
 
 # fixed values: predicate of a common name by language
@@ -81,7 +81,7 @@ def species_nodes(records: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
 
 def taxonomy_triples(records: DataFrame, locale: str = "en", vocab: Vocab = DEFAULT) -> DataFrame:
     """All nodes of a taxonomy as triples. Common names are Danish unless *locale* is 'en'."""
-    return taxonomy_facts(records, locale, vocab).distinct()
+    return distinct_rows(taxonomy_facts(records, locale, vocab))
 
 
 def taxonomy_facts(records: DataFrame, locale: str = "en", vocab: Vocab = DEFAULT) -> DataFrame:

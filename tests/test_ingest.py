@@ -191,3 +191,9 @@ def test_build_graph(spark, taxa):
     assert rows(scan(graph, p=V.has_observation), "s") == [V.taxon("species/robi")]
     assert rows(scan(graph, p=V.term("commonNameDa")), "o") == ["Rødhals"]
     assert scan(graph, p=v.TYPE, o=v.OWL + "Class").count() == 7
+
+
+def test_taxonomy_looks_for_copies_behind_the_shuffle(taxa):
+    """The triples of a map task are not held for a partial distinct."""
+    plan = tax.taxonomy_triples(taxa)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate" in line for line in plan[plan.index("Exchange"):plan.index("Union")].splitlines())
