@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/fieldlark-{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def using(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the jobs inside; those of before hold again behind it."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """A fixed table from a few rows, held in the plan with its real size."""
     if isinstance(schema, str):

@@ -106,3 +106,21 @@ def match_reduced(graph, patterns):
     tree = join_tree(patterns, counts)
     tables = reduced(tables, tree)
     return [tables[i] for i in (tree[-1][1], *[ear for ear, _ in reversed(tree)])]
+
+
+def test_a_graph_is_written_without_a_sort(spark, triples, tmp_path, monkeypatch):
+    """A task holds no rows of the graph to sort them by predicate, unless it meets more predicates than it may open."""
+    from fieldlark.sources import graph_files
+    from tests.conftest import rows
+
+    facts = [(f"s{i}", f"p{i % 5}", f"o{i}", "iri", "", "") for i in range(40)]
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    for name, files in (("side by side", 64), ("sorted behind two", 2)):
+        monkeypatch.setattr(graph_files, "OPEN_FILES", files)
+        graph_files.write_graph(triples(facts + facts), str(tmp_path / name))
+        store = spark._jsparkSession.sharedState().statusStore()
+        plan = store.execution(store.executionsCount() - 1).get().physicalPlanDescription()
+        assert "Execute InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
+        assert rows(graph_files.read_graph(spark, str(tmp_path / name))) == sorted(facts, key=repr)
+        assert spark.conf.get(setting) == before
