@@ -11,10 +11,11 @@ from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure
 from fieldlark.operators.grouping import distinct_rows
-from fieldlark.operators.joins import spread_join
+from fieldlark.operators.joins import join_written, may_match, spread_join
 from fieldlark.operators.triples import (
     entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan,
 )
+from fieldlark.session import cut_lineage
 
 
 def iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
@@ -78,15 +79,14 @@ def same_as_pairs(triples: DataFrame) -> DataFrame:
 
 def same_as_one_hop(triples: DataFrame) -> DataFrame:
     """Properties copied once across every owl:sameAs link, in both directions at the same time."""
-    pairs = same_as_pairs(triples).distinct()
-    both = pairs.select(F.col("a").alias("s"), F.col("b").alias("target")).unionByName(
-        pairs.select(F.col("b").alias("s"), F.col("a").alias("target")))
+    pairs = same_as_pairs(triples)
+    both = cut_lineage(distinct_rows(pairs.select(F.col("a").alias("s"), F.col("b").alias("target")).unionByName(
+        pairs.select(F.col("b").alias("s"), F.col("a").alias("target")))), "links")
     carried = [c for c in TRIPLE_COLUMNS if c != "s"]
-    copied = (
-        spread_join(triples.where(F.col("p") != v.SAME_AS), both, "s")
-        .select(F.col("target").alias("s"), *carried)
-    )
-    return missing_from(triples, copied)
+    facts = triples.where(F.col("p") != v.SAME_AS)
+    # most of a graph is about nodes without a link: such rows are dropped where they are read
+    copied = join_written(facts, both, "s").select(F.col("target").alias("s"), *carried)
+    return missing_from(may_match(facts, both, "s"), copied)
 
 
 def same_as_components(triples: DataFrame) -> DataFrame:
@@ -106,10 +106,8 @@ def component_properties(triples: DataFrame, members: DataFrame) -> DataFrame:
     with *members* on ``component`` to look up one node.
     """
     carried = [c for c in TRIPLE_COLUMNS if c != "s"]
-    return (
-        spread_join(triples.where(F.col("p") != v.SAME_AS), members.withColumnRenamed("node", "s"), "s")
-        .select("component", *carried).distinct()
-    )
+    members = cut_lineage(members.select(F.col("node").alias("s"), "component"), "members")
+    return distinct_rows(join_written(triples.where(F.col("p") != v.SAME_AS), members, "s").select("component", *carried))
 
 
 def species_months(facts: DataFrame) -> DataFrame:

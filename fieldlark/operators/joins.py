@@ -78,6 +78,15 @@ def join_written(large: DataFrame, small: DataFrame, on: str | list[str], how: s
     return met.unionByName(marked.where("not _may").drop("_may")) if how == "left_anti" else met
 
 
+def may_match(large: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of *large* whose key is in *small*, which is read from files, and if it has many rows few others."""
+    on = [on] if isinstance(on, str) else on
+    keys = small.select(*on)
+    if has_few_rows(small):
+        return large.join(F.broadcast(keys.distinct()), on, "left_semi")
+    return _filtered(large, keys, on).where("_may").drop("_may")
+
+
 def sized(written: DataFrame) -> DataFrame:
     """A table that is read from files, for a join: broadcast if its rows are few, else always shuffled."""
     return F.broadcast(written) if has_few_rows(written) else written.hint("merge")

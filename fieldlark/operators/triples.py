@@ -250,7 +250,7 @@ def missing_from(triples: DataFrame, new: DataFrame, predicates: list[str] | Non
     """
     if predicates is not None:
         triples = triples.where(F.col("p").isin(predicates))
-    return new.select(*TRIPLE_COLUMNS).distinct().join(triples, TRIPLE_COLUMNS, "left_anti")
+    return distinct_rows(new.select(*TRIPLE_COLUMNS)).join(triples, TRIPLE_COLUMNS, "left_anti")
 
 
 # -- subject-wise views -----------------------------------------------------

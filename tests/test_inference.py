@@ -214,3 +214,38 @@ def test_domain_types_do_not_shuffle_the_graph_by_predicate(triples, spark):
         assert "BroadcastHashJoin [p" in plan_of(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_equality_rules_do_not_shuffle_nodes_without_a_link(triples, spark, tmp_path, monkeypatch, sent):
+    from fieldlark.operators import joins
+    from fieldlark.sources.graph_files import read_graph, write_graph
+    from tests.test_patterns import shuffled_rows
+
+    monkeypatch.setattr(joins, "SENT_ROWS", sent)
+    facts = [iri(f"x{i}", f"q{i % 3}", f"y{i % 50}") for i in range(6000)]  # nobody's equal
+    linked = [iri("a", v.SAME_AS, "b"), iri("c", v.SAME_AS, "b"), iri("a", "q0", "y"), text("b", "q1", "z"), iri("c", "q0", "y")]
+    write_graph(triples(facts + linked), str(tmp_path / "g"))
+    graph = read_graph(spark, str(tmp_path / "g"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in before:
+        spark.conf.set(k, "-1")
+    try:
+        found = []
+        moved = shuffled_rows(spark, lambda: found.extend([
+            rows(inference.component_properties(graph, inference.same_as_components(graph)), "component", "p", "o"),
+            rows(inference.same_as_one_hop(graph), "s", "p", "o")]))
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    assert found == [[("a", "q0", "y"), ("a", "q1", "z")], [("a", "q1", "z"), ("b", "q0", "y"), ("c", "q1", "z")]]
+    assert moved < 1000
+
+
+def test_copies_are_looked_for_in_the_partitions_of_the_session(triples, spark):
+    """They are not put together by their compressed bytes."""
+    from fieldlark.operators.grouping import distinct_rows
+
+    many = triples([iri(f"a{i % 40}", "p", f"b{i % 40}") for i in range(400)])
+    found = distinct_rows(many)
+    assert found.count() == 40 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
