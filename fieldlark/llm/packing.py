@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -122,22 +123,27 @@ class ChunkIds:
     chunks are remembered up to a bound. Lower case is taken first only where that cannot change what the
     tokenizer's own normalisation gives. A run of letters is one unit to the tokenizer, and so is a run of other
     signs after it; the last id of a unit is one that ends a word. So new words are encoded many at a time, and the
-    ids are cut where a word ends.
+    ids are cut where a word ends. Of words in lower case the tokenizer's normalisation changes nothing and its
+    pattern cuts nothing, so they go to its model without these two steps.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        of_words = Tokenizer(self.tokenizer.model)
+        of_words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_words = getattr(of_words, "encode_batch_fast", of_words.encode_batch)
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for token, i in words.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # the first to be met are the most frequent ones
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         chunked = []
         for text in texts:
             text = text or ""
@@ -164,7 +170,8 @@ class ChunkIds:
         for a in range(0, len(words), 20_000):
             some = words[a: a + 20_000]
             ids = []
-            for e in self.encode([" ".join(some[i: i + 64]) for i in range(0, len(some), 64)], add_special_tokens=False):
+            lines = [" ".join(some[i: i + 64]).lower() for i in range(0, len(some), 64)]
+            for e in self.encode_words(lines, add_special_tokens=False):
                 ids += e.ids
             ids = np.array(ids, "<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)

@@ -101,3 +101,17 @@ def test_empty_table_and_other_keys(spark):
     got = packing.pack(df, vocabulary(), "name", "body").collect()
     assert sorted((r.name or "", r.length) for r in got) == [("", 3), ("a", 3)] and len({(r.sequence_id, r.offset) for r in got}) == 2
     assert packing.pack(df.limit(0), vocabulary(), "name", "body").collect() == []
+
+
+def test_words_go_to_the_model_once(monkeypatch):
+    """Words leave out the normalisation, and the most frequent ones outlive the bound of what is remembered."""
+    monkeypatch.setattr(packing, "CACHE", 20)
+    chunk_ids, plain, words = packing.ChunkIds(vocabulary()), [], []
+    whole, of_words = chunk_ids.encode, chunk_ids.encode_words
+    monkeypatch.setattr(chunk_ids, "encode", lambda some, **how: (plain.extend(some), whole(some, **how))[1])
+    monkeypatch.setattr(chunk_ids, "encode_words", lambda some, **how: (words.extend(some), of_words(some, **how))[1])
+    texts = [f"the Straße {'abcdefghij'[i]}x {'abcdefghij'[i]}éy of{'xyz'[i % 3]}, ÀÉĐŸ ſŉªº" for i in range(10)] + ["<|x THE ÀÉĐŸ 汉字"]
+    got = [np.frombuffer(next(chunk_ids.of([text])), "<u4").tolist() for text in texts]
+    assert got == [chunk_ids.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert Counter(w for line in words for w in line.split())["straße"] == 1
+    assert not [t for t in plain if t in ("the", "straße")]
