@@ -19,11 +19,15 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     """Distinct rows of a table in which a task meets few copies.
 
     Rows are shuffled before copies are looked for, so no map task holds all its different rows, as it does for
-    ``distinct``: what a task holds is its share of the shuffle. That is always the session's number of partitions:
-    adaptive execution would put them together by their compressed bytes, of which rows of IRIs take thirty times the room.
+    ``distinct``: what a task holds is its share of the shuffle.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *df.columns).distinct()
+    return shuffled(df, *df.columns).distinct()
+
+
+def shuffled(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows by these columns, always in the session's number of partitions: adaptive execution would put them
+    together by their compressed bytes, of which rows of IRIs take thirty times the room."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def pick_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -10,10 +10,10 @@ from fieldlark.model.ontology import CLASSES
 from fieldlark.model.types import TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure
-from fieldlark.operators.grouping import distinct_rows
+from fieldlark.operators.grouping import distinct_rows, shuffled
 from fieldlark.operators.joins import join_written, may_match, spread_join
 from fieldlark.operators.triples import (
-    entity_table, exists, instances, is_canonical, missing_from, not_exists, pattern, scan,
+    entity_table, exists, instances, is_canonical, not_exists, pattern, scan,
 )
 from fieldlark.session import cut_lineage
 
@@ -24,11 +24,21 @@ def iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
         F.lit("").alias("o_lang"), F.lit("").alias("o_datatype"))
 
 
+def not_there(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """The distinct rows of *wanted* that are not in *there*, a table of about that size at most.
+
+    Both are counted together, so that neither is sorted: IRIs begin alike, and every comparison would read most of them.
+    """
+    both = wanted.withColumn("_there", F.lit(False)).unionByName(there.withColumn("_there", F.lit(True)))
+    found = shuffled(both, *wanted.columns).groupBy(*wanted.columns).agg(F.bool_or("_there").alias("_there"))
+    return found.where("not _there").drop("_there")
+
+
 def missing_links(triples: DataFrame, rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
     """``missing_from`` for the links *p* from column *s* to column *o*: only these two columns are shuffled."""
-    wanted = distinct_rows(rows.select(F.col(s).alias("s"), F.col(o).alias("o")).where("s is not null and o is not null"))
+    wanted = rows.select(F.col(s).alias("s"), F.col(o).alias("o")).where("s is not null and o is not null")
     there = scan(triples, p=p).where("o_kind = 'iri' and o_lang = '' and o_datatype = ''").select("s", "o")
-    return iri_rows(wanted.join(there.hint("merge"), ["s", "o"], "left_anti"), "s", p, "o")
+    return iri_rows(not_there(wanted, there), "s", p, "o")
 
 
 def parent_edges(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
@@ -46,7 +56,9 @@ def subclass_types(triples: DataFrame) -> DataFrame:
     edges = pattern(triples, "child", v.SUBCLASS_OF, "parent")
     pairs = closure.transitive_pairs(edges).withColumnRenamed("node", "class")
     typed = spread_join(pattern(triples, "s", v.TYPE, "class"), pairs, "class")
-    return missing_links(triples, typed, "s", v.TYPE, "ancestor")
+    # most nodes are of classes that are above no other
+    above = exists(triples, pairs.select(F.col("ancestor").alias("o")))
+    return missing_links(above, typed, "s", v.TYPE, "ancestor")
 
 
 def domains(triples: DataFrame) -> DataFrame:
@@ -86,7 +98,7 @@ def same_as_one_hop(triples: DataFrame) -> DataFrame:
     facts = triples.where(F.col("p") != v.SAME_AS)
     # most of a graph is about nodes without a link: such rows are dropped where they are read
     copied = join_written(facts, both, "s").select(F.col("target").alias("s"), *carried)
-    return missing_from(may_match(facts, both, "s"), copied)
+    return not_there(copied.select(*TRIPLE_COLUMNS), may_match(facts, both, "s").select(*TRIPLE_COLUMNS))
 
 
 def same_as_components(triples: DataFrame) -> DataFrame:
@@ -147,9 +159,9 @@ def migration_rule(triples: DataFrame, vocab: Vocab = DEFAULT) -> DataFrame:
         "species", F.substring("date", 1, 10).try_cast("date").alias("observed_on"))
     known = pattern(triples, "species", vocab.term("migrationStatus"), "status").select("species")
     classified = exists(migration_facts(dated, known, vocab), species)
-    return missing_from(
-        triples, migration_triples(classified, vocab),
-        [vocab.term("migrationStatus"), vocab.term("typicallyPresentInMonth")])
+    there = triples.where(F.col("p").isin(vocab.term("migrationStatus"), vocab.term("typicallyPresentInMonth")))
+    # one row a species, so no triple comes twice
+    return migration_triples(classified, vocab).join(there, TRIPLE_COLUMNS, "left_anti").select(*TRIPLE_COLUMNS)
 
 
 def class_counts(triples: DataFrame, vocab: Vocab = DEFAULT, alias: str = "n") -> DataFrame:

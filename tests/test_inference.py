@@ -249,3 +249,15 @@ def test_copies_are_looked_for_in_the_partitions_of_the_session(triples, spark):
     many = triples([iri(f"a{i % 40}", "p", f"b{i % 40}") for i in range(400)])
     found = distinct_rows(many)
     assert found.count() == 40 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_types_and_copies_are_not_sorted(triples):
+    """What a rule adds is told from what is there in one aggregate, without a sort of either."""
+    graph = triples([
+        iri("p", v.TYPE, v.OWL + "ObjectProperty"), iri("p", v.DOMAIN, "C"), iri("x", "p", "y"), iri("z", "p", "y"), iri("z", v.TYPE, "C"),
+        iri("x", v.SAME_AS, "w"), iri("w", "p", "y")])
+    assert rows(inference.domain_types(graph), "s", "o") == [("w", "C"), ("x", "C")]
+    assert rows(inference.same_as_one_hop(graph), "s", "p", "o") == []
+    plan = plan_of(inference.domain_types(graph))
+    last = plan[:plan.index("REPARTITION_BY_NUM")]
+    assert "Sort" not in last and "LeftAnti" not in last and "HashAggregate" in last
