@@ -7,8 +7,9 @@ from checks.registry import query
 from fieldlark.model import vocab as v
 from fieldlark.model.vocab import DEFAULT as V
 from fieldlark.operators.triples import has_type, link, to_triples
-from fieldlark.plans.incremental import update
+from fieldlark.plans.incremental import absent_from, update, without
 from fieldlark.plans.reasoning import run_reasoner
+from fieldlark.session import cut_lineage
 
 
 def batch(t):
@@ -23,8 +24,8 @@ def batch(t):
 @query("reasoned_after_adding", REASONED + " select s, p, o from r5")
 def _(t):
     """A run without the batch, then the batch as a change."""
-    part = batch(t)
-    before = run_reasoner(t.graph.join(part, t.graph.columns, "left_anti"), V)
+    part = cut_lineage(batch(t), "batch")
+    before = run_reasoner(without(t.graph, part), V, is_distinct=True)
     return update(before.parts, added=part, vocab=V).triples.select("s", "p", "o")
 
 
@@ -38,6 +39,6 @@ def _(t):
         has_type(F.concat(F.lit("http://wrong.example.org/"), F.col("c_custkey") % 4), V.term("Genus")),
     ]).distinct()
     # none of them may be right by chance
-    wrong = wrong.join(t.graph, wrong.columns, "left_anti")
-    before = run_reasoner(t.graph.unionByName(wrong), V)
+    wrong = cut_lineage(absent_from(t.graph, cut_lineage(wrong, "wrong")), "wrong")
+    before = run_reasoner(t.graph.unionByName(wrong), V, is_stored=True)
     return update(before.parts, removed=wrong, vocab=V).triples.select("s", "p", "o")

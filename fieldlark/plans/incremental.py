@@ -17,7 +17,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldlark.model import vocab as v
 from fieldlark.model.types import TRIPLE, TRIPLE_COLUMNS
@@ -67,10 +67,25 @@ def minus(rows: DataFrame, other: DataFrame) -> DataFrame:
     return join_written(rows, other, TRIPLE_COLUMNS, "left_anti")
 
 
+def named_in(rows: DataFrame) -> Column:
+    """Whether the predicate is one of *rows*, which are written; files of other predicates are not read."""
+    return F.col("p").isin([r.p for r in rows.select("p").distinct().collect()])
+
+
+def held(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """The triples of *large* that are among the *rows*; only their predicates are read."""
+    return within(large.where(named_in(rows)), rows, TRIPLE_COLUMNS)
+
+
+def without(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """*large* less the *rows*; triples of other predicates are passed on as they are read."""
+    named = named_in(rows)
+    return minus(large.where(named), rows).unionByName(large.where(~named))
+
+
 def absent_from(large: DataFrame, rows: DataFrame) -> DataFrame:
     """The *rows* that *large* does not hold; *large* is first cut down to them, and to their predicates."""
-    named = [r.p for r in rows.select("p").distinct().collect()]
-    return minus(rows, cut_lineage(within(large.where(F.col("p").isin(named)), rows, TRIPLE_COLUMNS), "held"))
+    return minus(rows, cut_lineage(held(large, rows), "held"))
 
 
 def _written(rows: DataFrame, label: str) -> DataFrame:
@@ -129,6 +144,13 @@ def _changed(old: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(old.join(fresh, old.columns, "left_anti"), "went"), cut_lineage(fresh.join(old, old.columns, "left_anti"), "came")
 
 
+def terms(table: DataFrame, term: str, yields: str, doubt: DataFrame) -> Column:
+    """Whether *term* is one that yields a type in doubt. The table is one of ontology terms, which are few; those that
+    type nothing in doubt, as a rule the ones of most rows, need not be read."""
+    doubted = doubt.select(F.col("o").alias(yields)).distinct()
+    return F.col(term).isin([r[0] for r in table.join(doubted, yields, "left_semi").select(term).distinct().collect()])
+
+
 def revise_subclasses(old: DataFrame, fresh: DataFrame, known: DataFrame, change: Change, vocab: Vocab) -> Revision:
     """Types of superclasses."""
     def classes(graph):
@@ -146,7 +168,8 @@ def revise_subclasses(old: DataFrame, fresh: DataFrame, known: DataFrame, change
     went, came = _changed(before, after)
     doubtful = _written(rows(types(change.gone).join(before, "class").unionByName(types(old).join(went, "class"))), "doubtful")
     doubt = doubtful.unionByName(scan(change.gone, p=v.TYPE))
-    kept = within(rows(within(types(fresh), doubt, ["s"]).join(after, "class")), doubt, TRIPLE_COLUMNS)
+    yielding = terms(after, "class", "ancestor", doubt)
+    kept = within(rows(within(types(fresh).where(yielding), doubt, ["s"]).join(after, "class")), doubt, TRIPLE_COLUMNS)
     found = rows(types(change.new).join(after, "class").unionByName(types(fresh).join(came, "class")))
     return Revision(doubtful, kept.unionByName(found))
 
@@ -163,7 +186,8 @@ def revise_domains(old: DataFrame, fresh: DataFrame, known: DataFrame, change: C
     went, came = _changed(before, after)
     doubtful = _written(rows(used(change.gone).join(before, "p").unionByName(used(old).join(went, "p"))), "doubtful")
     doubt = doubtful.unionByName(scan(change.gone, p=v.TYPE))
-    kept = within(rows(within(used(fresh), doubt, ["s"]).join(after, "p")), doubt, TRIPLE_COLUMNS)
+    yielding = terms(after, "p", "domain", doubt)
+    kept = within(rows(within(used(fresh).where(yielding), doubt, ["s"]).join(after, "p")), doubt, TRIPLE_COLUMNS)
     found = rows(used(change.new).join(after, "p").unionByName(used(fresh).join(came, "p")))
     return Revision(doubtful, kept.unionByName(found))
 
@@ -192,7 +216,7 @@ def revise_same_as(old: DataFrame, fresh: DataFrame, known: DataFrame, change: C
         copied(facts(change.gone), links_from(old, change.gone)).unionByName(copied(facts(old), went)), "doubtful")
     doubt = doubtful.unionByName(facts(change.gone))
     sources = cut_lineage(within(links(fresh), doubt.select(F.col("s").alias("target")), ["target"]), "links")
-    kept = within(copied(facts(fresh), sources), doubt, TRIPLE_COLUMNS)
+    kept = within(copied(facts(fresh).where(named_in(doubt)), sources), doubt, TRIPLE_COLUMNS)
     found = copied(facts(change.new), links_from(fresh, change.new)).unionByName(copied(facts(fresh), came))
     return Revision(doubtful, kept.unionByName(found))
 
@@ -228,24 +252,25 @@ def update(
     asserted = parts[0]
     none = asserted.sparkSession.createDataFrame([], TRIPLE)
     new = _written(none if added is None else added, "added")
-    gone = _written(within(asserted, minus(_written(none if removed is None else removed, "removed"), new), TRIPLE_COLUMNS), "gone")
+    gone = minus(_written(none if removed is None else removed, "removed"), new)
+    gone = _written(held(asserted, cut_lineage(gone, "gone")), "gone")
     new = _written(absent_from(asserted, new), "new")
 
     change, changed, sizes = Change(gone, new), [], []
 
     def revised(part: DataFrame, less: DataFrame, more: DataFrame) -> DataFrame:
         sizes.append((less.count(), more.count()))
-        part = minus(part, less) if sizes[-1][0] else part
+        part = without(part, less) if sizes[-1][0] else part
         return part.unionByName(more) if sizes[-1][1] else part
 
     changed.append(revised(asserted, gone, new))
     for step, revise in enumerate(REVISIONS, start=1):
         old, fresh, known = union(parts[:step]), union(changed), parts[step]
         doubtful, holding = revise(old, fresh, known, change, vocab)
-        doubtful = _written(within(known, cut_lineage(doubtful, "doubtful"), TRIPLE_COLUMNS), "doubtful")
+        doubtful = _written(held(known, cut_lineage(doubtful, "doubtful")), "doubtful")
         holding = _written(holding, "holding")
         underived = _written(absent_from(fresh, holding), "underived")
-        less = _written(minus(doubtful, holding).unionByName(within(known, change.new, TRIPLE_COLUMNS)), "less")
+        less = _written(minus(doubtful, holding).unionByName(held(known, change.new)), "less")
         more = _written(absent_from(known, underived), "more")
         changed.append(revised(known, less, more))
         change = Change(

@@ -35,14 +35,16 @@ def _store(triples: DataFrame, label: str, distinct: bool) -> DataFrame:
     return read_graph(spark, path)
 
 
-def run_reasoner(triples: DataFrame, vocab: Vocab = DEFAULT, is_stored: bool = False) -> Reasoned:
+def run_reasoner(
+    triples: DataFrame, vocab: Vocab = DEFAULT, is_stored: bool = False, is_distinct: bool = False) -> Reasoned:
     """The graph with all inferred triples, and how many each rule added.
 
     What a rule adds is written once to the shared checkpoint folder; the next
     rule and the counts read it from there. *is_stored* says that the input is
-    read from distinct files by predicate already and need not be written first.
+    read from distinct files by predicate already and need not be written first; *is_distinct*
+    that no triple is there twice, so that it is written without looking for copies.
     """
-    graph = triples if is_stored else _store(triples, "asserted", False)
+    graph = triples if is_stored else _store(triples, "asserted", is_distinct)
     counts, parts = [], [graph]
     for step, (name, rule) in enumerate(rules(vocab), start=1):
         new = _store(rule(graph), name, True)

@@ -131,3 +131,20 @@ def test_a_change_of_many_rows(spark, base, monkeypatch):
     updated = update(run_reasoner(graph(spark, less), V).parts, graph(spark, added), graph(spark, removed), V)
     fresh = run_reasoner(graph(spark, [r for r in {*less, *added} if r not in set(removed)]), V)
     assert sets(updated.parts) == sets(fresh.parts)
+
+
+def test_only_predicates_of_the_change_are_compared(spark, base, tmp_path):
+    """Triples of other predicates are passed on, and what types nothing in doubt is not read."""
+    from pyspark.sql import functions as F
+    from fieldlark.plans import incremental
+
+    _, parts = base
+    gone = incremental.cut_lineage(parts[0].where(F.col("p") == v.SAME_AS).limit(1), "gone")
+    rest = incremental.without(parts[0], gone)
+    assert sorted(map(tuple, rest.collect())) == sorted(set(map(tuple, parts[0].collect())) - set(map(tuple, gone.collect())))
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and plan.count("LeftAnti") == 1
+    table = spark.createDataFrame([("seen", "Observation"), ("named", "Taxon"), ("above", "Taxon")], "p string, domain string")
+    doubt = spark.createDataFrame([("a", "Taxon"), ("b", "Genus")], "s string, o string")
+    used = spark.createDataFrame([("x", "seen"), ("y", "named"), ("z", "above")], "s string, p string")
+    assert sorted(r.s for r in used.where(incremental.terms(table, "p", "domain", doubt)).collect()) == ["y", "z"]
