@@ -24,13 +24,14 @@ def iri_rows(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
         F.lit("").alias("o_lang"), F.lit("").alias("o_datatype"))
 
 
-def not_there(wanted: DataFrame, there: DataFrame) -> DataFrame:
-    """The distinct rows of *wanted* that are not in *there*, a table of about that size at most.
+def not_there(wanted: DataFrame, there: DataFrame, few: bool = False) -> DataFrame:
+    """The distinct rows of *wanted* that are not in *there*, a table of about that size at most; *few* says that both
+    hold few rows, which are not spread over all partitions.
 
     Both are counted together, so that neither is sorted: IRIs begin alike, and every comparison would read most of them.
     """
     both = wanted.withColumn("_there", F.lit(False)).unionByName(there.withColumn("_there", F.lit(True)))
-    found = shuffled(both, *wanted.columns).groupBy(*wanted.columns).agg(F.bool_or("_there").alias("_there"))
+    found = (both if few else shuffled(both, *wanted.columns)).groupBy(*wanted.columns).agg(F.bool_or("_there").alias("_there"))
     return found.where("not _there").drop("_there")
 
 

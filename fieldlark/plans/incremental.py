@@ -24,7 +24,7 @@ from fieldlark.model.types import TRIPLE, TRIPLE_COLUMNS
 from fieldlark.model.vocab import DEFAULT, Vocab
 from fieldlark.operators import closure, inference
 from fieldlark.operators.inference import iri_rows
-from fieldlark.operators.joins import join_written
+from fieldlark.operators.joins import has_few_rows, join_written, may_match
 from fieldlark.operators.triples import pattern, scan
 from fieldlark.plans.reasoning import RULE_NAMES
 from fieldlark.session import cut_lineage
@@ -84,12 +84,19 @@ def without(large: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def absent_from(large: DataFrame, rows: DataFrame) -> DataFrame:
-    """The *rows* that *large* does not hold; *large* is first cut down to them, and to their predicates."""
-    return minus(rows, cut_lineage(held(large, rows), "held"))
+    """The different *rows* that *large* does not hold; *large* is cut down to them and their predicates where it is read."""
+    rows = rows.select(*TRIPLE_COLUMNS)
+    there = may_match(large.where(named_in(rows)).select(*TRIPLE_COLUMNS), rows, TRIPLE_COLUMNS)
+    return inference.not_there(rows, there, has_few_rows(rows))
+
+
+def _known(written: DataFrame) -> DataFrame:
+    """The written rows; if there are none, the optimizer is told, and what is joined with them is not read."""
+    return written.limit(0) if written.isEmpty() else written
 
 
 def _written(rows: DataFrame, label: str) -> DataFrame:
-    return cut_lineage(rows.select(*TRIPLE_COLUMNS).distinct(), label)
+    return _known(cut_lineage(rows.select(*TRIPLE_COLUMNS).distinct(), label))
 
 
 # -- the rules ----------------------------------------------------------------
@@ -209,7 +216,8 @@ def revise_same_as(old: DataFrame, fresh: DataFrame, known: DataFrame, change: C
         return join_written(rows, over, "s").select(F.col("target").alias("s"), *carried)
 
     def links_from(graph, rows):
-        return cut_lineage(within(links(graph), rows, ["s"]), "links")
+        """Links of the subjects of *rows*, and maybe few others; they are joined with the rows again."""
+        return cut_lineage(may_match(links(graph), rows, "s"), "links")
 
     went, came = cut_lineage(links(change.gone), "links"), cut_lineage(links(change.new), "links")
     doubtful = _written(
@@ -230,15 +238,23 @@ def revise_migration(old: DataFrame, fresh: DataFrame, known: DataFrame, change:
     species = cut_lineage(
         both.where(F.col("p").isin(own)).select("s").unionByName(scan(both, p=v.TYPE, o=vocab.term("Species")).select("s"))
         .unionByName(seen.select("s")).distinct(), "touched")
-    facts = cut_lineage(within(fresh.where(F.col("p").isin(*own, v.TYPE)), species, ["s"]), "facts")
+    # few others may come with them, each with all of its facts, so what is concluded of it holds
+    facts = cut_lineage(may_match(fresh.where(F.col("p").isin(*own, v.TYPE)), species, "s"), "facts")
     sightings = scan(facts, p=vocab.has_observation).select(F.col("o").alias("s"))
-    dates = within(scan(fresh, p=vocab.term("observedOn")), sightings, ["s"])
+    dates = cut_lineage(may_match(scan(fresh, p=vocab.term("observedOn")), sightings, "s"), "dates")  # the rule reads it often
     return Revision(within(known, species, ["s"]), inference.migration_rule(facts.unionByName(dates), vocab))
 
 
 REVISIONS = [revise_parents, revise_subclasses, revise_domains, revise_same_as, revise_migration]
 
 
+def of_part(rows: DataFrame, step: int, vocab: Vocab) -> DataFrame:
+    """Those of the *rows* whose predicate is one that the part of this step may hold."""
+    migration = [vocab.term("migrationStatus"), vocab.term("typicallyPresentInMonth")]
+    p = F.col("p")
+    return rows.where([p == vocab.parent_taxon, p == v.TYPE, p == v.TYPE, p != v.SAME_AS, p.isin(migration)][step - 1])
+
+
 # -- the whole ----------------------------------------------------------------
 
 def update(
@@ -254,7 +270,7 @@ def update(
     new = _written(none if added is None else added, "added")
     gone = minus(_written(none if removed is None else removed, "removed"), new)
     gone = _written(held(asserted, cut_lineage(gone, "gone")), "gone")
-    new = _written(absent_from(asserted, new), "new")
+    new = _known(cut_lineage(absent_from(asserted, new), "new"))
 
     change, changed, sizes = Change(gone, new), [], []
 
@@ -269,13 +285,18 @@ def update(
         doubtful, holding = revise(old, fresh, known, change, vocab)
         doubtful = _written(held(known, cut_lineage(doubtful, "doubtful")), "doubtful")
         holding = _written(holding, "holding")
-        underived = _written(absent_from(fresh, holding), "underived")
-        less = _written(minus(doubtful, holding).unionByName(held(known, change.new)), "less")
-        more = _written(absent_from(known, underived), "more")
+        there = _written(held(known, of_part(change.new, step, vocab)), "there")
+        less = _written(minus(doubtful, holding).unionByName(there), "less")
+        more = _known(cut_lineage(absent_from(fresh.unionByName(known), holding), "more"))
         changed.append(revised(known, less, more))
-        change = Change(
-            _written(minus(minus(change.gone.unionByName(doubtful), holding), change.new), "gone"),
-            _written(absent_from(known, change.new).unionByName(minus(more, change.gone)), "new"))
+        if step == len(REVISIONS):
+            break
+        if there.isEmpty() and change.gone.isEmpty() and doubtful.isEmpty():  # then files are read as they are
+            change = Change(change.gone, change.new.unionByName(more))
+        else:
+            change = Change(
+                _written(minus(minus(change.gone.unionByName(doubtful), holding), change.new), "gone"),
+                _written(minus(change.new, there).unionByName(minus(more, change.gone)), "new"))
     rows = [(step, name, less, more) for step, (name, (less, more)) in enumerate(zip(["asserted", *RULE_NAMES], sizes))]
     report = asserted.sparkSession.createDataFrame(rows, "step int, rule string, n_gone long, n_new long")
     return Updated(changed, report)

@@ -25,8 +25,9 @@ _LANGUAGE = r"^[A-Za-z0-9-]+\z"
 OPEN_FILES = 64
 
 
-def write_graph(triples: DataFrame, path: str, distinct: bool = False) -> None:
-    """Write triples as parquet, one directory per predicate; *distinct* says there are no duplicates.
+def write_graph(triples: DataFrame, path: str, distinct: bool = False, by_predicate: bool = False) -> None:
+    """Write triples as parquet, one directory per predicate; *distinct* says there are no duplicates, and *by_predicate*
+    that they come from files by predicate: each task then meets few of them, and nothing is shuffled.
 
     Rebalancing gives each predicate its own files and splits a predicate that
     holds most of the graph. A task writes the predicates it meets side by side: IRIs that are much alike
@@ -37,7 +38,7 @@ def write_graph(triples: DataFrame, path: str, distinct: bool = False) -> None:
     rows = triples.select(*TRIPLE_COLUMNS)
     rows = rows if distinct else distinct_rows(rows)
     with using(triples.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
-        rows.hint("rebalance", "p").write.partitionBy("p").parquet(path)
+        (rows if by_predicate else rows.hint("rebalance", "p")).write.partitionBy("p").parquet(path)
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:

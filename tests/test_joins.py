@@ -101,3 +101,19 @@ def test_written_table_is_sent_by_its_rows(spark, monkeypatch, how, sent):
     assert rows(joined.select("k", "i")) == rows(left.join(right.where("k <> 'hot' or v = 'a'"), "k", how).select("k", "i"))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert ("SortMergeJoin" in plan) == (sent == 0)
+
+
+def test_the_filter_grows_with_the_keys(spark):
+    """Few rows pass that match nothing, also beside millions of keys; it was one bit a key in a filter of one size."""
+    keys, others = spark.range(3_000_000), spark.range(3_000_000, 3_100_000)
+    assert joins.may_match(others, keys, "id").count() < 5_000
+    assert joins.may_match(spark.range(0, 3_000_000, 1000), keys, "id").count() == 3000
+    assert [joins.filter_words(n) for n in (0, 1, 4, 65_537, 8_000_000, 10**9)] == [1, 1, 1, 1 << 14, 1 << 21, 1 << 21]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_nothing_is_joined_with_no_rows(spark, how):
+    left, right = sides(spark)
+    joined = joins.join_written(left, right.where("k = 'none'"), "k", how)
+    assert rows(joined) == rows(left.join(right.where("k = 'none'"), "k", how))
+    assert "Join" not in executed(joined).split("Initial Plan")[0]

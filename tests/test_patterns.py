@@ -124,3 +124,16 @@ def test_a_graph_is_written_without_a_sort(spark, triples, tmp_path, monkeypatch
         assert "Execute InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
         assert rows(graph_files.read_graph(spark, str(tmp_path / name))) == sorted(facts, key=repr)
         assert spark.conf.get(setting) == before
+
+
+def test_a_graph_read_by_predicate_is_written_without_a_shuffle(spark, triples, tmp_path):
+    from fieldlark.plans.reasoning import run_reasoner
+    from fieldlark.sources import graph_files
+    from tests.conftest import rows
+
+    facts = [(f"s{i}", f"p{i % 5}", f"o{i}", "iri", "", "") for i in range(40)]
+    graph_files.write_graph(triples(facts), str(tmp_path / "a"), True)
+    graph = graph_files.read_graph(spark, str(tmp_path / "a")).where("s <> 's3'")
+    graph_files.write_graph(graph, str(tmp_path / "b"), True, by_predicate=True)
+    assert rows(graph_files.read_graph(spark, str(tmp_path / "b"))) == sorted(facts[:3] + facts[4:], key=repr)
+    assert sorted(map(tuple, run_reasoner(graph, is_distinct=True, is_by_predicate=True).parts[0].collect())) == sorted(facts[:3] + facts[4:])
