@@ -210,3 +210,20 @@ def test_bindings_files_are_counted(spark, tmp_path):
     with pytest.raises(Exception, match="does not parse"):
         landed.read_picture_bindings(spark, str(tmp_path), strict=True).collect()
     assert tuple(landed.reader_report(spark, {"bindings": str(tmp_path)}).first()) == ("bindings", 1, 1, 0, 1)
+
+
+def test_ntriples_are_written_compressed_in_files_of_bounded_length(spark, triples, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_files, "LINES_A_FILE", 300)
+    facts = [iri(f"http://s.example.org/{i}", "http://p.example.org/link", f"http://o.example.org/{i}") for i in range(1000)]
+    for name, given, distinct in (("known", facts, True), ("looked for", facts + facts, False)):
+        path = tmp_path / name
+        graph_files.write_ntriples(triples(given).coalesce(1), str(path), distinct)
+        files = [p for p in path.iterdir() if p.name.startswith("part-")]
+        text_bytes = sum(len(r.value) + 1 for r in graph_files.ntriples_lines(triples(facts)).collect())
+        assert len(files) >= 4 and sum(p.stat().st_size for p in files) * 5 < text_bytes
+        assert spark.read.text(str(path)).count() == len(facts)
+        assert rows(graph_files.read_ntriples(spark, str(path))) == sorted(facts, key=repr)
+    # what is read is shuffled before copies are looked for
+    lines = graph_files.read_ntriples(spark, str(path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = lines[next(i for i, line in enumerate(lines) if "Exchange" in line):]
+    assert not any("Aggregate" in line for line in below)
