@@ -50,6 +50,11 @@ def fold_compat(text: Column) -> Column:
 FOLDS = {"compat": fold_compat, "full": fold_full}
 
 
+def forms(name: Column) -> list[Column]:
+    """The forms of a name that searches compare: lower case and both folds."""
+    return [F.lower(name).alias("lower"), *[fold(name).alias(f"folded_{kind}") for kind, fold in FOLDS.items()]]
+
+
 def name_matches(name: Column, query: str, fold: str = "full") -> Column:
     """Substring match, either as typed (case aside) or with accents removed on both sides.
 

@@ -45,10 +45,7 @@ def _named(species: DataFrame) -> DataFrame:
 
 def name_table(names: DataFrame) -> DataFrame:
     """(species, kind, name) rows with the forms that searches compare: lower case and both folds."""
-    name = F.col("name")
-    return names.select(
-        "species", "kind", "name", F.lower(name).alias("lower"),
-        *[fold(name).alias(f"folded_{kind}") for kind, fold in text.FOLDS.items()])
+    return names.select("species", "kind", "name", *text.forms(F.col("name")))
 
 
 def _matching(

@@ -1,7 +1,7 @@
 """Name search by posting lists of trigrams.
 
 For every trigram of the lower-case and folded forms of a name there is one posting: the
-key of what bears the name, and in which forms the trigram stands. A search takes the
+key of what bears the name (again for another name that has it), and in which forms the trigram stands. A search takes the
 postings of the rarest trigrams of the text it looks for, intersects them rarest first,
 and verifies what is left by ``contains``, so results are those of a scan of all names.
 
@@ -12,6 +12,7 @@ searched text, and the numbers of the buckets of the candidates.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldlark.functions import text
 from fieldlark.operators.triples import exists
-from fieldlark.session import cut_lineage
+from fieldlark.session import cut_lineage, using
 
 LENGTH = 3
 # a run may start at any letter, but not inside one of two UTF-16 units
@@ -27,6 +28,8 @@ RUN = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
 GRAM_BUCKETS = 64
 MOST_BUCKETS = 4096
 NAMES_A_BUCKET = 100_000
+# bytes of a row group of names: long names are taken apart by as many tasks as there are groups
+NAME_GROUP_BYTES = 16 << 20
 # the rarest trigrams that are intersected; verification does the rest
 MOST_GRAMS = 4
 
@@ -67,21 +70,37 @@ def bucket_count(rows: int) -> int:
 
 
 def posting_table(names: DataFrame, buckets: int) -> DataFrame:
-    """(gram, forms, bucket, species): one row per species and trigram of its names.
+    """(gram, forms, bucket, species): one row per name and trigram of it.
 
     *names* holds the compared forms (see ``queries.name_table``); *forms* has bit i set where the trigram stands in
-    form i. Rows of a frequent trigram stay rows, no list of them is ever gathered.
+    form i. A name is taken apart where it is read, so no posting is shuffled; those of a species with more names may
+    come more than once, with other forms. Rows of a frequent trigram stay rows, no list of them is ever gathered.
     """
     # forms that are spelt alike are taken apart once
-    spelt = []
-    for number, form in enumerate(FORMS):
-        alike = [F.when(F.col(form).eqNullSafe(F.col(other)), 1 << i).otherwise(0) for i, other in enumerate(FORMS)]
-        is_first = reduce(lambda a, b: a & b, [~F.col(form).eqNullSafe(F.col(other)) for other in FORMS[:number]], F.col(form).isNotNull())
-        spelt.append(F.when(is_first, F.struct(
-            F.col(form).alias("text"), reduce(lambda a, b: a + b, alike).alias("form"))))
-    rows = names.select("species", F.explode(F.array_compact(F.array(*spelt))).alias("spelt")).select(
-        "species", "spelt.form", F.explode(runs(F.col("spelt.text"))).alias("gram"))
-    return rows.groupBy("gram", "species").agg(F.bit_or("form").alias("forms")).select(
+    lower, compat, full = (F.col(form) for form in FORMS)
+    like_lower, full_like_lower, full_like_compat = compat.eqNullSafe(lower), full.eqNullSafe(lower), full.eqNullSafe(compat)
+    none = F.array().cast("array<string>")
+    taken = names.select(
+        "species", (like_lower & full_like_lower).alias("_alike"), like_lower.alias("_1_like_0"),
+        full_like_lower.alias("_2_like_0"), full_like_compat.alias("_2_like_1"),
+        F.coalesce(runs(lower), none).alias("_0"),
+        F.when(~like_lower, F.coalesce(runs(compat), none)).alias("_1"),
+        F.when(~full_like_lower & ~full_like_compat, F.coalesce(runs(full), none)).alias("_2"))
+    taken = taken.withColumn("_1", F.when(F.col("_1_like_0"), F.col("_0")).otherwise(F.col("_1")))
+    taken = taken.withColumn("_2", F.when(F.col("_2_like_0"), F.col("_0")).when(F.col("_2_like_1"), F.col("_1")).otherwise(F.col("_2")))
+
+    def rows(found: Column, forms: int) -> Column:
+        return F.transform(found, lambda gram: F.struct(gram.alias("gram"), F.lit(forms).alias("forms")))
+
+    every = (1 << len(FORMS)) - 1
+    sets = [F.col(f"_{i}") for i in range(len(FORMS))]
+    split = []  # what stands in these forms and in no other
+    for forms in range(1, every + 1):
+        inside = [found for i, found in enumerate(sets) if forms >> i & 1]
+        outside = [found for i, found in enumerate(sets) if not forms >> i & 1]
+        split.append(rows(reduce(F.array_except, outside, reduce(F.array_intersect, inside)), forms))
+    postings = F.when(F.col("_alike"), rows(F.col("_0"), every)).otherwise(F.concat(*split))
+    return taken.select("species", F.inline(postings)).select(
         "gram", "forms", bucket_of(F.col("species"), buckets).alias("bucket"), "species")
 
 
@@ -97,19 +116,23 @@ def write_index(names: DataFrame, path: str, buckets: int | None = None) -> int:
     """
     spark = names.sparkSession
     buckets = bucket_count(names.count()) if buckets is None else buckets
-    write_by_bucket(names, buckets, ["species", "kind", "name"], f"{path}/names")
+    # the forms are made behind the shuffle, which moves every name once
+    write_by_bucket(names.select("species", "kind", "name"), buckets, ["species", "kind", "name"], f"{path}/names", text.forms(F.col("name")))
     names = spark.read.schema(NAME_SCHEMA).parquet(f"{path}/names")
     postings = posting_table(names, buckets).withColumn("gram_bucket", bucket_of(F.col("gram"), GRAM_BUCKETS))
-    postings.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram", "species").write.partitionBy(
-        "gram_bucket").parquet(f"{path}/postings")
+    # a task writes its buckets side by side: neither shuffled nor sorted, postings take no disk but that of their files
+    with using(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(GRAM_BUCKETS)}):
+        postings.write.partitionBy("gram_bucket").parquet(f"{path}/postings", compression="zstd")
     count_table(spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")).sortWithinPartitions("gram").write.parquet(f"{path}/grams")
     return buckets
 
 
-def write_by_bucket(rows: DataFrame, buckets: int, order: list[str], path: str) -> None:
-    """Store rows about species by bucket; a bucket that holds most of them is split over files."""
+def write_by_bucket(rows: DataFrame, buckets: int, order: list[str], path: str, more: Sequence[Column] = ()) -> None:
+    """Store rows about species by bucket, with *more* columns made of theirs; a bucket that holds most of them is split
+    over files."""
     rows.withColumn("bucket", bucket_of(F.col("species"), buckets)).hint("rebalance", "bucket").sortWithinPartitions(
-        "bucket", *order).write.partitionBy("bucket").parquet(path)
+        "bucket", *order).select("*", *more).write.option("parquet.block.size", NAME_GROUP_BYTES).partitionBy("bucket").parquet(
+        path, compression="zstd")
 
 
 class Found(NamedTuple):

@@ -97,3 +97,34 @@ def test_postings_are_those_of_all_runs_and_each_run_of_a_text_is_made_once(spar
     assert {(r.gram, r.species): r.forms for r in got} == want and len(got) == len(want)
     repeated = spark.createDataFrame([("word " * 1000,)], "x string").select(F.size(trigrams.runs(F.col("x"))).alias("n")).first()
     assert repeated.n == 5
+
+
+def test_the_index_shuffles_each_name_once_and_no_posting(spark, tmp_path):
+    """Forms and postings are made where names are read, behind the only shuffle."""
+    names = queries.name_table(spark.createDataFrame(NAMES * 3, SCHEMA))
+    assert "Exchange" not in plan(trigrams.posting_table(names, 4))
+    trigrams.write_index(names, str(tmp_path), 2)
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.execution(i).get().physicalPlanDescription() for i in range(store.executionsCount() - 3, store.executionsCount())]
+    stored, posted, _ = [re.sub(r"(?s)== Initial Plan ==.*?== ", "== ", x) for x in plans]
+    assert "Exchange" not in posted and "Sort" not in posted and "InsertIntoHadoopFsRelationCommand" in posted
+    moved = [x for x in re.findall(r"(?s)\(\d+\) Exchange.*?\n\n", stored)]
+    assert moved and not any("folded" in x for x in moved)
+    assert sorted(map(tuple, trigrams.TrigramIndex.load(spark, str(tmp_path)).names.select(names.columns).collect())) == sorted(map(tuple, names.collect()))
+
+
+def test_forms_of_a_trigram(spark):
+    """Each of the three forms may be spelt like another or not."""
+    texts = ["abcd", "abcé", "abÉd", "abc日de", "éÉø", "Éé日abc", "ababab", "xé"]
+    forms = [[f"a{x}b", f"a{y}b", f"a{z}b"] for x in "pqr" for y in "pqr" for z in "pqr"]
+    names = queries.name_table(spark.createDataFrame([(str(i), "k", x) for i, x in enumerate(texts)], SCHEMA)).unionByName(
+        spark.createDataFrame([(f"m{i}", "k", "", *x) for i, x in enumerate(forms)] + [("n", "k", "", None, "abc", None)],
+                              "species string, kind string, name string, lower string, folded_compat string, folded_full string"))
+    want = {}
+    for row in names.collect():
+        for i, form in enumerate(trigrams.FORMS):
+            for at in range(len(row[form] or "") - 2):
+                key = row[form][at:at + 3], row.species
+                want[key] = want.get(key, 0) | 1 << i
+    got = trigrams.posting_table(names, 4).collect()
+    assert {(r.gram, r.species): r.forms for r in got} == want and len(got) == len(want)
