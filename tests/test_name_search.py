@@ -105,7 +105,9 @@ def test_the_index_shuffles_each_name_once_and_no_posting(spark, tmp_path):
     assert "Exchange" not in plan(trigrams.posting_table(names, 4))
     trigrams.write_index(names, str(tmp_path), 2)
     store = spark._jsparkSession.sharedState().statusStore()
-    plans = [store.execution(i).get().physicalPlanDescription() for i in range(store.executionsCount() - 3, store.executionsCount())]
+    kept = store.executionsList()  # the store keeps a number of them, so their count is no number of one
+    last = sorted((kept.apply(i) for i in range(kept.size())), key=lambda x: x.executionId())[-3:]
+    plans = [x.physicalPlanDescription() for x in last]
     stored, posted, _ = [re.sub(r"(?s)== Initial Plan ==.*?== ", "== ", x) for x in plans]
     assert "Exchange" not in posted and "Sort" not in posted and "InsertIntoHadoopFsRelationCommand" in posted
     moved = [x for x in re.findall(r"(?s)\(\d+\) Exchange.*?\n\n", stored)]

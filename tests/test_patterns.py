@@ -135,5 +135,8 @@ def test_a_graph_read_by_predicate_is_written_without_a_shuffle(spark, triples,
     graph_files.write_graph(triples(facts), str(tmp_path / "a"), True)
     graph = graph_files.read_graph(spark, str(tmp_path / "a")).where("s <> 's3'")
     graph_files.write_graph(graph, str(tmp_path / "b"), True, by_predicate=True)
+    kept = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = max((kept.apply(i) for i in range(kept.size())), key=lambda x: x.executionId()).physicalPlanDescription()
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Exchange" not in plan
     assert rows(graph_files.read_graph(spark, str(tmp_path / "b"))) == sorted(facts[:3] + facts[4:], key=repr)
     assert sorted(map(tuple, run_reasoner(graph, is_distinct=True, is_by_predicate=True).parts[0].collect())) == sorted(facts[:3] + facts[4:])
